@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 LOOSE = 0.4
-CHUNK = 4096
+CHUNK = 512
 WITNESSES = 8
 
 
@@ -194,7 +194,7 @@ def link_buckets(rows: DataFrame, again: bool) -> DataFrame:
         cols = list(zip(*set(out), strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["a", "b", "key", "sig"])
 
-    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "a long, b long, key long, sig binary")
+    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "rep").mapInArrow(run, "a long, b long, key long, sig binary")
 
 
 def candidate_links(spark: SparkSession, unique: DataFrame) -> DataFrame:
