@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, mixing, pii, tiff, toxicity, warc
+from . import dartminhash, decontam, mixing, pii, substring, suffix, tiff, toxicity, warc
 from .common import load
 
 
@@ -19,6 +19,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, load(spark, sf_dir, "pages"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(spark, load(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents"))
 
@@ -36,12 +40,16 @@ def op8_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.classes(spark, load(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(spark, load(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return pii.detect(spark, docs, pii.find_disclosing(spark, docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op4_mixing, op5_decontamination, op6_tiff, op8_dartminhash, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_substring, op4_mixing, op5_decontamination, op6_tiff, op8_dartminhash, op9_suffix_array, op10_pii)}
 
 #: Payload digests need SHA-1 in base 32, which DuckDB lacks, so op2 has no SQL.
 ORACLE_SQL = {"op4_mixing": mixing.oracle()}
