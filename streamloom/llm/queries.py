@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, mixing, pii, substring, suffix, tiff, toxicity, warc
+from . import dartminhash, decontam, hpylm, mixing, pii, substring, suffix, tiff, toxicity, warc
 from .common import load
 
 
@@ -36,6 +36,10 @@ def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest_media(tiff.encode_documents(load(spark, sf_dir, "documents")))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_documents(spark, load(spark, sf_dir, "documents"))
+
+
 def op8_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.classes(spark, load(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(spark, docs, pii.find_disclosing(spark, docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_substring, op4_mixing, op5_decontamination, op6_tiff, op8_dartminhash, op9_suffix_array, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_substring, op4_mixing, op5_decontamination, op6_tiff, op7_lm_scoring, op8_dartminhash, op9_suffix_array, op10_pii)}
 
 #: Payload digests need SHA-1 in base 32, which DuckDB lacks, so op2 has no SQL.
 ORACLE_SQL = {"op4_mixing": mixing.oracle()}
