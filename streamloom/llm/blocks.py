@@ -32,7 +32,7 @@ _PLACE_BITS = 28
 
 def pack_body(ids: np.ndarray, valid: np.ndarray, data: np.ndarray, offs: np.ndarray) -> bytes:
     head = np.array([len(ids)], np.int64).tobytes() + ids.astype(np.int64).tobytes() + offs.astype(np.int64).tobytes() + valid.astype(np.uint8).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + data.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(head + data.tobytes())
 
 
 class Block:
@@ -47,8 +47,8 @@ class Block:
         self.data = np.frombuffer(raw, np.uint8, -1, 16 + 17 * n)
 
 
-def make_blocks(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """block, n_bytes, body: the documents (doc_id, text) in blocks of about BLOCK_BYTES, written once so that numbers stay."""
+def make_blocks(spark: SparkSession, docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """block, n_bytes, body: the documents (doc_id, text) in blocks of about `size` bytes, written once so that numbers stay."""
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
@@ -57,7 +57,7 @@ def make_blocks(spark: SparkSession, docs: DataFrame) -> DataFrame:
             ids = batch.column(0)
             valid = np.asarray(ids.is_valid())
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in chunks(offs, BLOCK_BYTES):
+            for a, b in chunks(offs, size):
                 body = pack_body(ids[a:b], valid[a:b], data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([int(offs[b] - offs[a])], pa.int64()), pa.array([body], pa.binary())], ["block", "n_bytes", "body"])
                 k += 1
@@ -202,8 +202,25 @@ def at_blocks(blocks: DataFrame, messages: list[DataFrame], run, schema: str) ->
     return blocks.select("block", "body").groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(both, schema)
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds them."""
+    if not len(x.reshape(-1)):
+        return x.astype(np.int8)
+    low, high = int(x.min()), int(x.max())
+    return x.astype(next(t for t in (np.uint8, np.int8, np.uint16, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def sorted_planes(x: np.ndarray) -> np.ndarray:
+    """Gaps of sorted 64-bit numbers, byte by byte, so that leading zeros stand together."""
+    return np.ascontiguousarray(np.diff(x, prepend=U(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def from_planes(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def dump(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, 5))
 
 
 def undump(payload: bytes) -> tuple:

@@ -30,9 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    What was shuffled for it is not needed again once it is written, so Spark removes that at the end of the write.
+    """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
