@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 U = np.uint64
+#: Rows in an Arrow batch of a materialised step.
+BATCH_ROWS = 500
 #: ASCII white space, as in [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -33,15 +35,18 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
 
     What was shuffled for it is not needed again once it is written, so Spark removes that at the end of the write.
+    Rows may hold packed arrays, so few of them go to Python in a batch.
     """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, None)
-    spark.conf.set(cleanup, "true")
+    during = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in during}
+    for k, v in during.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
