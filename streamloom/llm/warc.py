@@ -150,7 +150,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             if have:
                 whole = inflate(have)
                 if whole is None:
-                    out.append(rows(None, block[0], block[1] + block[2], have))
+                    out.append(rows(None, block[0], 2 * (block[1] + block[2]) - 1, have))
                 elif whole and (found := parse(whole)):
                     out.append(rows(found))
             have = b""
@@ -158,7 +158,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         def leave():
             close()
             if block and orphan:
-                out.append(rows(None, block[0], block[1], orphan))
+                out.append(rows(None, block[0], 2 * block[1], orphan))
 
         for batch in batches:
             files, begins, sizes, values = (batch.column(i) for i in range(4))
@@ -193,7 +193,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def mend(key, pdf):
         import pandas as pd
 
-        # Ranges in order: each fragment that starts a member is followed by those that go on with it.
+        # By twice the place, a start just before its range's end: each start is followed by what goes on with it.
         out, have = [], b""
         for part in pdf.sort_values("at", kind="stable")["fragment"].tolist() + [None]:
             if part is None or plausible(part):
