@@ -662,8 +662,8 @@ _REST = r"regexp_replace(ltrim(substr(s.text, len(trim(h.text)) + 1)), '(?i)^(is
 @query(
     f"with {EXPANDED}, shown as (select l.* from linked l join expanded e using (video, node_id)), hub as (select * from shown where node_type = 'entity'),"
     f" body as (select s.video, s.node_id, s.node_type, s.first_seen, h.node_id as hub, s.text, case when s.node_type in ('action', 'event') then {_CLOCK} else '' end as clock, {_TIMES} as times, case when starts_with(lower(trim(s.text)), lower(trim(h.text))) and len({_REST}) > 3 then {_REST} else s.text end as own from shown s left join hub h on h.video = s.video and h.node_id = s.hub where s.node_type <> 'entity'),"
-    " lines as (select video, hub, string_agg('  ' || clock || own || times, chr(10) order by (node_type = 'spatial')::int, first_seen, node_id) as l from body where hub is not null and node_type in ('action', 'event', 'spatial') group by all),"
-    " blocks as (select h.video, 0 as b, h.first_seen as t, h.node_id as id, concat_ws(chr(10), '[' || h.text || ']' || case when h.n > 1 then ' ×' || h.n::varchar else '' end, l.l) as block from hub h left join lines l on l.video = h.video and l.hub = h.node_id"
+    " body_lines as (select video, hub, string_agg('  ' || clock || own || times, chr(10) order by (node_type = 'spatial')::int, first_seen, node_id) as l from body where hub is not null and node_type in ('action', 'event', 'spatial') group by all),"
+    " blocks as (select h.video, 0 as b, h.first_seen as t, h.node_id as id, concat_ws(chr(10), '[' || h.text || ']' || case when h.n > 1 then ' ×' || h.n::varchar else '' end, l.l) as block from hub h left join body_lines l on l.video = h.video and l.hub = h.node_id"
     " union all select video, 1, 0, 0, '[Other]' || chr(10) || string_agg('  • ' || clock || text || times, chr(10) order by first_seen, node_id) from body where hub is null and node_type <> 'text_ocr' group by video"
     " union all select video, 2, 0, 0, '[Screen Text]' || chr(10) || string_agg('  • \"' || text || '\"', chr(10) order by node_id) from body where node_type = 'text_ocr' group by video)"
     " select video, string_agg(block, chr(10) || chr(10) order by b, t, id) as context from blocks group by video"
