@@ -18,13 +18,17 @@ kept by toxic_filter.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 CATEGORIES = ("toxic_junk", "toxic_prose", "toxic")
 MAX_TRAIN = 6000
 FOLDS = 3
@@ -33,6 +37,7 @@ THRESHOLD = 0.5
 MIN_DF = 8
 MIN_Z = 6.0
 STEMS = (4, 5, 6, 7)
+BUCKET_BITS = 20
 L2 = 1e-2
 EPOCHS = 60
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,42 +100,67 @@ def odds(x: Sparse, dense: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
 
 
 def fit_chain(texts: list[str | None], labels: np.ndarray) -> dict:
-    """labels: a column for each of CATEGORIES. Returns the vocabulary (feature -> weights of all models) and the rest of the weights."""
-    # Copies would count a label many times over, so equal texts are one example.
-    first = sorted({t: i for i, t in reversed(list(enumerate(texts)))}.values())
-    texts, labels = [texts[i] for i in first], labels[first]
-    found = [features(t) for t in texts]
+    """labels: a column for each of CATEGORIES."""
+    return fit_stream(lambda: zip(texts, labels, strict=True))
+
+
+def fit_stream(read) -> dict:
+    """read() gives (text, labels) from the start again; three passes, so only what the models use is kept.
+
+    The first pass counts features in hash buckets, the second the features of buckets that differ between categories,
+    and the third reads the rows of the features that do. Copies would count a label many times over, so equal texts
+    are one example. Returns the vocabulary (feature -> weights of all models) and the rest of the weights.
+    """
+
+    def examples():
+        seen: set[bytes] = set()
+        for text, y in read():
+            key = hashlib.md5((text or "").encode()).digest()
+            if key not in seen:
+                seen.add(key)
+                yield key, features(text), y
+
+    k = len(CATEGORIES)
+    buckets, n, total = np.zeros((1 << BUCKET_BITS, 1 + k), np.float32), 0, np.zeros(k)
+    for _, f, y in examples():
+        at = np.unique([zlib.crc32(w.encode()) & ((1 << BUCKET_BITS) - 1) for w in f]).astype(np.int64)
+        buckets[at] += np.concatenate([[1], y])
+        n, total = n + 1, total + y
+
+    def telling(got: np.ndarray) -> np.ndarray:
+        expected = got[..., :1] * total / max(n, 1)
+        far = np.abs(got[..., 1:] - expected) >= MIN_Z * np.sqrt(expected * (1 - got[..., :1] / max(n, 1)) + 0.25)
+        return (got[..., 0] >= MIN_DF) & far.any(-1)
+
+    # A bucket shared by several features can hide one, so half the deviation is enough to look closer.
+    expected = buckets[:, :1] * total / max(n, 1)
+    look = (buckets[:, 0] >= MIN_DF) & (np.abs(buckets[:, 1:] - expected) >= MIN_Z / 2 * np.sqrt(expected * (1 - buckets[:, :1] / max(n, 1)) + 0.25)).any(1)
     df: dict[str, np.ndarray] = {}
-    for f, y in zip(found, labels, strict=True):
+    for _, f, y in examples():
         for w in set(f):
-            got = df.get(w)
-            if got is None:
-                got = df[w] = np.zeros(1 + len(CATEGORIES))
-            got[0] += 1
-            got[1:] += y
-    n, total = len(texts), labels.sum(0)
-    vocabulary = {}
-    for w, got in sorted(df.items()):
-        if got[0] >= MIN_DF:
-            expected = got[0] * total / n
-            if (np.abs(got[1:] - expected) >= MIN_Z * np.sqrt(expected * (1 - got[0] / n) + 0.25)).any():
-                vocabulary[w] = len(vocabulary)
+            if look[zlib.crc32(w.encode()) & ((1 << BUCKET_BITS) - 1)]:
+                if w not in df:
+                    df[w] = np.zeros(1 + k, np.float32)
+                df[w] += np.concatenate([[1], y])
+    vocabulary = {w: i for i, w in enumerate(sorted(w for w, got in df.items() if telling(got)))}
+    del df
+    rows = sorted(((key, sorted(vocabulary[w] for w in f if w in vocabulary), length(f), tuple(y)) for key, f, y in examples()), key=lambda r: r[0])
     size = len(vocabulary)
-    x = Sparse([np.array(sorted(vocabulary[w] for w in f if w in vocabulary), np.int64) for f in found])
-    fold = np.arange(len(texts)) % FOLDS
-    dense, models = np.array([[length(f)] for f in found]), []
-    for k in range(len(CATEGORIES)):
-        y = labels[:, k].astype(float)
+    x = Sparse([np.array(r[1], np.int64) for r in rows])
+    fold = np.arange(len(rows)) % FOLDS
+    labels = np.array([r[3] for r in rows], float).reshape(-1, k)
+    dense, models = np.array([[r[2]] for r in rows]).reshape(-1, 1), []
+    for j in range(k):
+        y = labels[:, j]
         models.append(fit_logistic(x, dense, y, size))
-        out = np.zeros(len(texts))
+        out = np.zeros(len(rows))
         for f in range(FOLDS):
             on = fold != f
             w = fit_logistic(x.take(on), dense[on], y[on], size)
             out[~on] = odds(x.take(~on), dense[~on], w, size)
         dense = np.column_stack([dense, out])
-    table = np.column_stack([w[:size] for w in models]) if size else np.zeros((0, len(CATEGORIES)))
-    keep = np.abs(table).max(1) > 1e-3 if size else []
-    return {"words": {w: tuple(table[i]) for w, i in vocabulary.items() if keep[i]}, "dense": [w[size:-1].tolist() for w in models], "bias": [float(w[-1]) for w in models]}
+    table = np.column_stack([w[:size] for w in models]) if size else np.zeros((0, k))
+    return {"words": {w: tuple(table[i].tolist()) for w, i in vocabulary.items() if np.abs(table[i]).max() > 1e-3}, "dense": [w[size:-1].tolist() for w in models], "bias": [float(w[-1]) for w in models]}
 
 
 def score(text: str | None, model: dict) -> list[float]:
@@ -149,12 +179,17 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: in
     """Fit on a bounded sample of labelled rows; None without usable labels. The sample's ids are few and broadcast."""
     usable = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic", F.coalesce(F.col("quality"), F.lit(0)).alias("quality"))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("quality").alias("quality")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    if not rows:
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "quality")
+    rows = materialise(spark, rows, "training")
+    if not rows.limit(1).count():
         return None
-    toxic, quality = (np.array([int(r[c]) for r in rows]) for c in ("toxic", "quality"))
-    return fit_chain([r["text"] for r in rows], np.column_stack([toxic & (1 - quality), toxic & quality, toxic]))
+
+    def read():
+        for r in rows.toLocalIterator():
+            t, q = int(r["toxic"]), int(r["quality"])
+            yield r["text"], np.array([t & (1 - q), t & q, t])
+
+    return fit_stream(read)
 
 
 def score_documents(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
