@@ -21,9 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, chunks, gram_hash, materialise, sorted_groups, string_buffers
+from .common import U, chunks, gram_hash, materialise, sorted_groups, string_buffers, trim
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Bytes of text for each shard.
 SHARD_BYTES = 8 << 20
 KEY_BITS = 48
@@ -47,8 +47,10 @@ class Block:
         self.data = np.frombuffer(raw, np.uint8, -1, 16 + 17 * n)
 
 
-def make_blocks(spark: SparkSession, docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """block, n_bytes, body: the documents (doc_id, text) in blocks of about `size` bytes, written once so that numbers stay."""
+def make_blocks(spark: SparkSession, docs: DataFrame, size: int | None = None) -> DataFrame:
+    """block, n_bytes, body: the documents (doc_id, text) in blocks of about `size` bytes (BLOCK_BYTES), written once so that numbers stay."""
+
+    limit = size or BLOCK_BYTES
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
@@ -57,7 +59,7 @@ def make_blocks(spark: SparkSession, docs: DataFrame, size: int = BLOCK_BYTES) -
             ids = batch.column(0)
             valid = np.asarray(ids.is_valid())
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in chunks(offs, size):
+            for a, b in chunks(offs, limit):
                 body = pack_body(ids[a:b], valid[a:b], data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([int(offs[b] - offs[a])], pa.int64()), pa.array([body], pa.binary())], ["block", "n_bytes", "body"])
                 k += 1
@@ -150,6 +152,7 @@ def at_shards(messages: DataFrame, answer) -> DataFrame:
         for group in sorted_groups(batches, 1):
             shard = group.column("shard")[0].as_py()
             back = answer(group.column("payload").to_pylist())
+            trim()
             yield _message([(shard, b, p) for b, p in zip(group.column("block").to_pylist(), back, strict=True) if p is not None])
 
     return messages.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, MESSAGE)
@@ -196,6 +199,7 @@ def at_blocks(blocks: DataFrame, messages: list[DataFrame], run, schema: str) ->
             block = Block(left.column("body")[0].as_py())
             block.number = left.column("block")[0].as_py()
             out = run(block, parts)
+            trim()
         cols = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -171,8 +172,11 @@ def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def long_key(name: str, *salt: object) -> F.Column:
-    return F.xxhash64(F.col(name), *[F.lit(s) for s in salt])
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: a worker that is done with a large block keeps none of it."""
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
 
 
 TABLE_BITS = 24
