@@ -8,9 +8,9 @@ it is; the rank limit doubles for documents with a coordinate left empty. Two si
 probability of their weighted Jaccard similarity.
 
 Signatures are cut in BANDS bands of ROWS coordinates. Documents that share a band are compared by their signatures
-with a few leaders of the bucket, never all pairs: everything that agrees in LOOSE of the coordinates is linked. LOOSE
-is far below the threshold, as the Jaccard distance obeys the triangle inequality: two documents within 0.2 of a third
-are within 0.4 of each other. Connected candidates then meet once, with their texts, and classes are made from exact
+with a few leaders of the bucket, never all pairs. A leader covers what agrees with it in COVER of the coordinates, and
+everything that agrees with it in LOOSE is linked to it. The Jaccard distance obeys the triangle inequality: what is
+within 0.2 of a covered document is within 0.35 + 0.2 of its leader, so it is linked to the same leader. Connected candidates then meet once, with their texts, and classes are made from exact
 similarities of at least THRESHOLD: a document is tested against all others unless it is in the largest class, so no
 link between classes is lost. Buckets and candidate components of more than CHUNK documents are dealt over chunks by a
 hash; the leaders, or the hub and some witnesses of each class, meet in a second step.
@@ -36,7 +36,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
-LOOSE = 0.4
+LOOSE, COVER = 0.4, 0.65
 CHUNK = 512
 WITNESSES = 8
 
@@ -154,16 +154,16 @@ def sign_documents(docs: DataFrame, weighted: bool = False) -> DataFrame:
 
 
 def lead(ids: np.ndarray, sig: np.ndarray) -> tuple[list, list, np.ndarray]:
-    """Links (a, b) of a bucket by its leaders, and the leaders: a row that no leader is like leads; all rows like a leader are linked to it."""
+    """Links (a, b) of a bucket by its leaders, and the leaders: a row that no leader covers leads; all rows like a leader are linked to it."""
     a, b, leaders, free = [], [], [], np.ones(len(ids), bool)
     while free.any():
         k = int(np.argmax(free))
-        like = (sig == sig[k]).mean(1) >= LOOSE
-        like[k] = True
+        agree = (sig == sig[k]).mean(1)
+        like = agree >= LOOSE
         others = ids[like]
         b += others[others != ids[k]].tolist()
         a += [int(ids[k])] * (len(b) - len(a))
-        free &= ~like
+        free &= agree < COVER
         leaders.append(k)
     return a, b, np.array(leaders)
 
