@@ -154,18 +154,21 @@ def sign_documents(docs: DataFrame, weighted: bool = False) -> DataFrame:
 
 
 def lead(ids: np.ndarray, sig: np.ndarray) -> tuple[list, list, np.ndarray]:
-    """Links (a, b) of a bucket by its leaders, and the leaders: a row that no leader covers leads; all rows like a leader are linked to it."""
-    a, b, leaders, free = [], [], [], np.ones(len(ids), bool)
+    """Links (a, b) of a bucket by its leaders, and the leaders: a row that no leader covers leads; all rows like a leader are linked to it.
+
+    Links serve to connect, so each row is linked once, to the least row of what its leaders connect; ids are in order.
+    """
+    label, leaders, free = np.arange(len(ids)), [], np.ones(len(ids), bool)
     while free.any():
         k = int(np.argmax(free))
         agree = (sig == sig[k]).mean(1)
-        like = agree >= LOOSE
-        others = ids[like]
-        b += others[others != ids[k]].tolist()
-        a += [int(ids[k])] * (len(b) - len(a))
+        joined = np.unique(label[agree >= LOOSE])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
         free &= agree < COVER
         leaders.append(k)
-    return a, b, np.array(leaders)
+    linked = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[linked]].tolist(), ids[linked].tolist(), np.array(leaders)
 
 
 def link_buckets(rows: DataFrame, again: bool) -> DataFrame:
