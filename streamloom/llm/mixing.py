@@ -106,7 +106,8 @@ def mix_sources(docs: DataFrame, *, budget: int = BUDGET, max_epochs: int = MAX_
     before = Window.partitionBy(*leaf).orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*leaf, "_mix_bucket", F.coalesce(F.sum("_mix_n").over(before), F.lit(0)).alias("_mix_start"))
     inside = Window.partitionBy(*leaf, "_mix_bucket").orderBy("_mix_hash", "_mix_id", "_mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_mix_sum", F.sum("_mix_tokens").over(inside)).join(starts, [*leaf, "_mix_bucket"])
+    # Dealt by bucket: else the window would take over the dealing of the join by leaf, and a hot leaf would be one task.
+    rows = rows.repartition(*leaf, "_mix_bucket").withColumn("_mix_sum", F.sum("_mix_tokens").over(inside)).join(starts, [*leaf, "_mix_bucket"])
     last = (F.col("_mix_start") + F.col("_mix_sum") <= F.col("_mix_rest")).cast("int")
     rows = rows.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_epochs").cast("int") + last))).filter("_mix_epoch > 0")
     kept = [c for c in docs.columns if c not in ("domain", "n_tokens", "epoch")]
