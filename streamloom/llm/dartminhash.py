@@ -7,13 +7,19 @@ coordinates, and a coordinate keeps its earliest dart. About K (ln K + 2) darts
 it is; the rank limit doubles for documents with a coordinate left empty. Two signatures agree in a coordinate with the
 probability of their weighted Jaccard similarity.
 
-Signatures are cut in BANDS bands of ROWS coordinates. Documents that share a band are compared by their signatures
-with a few leaders of the bucket, never all pairs. A leader covers what agrees with it in COVER of the coordinates, and
-everything that agrees with it in LOOSE is linked to it. The Jaccard distance obeys the triangle inequality: what is
-within 0.2 of a covered document is within 0.35 + 0.2 of its leader, so it is linked to the same leader. Connected candidates then meet once, with their texts, and classes are made from exact
-similarities of at least THRESHOLD: a document is tested against all others unless it is in the largest class, so no
-link between classes is lost. Buckets and candidate components of more than CHUNK documents are dealt over chunks by a
-hash; the leaders, or the hub and some witnesses of each class, meet in a second step.
+Signatures are cut in BANDS bands of ROWS coordinates. Documents that share a band are candidates. In a bucket of up to
+CHUNK documents they are compared by their signatures with a few leaders, never all pairs: a leader covers what agrees
+with it in COVER of the coordinates, and everything that agrees with it in LOOSE is linked to it. The Jaccard distance
+obeys the triangle inequality: what is within 0.2 of a covered document is within 0.35 + 0.2 of its leader, so it is
+linked to the same leader. In a larger bucket everything is linked to the least document. Connected candidates then meet
+with their texts, and classes are made from exact similarities of at least THRESHOLD: a document is tested against all
+others unless it is in the largest class, so no link between classes is lost.
+
+Components of more than CHUNK documents are dealt over chunks by a hash. Some witnesses of the largest class of each
+chunk join these classes, in as many levels as are needed. What is then outside the largest class of its component is
+tested, in blocks of CHUNK, against every chunk where it shares a band with a document: of a link between two classes
+one end is outside the largest, so none is lost here either. Groups in a task stay near 2 CHUNK documents; the work is
+documents outside x documents, compared in blocks, and only links between classes leave it.
 
 Copies (equal texts) are put together first and enter the join once.
 
@@ -171,46 +177,36 @@ def lead(ids: np.ndarray, sig: np.ndarray) -> tuple[list, list, np.ndarray]:
     return ids[label[linked]].tolist(), ids[linked].tolist(), np.array(leaders)
 
 
-def link_buckets(rows: DataFrame, again: bool) -> DataFrame:
-    """rows: key, chunk, rep, sig, split, dealt out and sorted by the first two. Links as (a, b); leaders of split buckets come with their sig and key."""
+def link_buckets(rows: DataFrame) -> DataFrame:
+    """rows: key, rep, sig. Links (a, b), a < b, of buckets of bounded size."""
 
     def run(batches):
-        out: list[tuple] = []
-        for group in sorted_groups(batches, 2):
-            ids = group.column("rep").to_numpy()
-            split = again and group.column("split")[0].as_py()
-            if len(ids) == 1 and not split:
-                continue
-            raw = group.column("sig").to_pylist()
-            sig = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, K)
-            a, b, leaders = lead(ids, sig)
-            out += [(min(x, y), max(x, y), None, None) for x, y in zip(a, b, strict=True)]
-            if split:
-                key = group.column("key")[0].as_py()
-                out += [(int(ids[i]), None, key, raw[i]) for i in leaders]
+        out: set[tuple[int, int]] = set()
+        for group in sorted_groups(batches, 1):
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, K)
+            a, b, _ = lead(group.column("rep").to_numpy(), sig)
+            out.update(zip(a, b, strict=True))
             if len(out) > 20_000:
-                yield batch_of(out)
-                out = []
-        yield batch_of(out)
+                yield link_batch(out)
+                out = set()
+        yield link_batch(out)
 
-    def batch_of(out):
-        cols = list(zip(*set(out), strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["a", "b", "key", "sig"])
+    return rows.repartition("key").sortWithinPartitions("key", "rep").select("key", "rep", "sig").mapInArrow(run, "a long, b long")
 
-    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "rep").mapInArrow(run, "a long, b long, key long, sig binary")
+
+def link_batch(links: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def candidate_links(spark: SparkSession, unique: DataFrame) -> DataFrame:
     """Distinct links (a, b), a < b, between documents of unique (rep, bands, sig) that share a band and may be alike."""
     keys = unique.select("rep", F.explode("bands").alias("key"))
-    counts = materialise(spark, keys.groupBy("key").count().filter("count > 1"), "bands")
+    counts = materialise(spark, keys.groupBy("key").agg(F.count("*").alias("count"), F.min("rep").alias("least")).filter("count > 1"), "bands")
     shared = materialise(spark, keys.join(counts, "key"), "buckets")
-    rows = shared.join(unique.select("rep", "sig"), "rep").select(
-        "key", F.pmod(F.xxhash64("rep"), F.expr(f"cast(ceil(count / {CHUNK}) as long)")).alias("chunk"), "rep", "sig", (F.col("count") > CHUNK).alias("split")
-    )
-    first = materialise(spark, link_buckets(rows, True), "links")
-    second = link_buckets(first.filter("b is null").select("key", F.lit(0).cast("long").alias("chunk"), F.col("a").alias("rep"), "sig", F.lit(False).alias("split")), False)
-    return first.filter("b is not null").select("a", "b").union(second.select("a", "b")).distinct()
+    small = link_buckets(shared.filter(F.col("count") <= CHUNK).join(unique.select("rep", "sig"), "rep"))
+    large = shared.filter((F.col("count") > CHUNK) & (F.col("rep") > F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    return small.union(large).distinct()
 
 
 def exact_classes(sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -244,30 +240,114 @@ def exact_classes(sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple
         label[np.isin(label, joined)] = joined.min()
 
 
-def class_rows(rows: DataFrame, again: bool) -> DataFrame:
-    """rows: component, chunk, rep, text, split, dealt out and sorted by the first two. (rep, class), and texts of split components' hubs with their component."""
+def shingle_sets(column) -> list[np.ndarray]:
+    """The distinct shingles of each text; a text without any has its row number."""
+    data, offs = string_buffers(column)
+    values, row = shingles(data, offs)
+    values, row, _ = weigh(values, row)
+    sets = np.split(values, np.searchsorted(row, np.arange(1, len(column))))
+    return [s if len(s) else np.array([i], np.uint64) for i, s in enumerate(sets)]
+
+
+def class_rows(rows: DataFrame) -> DataFrame:
+    """rows: component, chunk, rep, text, split, dealt out and sorted by the first two. (rep, class), and with component and text the witnesses of the largest class of each chunk of a split component."""
 
     def run(batches):
         for group in sorted_groups(batches, 2):
             ids = group.column("rep").to_numpy()
-            data, offs = string_buffers(group.column("text"))
-            values, row = shingles(data, offs)
-            values, row, _ = weigh(values, row)
-            sets = np.split(values, np.searchsorted(row, np.arange(1, len(ids))))
-            sets = [s if len(s) else np.array([i], np.uint64) for i, s in enumerate(sets)]
-            label, links = exact_classes(sets)
+            label, links = exact_classes(shingle_sets(group.column("text")))
             least = {int(c): int(ids[label == c].min()) for c in np.unique(label)}
             out = [(int(i), least[int(c)], None, None) for i, c in zip(ids, label, strict=True)]
-            if again and group.column("split")[0].as_py():
-                component, texts = group.column("component")[0].as_py(), group.column("text")
-                for c in least:
-                    own = np.flatnonzero(label == c)
-                    picked = own[np.argsort(-links[own], kind="stable")[: WITNESSES // 2]].tolist() + own[:: max(1, len(own) // (WITNESSES // 2))].tolist()
-                    out += [(int(ids[i]), least[c], component, texts[i].as_py()) for i in set(picked)]
+            if group.column("split")[0].as_py():
+                component, texts, largest = group.column("component")[0].as_py(), group.column("text"), int(np.argmax(np.bincount(label)))
+                own = np.flatnonzero(label == largest)
+                picked = own[np.argsort(-links[own], kind="stable")[: WITNESSES // 2]].tolist() + own[:: max(1, len(own) // (WITNESSES // 2))].tolist()[: WITNESSES // 2]
+                out += [(int(ids[i]), least[largest], component, texts[i].as_py()) for i in set(picked)]
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["rep", "class", "component", "text"])
 
-    return rows.repartition("component", "chunk").sortWithinPartitions("component", "chunk").mapInArrow(run, "rep long, class long, component long, text string")
+    return rows.select("component", "chunk", "rep", "text", "split").repartition("component", "chunk").sortWithinPartitions("component", "chunk").mapInArrow(run, "rep long, class long, component long, text string")
+
+
+def deal(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows with n (rows of the component), chunk (near CHUNK rows of a component share one) and split (it has several)."""
+    chunk = F.pmod(F.xxhash64("rep"), F.expr(f"cast(ceil(n / {CHUNK}) as long)"))
+    return rows.join(sizes, "component").withColumn("chunk", chunk).withColumn("split", F.col("n") > CHUNK)
+
+
+def component_sizes(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    return materialise(spark, rows.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+
+
+def join_witnesses(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of the chunks of a component, from witnesses (rep, class, component, text): level after level of chunks."""
+    links = None
+    while True:
+        hubs = found.filter("component is not null").select("component", F.col("class").alias("own"), "rep", "text")
+        sizes = component_sizes(spark, hubs)
+        found = materialise(spark, class_rows(deal(hubs, sizes)), "witnesses")
+        now = found.filter("component is null").select("rep", "class").join(hubs.select("rep", "own"), "rep").select("class", "own")
+        # the class of a witness set is named by a witness; its own class stands for it
+        named = now.join(hubs.select(F.col("rep").alias("class"), F.col("own").alias("named")), "class").select(F.col("named").alias("a"), F.col("own").alias("b")).filter("a <> b").distinct()
+        links = named if links is None else links.union(named)
+        found = found.filter("component is not null").join(hubs.select("rep", "own"), "rep").select("rep", F.col("own").alias("class"), "component", "text")
+        if not sizes.filter(F.col("n") > CHUNK).limit(1).count():
+            return links
+
+
+def try_outside(rows: DataFrame) -> DataFrame:
+    """rows: component, place, rep, class, asks, text, dealt out and sorted by the first two. Links (a, b) between classes, from every document that asks against all of its place."""
+
+    def run(batches):
+        for group in sorted_groups(batches, 2):
+            asks = np.flatnonzero(group.column("asks").to_numpy())
+            sets = shingle_sets(group.column("text"))
+            size = np.array([len(s) for s in sets])
+            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            owner = np.repeat(np.arange(len(sets)), size)
+            parts = np.split(flat, np.cumsum(size)[:-1])
+            label, out = group.column("class").to_numpy().copy(), set()
+            for p in asks:
+                mark = np.zeros(int(flat.max()) + 1, bool)
+                mark[parts[p]] = True
+                both = np.bincount(owner[mark[flat]], minlength=len(sets))
+                joined = np.unique(label[both >= THRESHOLD * (size + size[p] - both) - 1e-9])
+                if len(joined) > 1:
+                    out.update((int(joined[0]), int(j)) for j in joined[1:])
+                    label[np.isin(label, joined)] = joined[0]
+            yield link_batch(out)
+
+    return rows.select("component", "place", "rep", "class", "asks", "text").repartition("component", "place").sortWithinPartitions("component", "place").mapInArrow(run, "a long, b long")
+
+
+def outside_links(spark: SparkSession, members: DataFrame, unique: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links (a, b) between classes of split components, members (component, chunk, rep, class); None if each is one class.
+
+    Documents outside the largest class of their component ask every chunk where one shares a band with them.
+    """
+    count = members.groupBy("component", "class").agg(F.count("*").alias("n"))
+    largest = count.groupBy("component").agg(F.max_by("class", F.struct("n", "class")).alias("largest"))
+    asking = materialise(spark, members.join(largest, "component").filter("class <> largest").select("component", "rep", "class"), "outside")
+    asked = asking.groupBy("component").agg(F.count("*").alias("asked"))
+    if not asking.limit(1).count():
+        return None
+    bands = members.join(unique.select("rep", F.explode("bands").alias("key")), "rep").select("component", "rep", "chunk", "key")
+    held = bands.select("component", "key", "chunk").distinct()
+    wanted = asking.join(bands.select("rep", "key"), "rep").join(held, ["component", "key"]).select("component", "rep", "class", "chunk").distinct()
+    block = F.pmod(F.xxhash64(F.lit(1), F.col("rep")), F.expr(f"cast(ceil(asked / {CHUNK}) as long)"))
+    wanted = materialise(spark, wanted.join(asked, "component").withColumn("place", F.col("chunk") * (1 << 32) + block).select("component", "chunk", "place", "rep", "class"), "asking")
+    places = wanted.select("component", "chunk", "place").distinct()
+    both = wanted.select("component", "place", "rep", "class", F.lit(True).alias("asks")).union(
+        members.join(places, ["component", "chunk"]).select("component", "place", "rep", "class", F.lit(False).alias("asks"))
+    )
+    both = both.groupBy("component", "place", "rep", "class").agg(F.max("asks").alias("asks"))
+    return materialise(spark, try_outside(with_text(spark, docs, both)), "outside_links")
+
+
+def with_text(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with the text of the document that rep names, one row of it."""
+    texts = through_table(docs.select("doc_id", "text").filter("text is not null and doc_id is not null"), "doc_id", bit_table(spark, rows.select("rep").distinct(), "rep"))
+    return texts.join(rows, texts["doc_id"] == rows["rep"]).drop("doc_id")
 
 
 def classes(spark: SparkSession, docs: DataFrame, weighted: bool = False) -> DataFrame:
@@ -275,26 +355,28 @@ def classes(spark: SparkSession, docs: DataFrame, weighted: bool = False) -> Dat
     signed = materialise(spark, sign_documents(docs, weighted), "signatures")
     known = signed.filter("text_key is not null and doc_id is not null")
     unique = materialise(spark, known.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "unique")
-    links = candidate_links(spark, unique)
-    member = components(spark, links)
-    sizes = materialise(spark, member.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    member = materialise(spark, member.join(sizes, "component"), "members")
-    texts = through_table(docs.select("doc_id", "text").filter("text is not null and doc_id is not null"), "doc_id", bit_table(spark, member, "node"))
-    rows = texts.join(member, texts["doc_id"] == member["node"]).select(
-        "component", F.pmod(F.xxhash64("node"), F.expr(f"cast(ceil(n / {CHUNK}) as long)")).alias("chunk"), F.col("node").alias("rep"), "text", (F.col("n") > CHUNK).alias("split")
-    )
-    first = materialise(spark, class_rows(rows, True), "classes")
-    hubs = first.filter("component is not null").select("component", F.lit(0).cast("long").alias("chunk"), F.col("class").alias("rep"), "text", F.lit(False).alias("split"))
-    merged = class_rows(hubs, False).select(F.col("rep").alias("a"), F.col("class").alias("b")).filter("a <> b").distinct()
+    member = components(spark, candidate_links(spark, unique)).select("component", F.col("node").alias("rep"))
+    member = materialise(spark, deal(member, component_sizes(spark, member)), "members")
+    first = materialise(spark, class_rows(with_text(spark, docs, member)), "classes")
     own = first.filter("component is null").groupBy("rep").agg(F.min("class").alias("class"))
-    top = components(spark, merged).select(F.col("node").alias("class"), F.col("component").alias("top"))
-    final = own.join(top, "class", "left").select("rep", F.coalesce("top", "class").alias("class_id"))
-    final = unique.select("text_key", "rep").join(final, "rep", "left").select("text_key", F.coalesce("class_id", "rep").alias("class_id"))
+    if member.filter("split").limit(1).count():
+        links = materialise(spark, join_witnesses(spark, first), "class_links")
+        own = materialise(spark, rename(spark, own, links), "joined")
+        members = materialise(spark, member.filter("split").select("component", "chunk", "rep").join(own, "rep"), "split")
+        more = outside_links(spark, members, unique, docs)
+        own = own if more is None else rename(spark, own, more)
+    final = unique.select("text_key", "rep").join(own, "rep", "left").select("text_key", F.coalesce("class", "rep").alias("class_id"))
     final = materialise(spark, final, "final")
     out = signed.select("doc_id", "text_key").join(final, "text_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out
 
 
+def rename(spark: SparkSession, own: DataFrame, links: DataFrame) -> DataFrame:
+    """own (rep, class) with the classes that links (a, b) connect made one."""
+    top = components(spark, links).select(F.col("node").alias("class"), F.col("component").alias("top"))
+    return own.join(top, "class", "left").select("rep", F.coalesce("top", "class").alias("class"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without those that have a class with a smaller doc_id; the others stay, with all their columns."""
     gone = materialise(spark, classes(spark, docs).filter("class_id < doc_id").select("doc_id").distinct(), "dropped")

@@ -140,6 +140,33 @@ def test_near_duplicates(spark, docs, empty):
     assert kept == {top(i) for i in sets} | {None}
 
 
+def test_near_duplicates_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(dartminhash, "CHUNK", 8)
+    monkeypatch.setattr(dartminhash, "WITNESSES", 2)
+    rng = random.Random(3)
+    word = [f"w{i}" for i in range(500)]
+    base = [rng.choice(word) for _ in range(150)]
+    texts = []
+    for _ in range(4):  # chains, so that links are few and ends far apart
+        w = list(base)
+        for at in rng.sample(range(150), 12):
+            w[at] = rng.choice(word)
+        for _ in range(30):
+            w[rng.randrange(150)] = rng.choice(word)
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    top = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = top[i], top[j]
+                top = [min(a, b) if t in (a, b) else t for t in top]
+    assert 1 < len(set(top)) < len(top) / 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in dartminhash.classes(spark, docs).collect()} == dict(enumerate(top))
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     base = rng.integers(1, 1 << 62, 300).astype(np.uint64)
