@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of passages with test items.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of passages with test items.
 
-Words are lower-cased runs without white space and ASCII punctuation. Every run of SEED words of an item is a seed; how
-many documents hold it is counted over the whole corpus. An item keeps its rare seeds: those in at most RARE_SHARE of
-the documents (or RARE_LEAST), and always the rarer half, so that an item that leaked into very many documents is still
-found. Each hit of a kept seed puts the passage around it to a local alignment with the item, over words: match 2,
-mismatch and gap -1. A document is contaminated if an alignment reaches THRESHOLD of the item's best score and the score
-of min(item length, LEAST_WORDS) matching words.
+Words are lower-cased runs without white space and ASCII punctuation. Every run of SEED words of an item is a seed, and
+none is dropped, however common: each hit of a seed puts the passage around it to a local alignment with the item, over
+words: match 2, mismatch and gap -1. A document is contaminated if an alignment reaches THRESHOLD of the item's best
+score and the score of min(item length, LEAST_WORDS) matching words. A passage is not aligned where twice the number of
+words it shares with the item (with multiplicity) is below what must be reached: no alignment scores more than that, so
+hits of common seeds cost little and nothing is lost.
 
-Items are handled in blocks of at most BLOCK items, each against all documents; a block's seeds are all that is sent to
-tasks.
+Items are handled in blocks of about BLOCK items, each against all documents; a block's seeds and words are all that is
+sent to tasks. Hits are taken a few rows at a time, so that a seed of many items in many rows is held in parts.
 
 Defined cases: null and empty texts and items match nothing; items shorter than SEED words have no seeds and are never
 found; repeated items count once each, the least item_id winning ties; repeated documents are each judged; other
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .common import SPACE, U, chunks, gram_hash, string_buffers, word_hashes, words
 
 SEED = 3
-RARE_SHARE = 1e-4
-RARE_LEAST = 20
 THRESHOLD = 0.5
 LEAST_WORDS = 8
 BLOCK = 4000
+#: Postings or words of passages that are held at once.
+_AT_ONCE = 1 << 20
 _FILTER_BITS = 20
 _PUNCTUATION = SPACE.copy()
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -56,38 +56,18 @@ class Items:
         grams = [gram_hash(w, SEED) for w in self.words]
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         self.seeds, self.seed = np.unique(every, return_inverse=True)
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        self.keep(np.ones(len(self.seeds), bool), np.ones(len(every), bool))
-
-    def keep(self, seeds: np.ndarray, postings: np.ndarray) -> None:
-        new = np.cumsum(seeds) - 1
-        on = postings & seeds[self.seed]
-        self.seeds, self.seed, self.item, self.place = self.seeds[seeds], new[self.seed[on]], self.item[on], self.place[on]
         order = np.argsort(self.seed, kind="stable")
-        self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
+        self.seed = self.seed[order]
+        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
         self.first = np.searchsorted(self.seed, np.arange(len(self.seeds) + 1))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.seeds >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def keep_rare(self, df: np.ndarray, n_docs: int) -> None:
-        """Drop an item's postings of seeds that are neither rare in the corpus nor in the item's rarer half."""
-        mine = df[self.seed]
-        limit = np.full(len(self.ids), max(RARE_LEAST, int(RARE_SHARE * n_docs)))
-        for i in range(len(self.ids)):
-            own = mine[self.item == i] if len(self.ids) < 50 else None
-            if own is not None and len(own):
-                limit[i] = max(limit[i], int(np.median(own)))
-        if len(self.ids) >= 50:
-            order = np.lexsort((mine, self.item))
-            first = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-            some = first[1:] > first[:-1]
-            middle = order[((first[:-1] + first[1:]) // 2)[some]]
-            limit[some] = np.maximum(limit[some], mine[middle])
-        good = mine <= limit[self.item]
-        used = np.zeros(len(self.seeds), bool)
-        used[self.seed[good]] = True
-        self.keep(used, good)
+        # How often each item has each word, by item and word.
+        self.known, word = np.unique(hashes, return_inverse=True)
+        self.size = np.diff(before)
+        self.pairs, self.times = np.unique(np.repeat(np.arange(len(self.ids)), self.size) * len(self.known) + word, return_counts=True)
+        self.least = np.maximum(2 * self.size * THRESHOLD, 2 * np.minimum(self.size, LEAST_WORDS))
 
     def hits(self, hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word positions where a seed starts inside one row, and which."""
@@ -125,72 +105,79 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parts(sizes: np.ndarray):
+    """Ranges [a, b) whose sizes sum up to about _AT_ONCE; a larger one stands alone."""
+    total = np.append(0, np.cumsum(sizes))
+    yield from chunks(total, _AT_ONCE)
+
+
+def most_shared(block: Items, item: np.ndarray, low: np.ndarray, high: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How many words the passages hashes[low:high] share with their items, with multiplicity."""
+    out = np.zeros(len(item), np.int64)
+    # Only words that some item has are looked at.
+    found = np.searchsorted(block.known, hashes)
+    found[found == len(block.known)] = 0
+    at = np.flatnonzero(block.known[found] == hashes)
+    word = found[at]
+    low, high = np.searchsorted(at, low), np.searchsorted(at, high)
+    for a, b in parts(high - low):
+        n = high[a:b] - low[a:b]
+        which = np.repeat(np.arange(b - a), n)
+        pair = item[a:b][which] * len(block.known) + word[np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        place = np.searchsorted(block.pairs, pair)
+        place[place == len(block.pairs)] = 0
+        good = block.pairs[place] == pair
+        both, times = np.unique(which[good] * len(block.pairs) + place[good], return_counts=True)
+        out[a:b] = np.bincount(both // len(block.pairs), np.minimum(times, block.times[both % len(block.pairs)]), b - a)
+    return out
+
+
 def judge(column, block: Items) -> list[tuple]:
     """(row, item_id, score) of the best contaminating item of each contaminated row."""
     out: dict[int, tuple] = {}
     _, offs = string_buffers(column)
     for a, b in chunks(offs, 1 << 21):
         hashes, before = word_rows(column.slice(a, b - a))
-        at, seed = block.hits(hashes, before)
-        if not len(at):
+        every, seeds = block.hits(hashes, before)
+        if not len(every):
             continue
-        n = block.first[seed + 1] - block.first[seed]
-        which = np.repeat(block.first[seed] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at, item, place = np.repeat(at, n), block.item[which], block.place[which]
-        row = np.searchsorted(before, at, "right") - 1
-        order = np.lexsort((at, item, row))
-        row, item, at, place = row[order], item[order], at[order], place[order]
-        size = np.array([len(w) for w in block.words])[item]
-        new = np.ones(len(at), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * size[1:])
-        slack = size // 4 + 2
-        low, high = np.maximum(before[row], at - place - slack), np.minimum(before[row + 1], at - place + size + slack)
-        first = np.flatnonzero(new)
-        low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
-        row, item, size = row[first], item[first], size[first]
-        scores = align([block.words[i] for i in item], [hashes[x:y] for x, y in zip(low, high, strict=True)])
-        good = (scores >= 2 * size * THRESHOLD) & (scores >= 2 * np.minimum(size, LEAST_WORDS))
-        for r, i, s, k in zip(row[good], item[good], scores[good], size[good], strict=True):
-            got = (s / (2 * k), -int(block.ids[i]))
-            if got > out.get(a + int(r), (0.0, 0)) or a + int(r) not in out:
-                out[a + int(r)] = got
+        rows = np.searchsorted(before, every, "right") - 1
+        start = np.append(np.flatnonzero(np.append(True, rows[1:] != rows[:-1])), len(rows))
+        postings = block.first[seeds + 1] - block.first[seeds]
+        for x, y in parts(np.add.reduceat(postings, start[:-1])):
+            some = slice(start[x], start[y])
+            at, seed, row, n = every[some], seeds[some], rows[some], postings[some]
+            which = np.repeat(block.first[seed] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at, row, item, place = np.repeat(at, n), np.repeat(row, n), block.item[which], block.place[which]
+            order = np.lexsort((at, item, row))
+            row, item, at, place = row[order], item[order], at[order], place[order]
+            size = block.size[item]
+            new = np.ones(len(at), bool)
+            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * size[1:])
+            slack = size // 4 + 2
+            low, high = np.maximum(before[row], at - place - slack), np.minimum(before[row + 1], at - place + size + slack)
+            first = np.flatnonzero(new)
+            low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            row, item = row[first], item[first]
+            able = 2 * most_shared(block, item, low, high, hashes) >= block.least[item]
+            row, item, low, high = row[able], item[able], low[able], high[able]
+            scores = align([block.words[i] for i in item], [hashes[p:q] for p, q in zip(low, high, strict=True)])
+            good = scores >= block.least[item]
+            for r, i, s, k in zip(row[good], item[good], scores[good], block.size[item[good]], strict=True):
+                got = (s / (2 * k), -int(block.ids[i]))
+                if got > out.get(a + int(r), (0.0, 0)) or a + int(r) not in out:
+                    out[a + int(r)] = got
     return [(r, -i, float(s)) for r, (s, i) in sorted(out.items())]
 
 
-def blocks_of(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> list:
-    """Broadcast blocks of items with their rare seeds; document counts of seeds are taken over all documents."""
+def blocks_of(spark: SparkSession, benchmark: DataFrame) -> list:
+    """Broadcast blocks of items with their seeds."""
     items = benchmark.filter("text is not null and item_id is not null").select("item_id", "text")
     k = max(1, -(-items.count() // BLOCK))
     out = []
     for b in range(k):
         rows = sorted(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == b).collect())
-        block = Items([r[0] for r in rows], [r[1] for r in rows])
-        sent = spark.sparkContext.broadcast(cloudpickle.dumps(block))
-
-        def count(batches, sent=sent):
-            mine, n = pickle.loads(sent.value), 0
-            total = np.zeros(len(mine.seeds), np.int64)
-            for batch in batches:
-                column = batch.column(0)
-                n += len(column)
-                _, offs = string_buffers(column)
-                for x, y in chunks(offs, 1 << 21):
-                    hashes, before = word_rows(column.slice(x, y - x))
-                    at, seed = mine.hits(hashes, before)
-                    pairs = np.unique((np.searchsorted(before, at, "right") - 1) * (len(total) + 1) + seed)
-                    total += np.bincount(pairs % (len(total) + 1), minlength=len(total))[: len(total)]
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(total[some], n), pa.int64())], ["seed", "n"])
-
-        df = np.zeros(len(block.seeds), np.int64)
-        n_docs = 0
-        for r in docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
-            if r["seed"] >= 0:
-                df[r["seed"]] = r["n"]
-            else:
-                n_docs = r["n"]
-        block.keep_rare(df, n_docs)
-        out.append(spark.sparkContext.broadcast(cloudpickle.dumps(block)))
+        out.append(spark.sparkContext.broadcast(cloudpickle.dumps(Items([r[0] for r in rows], [r[1] for r in rows]))))
     return out
 
 
@@ -199,7 +186,7 @@ def detect(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFr
     keep = [c for c in docs.columns if c not in ("contaminated", "item_id", "score")]
     out = docs.select(*keep).withColumns({"contaminated": F.lit(False), "item_id": F.lit(None).cast("long"), "score": F.lit(None).cast("double")})
     at = keep.index("text")
-    for sent in blocks_of(spark, docs, benchmark):
+    for sent in blocks_of(spark, benchmark):
 
         def run(batches, sent=sent):
             block, k = pickle.loads(sent.value), len(keep)

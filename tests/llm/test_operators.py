@@ -281,6 +281,30 @@ def test_decontamination(spark, docs, empty):
     assert decontam.detect(spark, empty, benchmark).count() == 0
 
 
+def test_decontamination_of_an_edited_copy_beside_many_exact_leaks(spark):
+    rng = random.Random(4)
+    w = [f"c{rng.randrange(10**6)}" for _ in range(30)]
+    edited = " ".join(f"swap{k}" if k % 4 == 3 else x for k, x in enumerate(w))
+    other = [" ".join(f"f{rng.randrange(10**6)}" for _ in range(40)) for _ in range(50)]
+    texts = [f"{t} {' '.join(w)} {t}" for t in other] + [f"{other[0]} {edited} {other[1]}"] + [f"{t} {' '.join(w[:5])} {t}" for t in other]
+    benchmark = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = decontam.detect(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark).filter("contaminated")
+    assert {r["doc_id"]: r["score"] for r in got.collect()} == dict.fromkeys(range(50), 1.0) | {50: 39 / 60}
+
+
+def test_decontamination_aligns_all_that_can_reach_the_threshold(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontam, "_AT_ONCE", 100)
+    rng = random.Random(6)
+    items = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 30))) for _ in range(40)]
+    texts = [" ".join(rng.choice("abcdefghxyz") for _ in range(60)) if k % 2 else items[k].replace("a", "x") for k in range(40)]
+    block = decontam.Items(list(range(40)), items)
+    got = decontam.judge(pa.array(texts), block)
+    monkeypatch.setattr(decontam, "most_shared", lambda block, item, *_: np.full(len(item), 1000))
+    assert got == decontam.judge(pa.array(texts), block) and len(got) > 10
+
+
 def test_pii_spans():
     text = "mail a.b@c-d.org, ip 10.0.0.255 and 10.0.0.256, card 4111 1111 1111 1111, call +49 (30) 1234567 x@y"
     assert [(k, text[a:b]) for a, b, k in pii.base_spans(text)] == [("email", "a.b@c-d.org"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 1234567")]
