@@ -4,9 +4,11 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. A
 mention the words within WINDOW words are its context. Over the whole corpus, a term's disclosure of an entity is the
 pointwise mutual information, in bits, between "an occurrence of the term" and "standing in a context of the entity":
 log2( P(entity | term) / P(entity) ), with P(entity | term) = occurrences of the term in contexts of the entity / all
-its occurrences. A term is disclosing if P(entity | term) >= MIN_POSTERIOR, the information reaches MIN_BITS, and at
-least MIN_SUPPORT different contexts (by content, so copies count once) show it. All occurrences of a disclosing term
-are spans of kind "term": redacting removes them, or puts a class in their place.
+its occurrences. A term is disclosing if P(entity | term) >= MIN_POSTERIOR and the information reaches MIN_BITS, in
+however few contexts. The information is the test of significance, too: that t of a term's n occurrences stand with an
+entity by chance has a probability of at most n choose t times P(entity)^t, which for t = 1 is 2^-bits, and for larger t
+is below that from 3 bits on. All occurrences of a disclosing term are spans of kind "term": redacting generalises them to
+their class, [TERM].
 
 Counts cover all documents. Terms are counted in two scans: the first finds contexts, the second counts the candidate
 terms everywhere, behind a bit table of fixed size that only saves shuffling; the join that follows is exact. Disclosing
@@ -37,7 +39,6 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 6
 MIN_POSTERIOR = 0.5
 MIN_BITS = 6.0
-MIN_SUPPORT = 3
 TERM_BLOCK = 200_000
 #: Bits of the table that spares shuffling words that are no candidates.
 TABLE_BITS = 22
@@ -84,20 +85,29 @@ def term_hash(term: str) -> int:
     return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little") >> (64 - TABLE_BITS)
 
 
-def contexts(text: str) -> list[tuple[str, str, str]]:
-    """(term, entity, content of the context) for each mention."""
+def contexts(text: str) -> list[tuple[str, str, str, int]]:
+    """(term, entity, content of the context, occurrences) for each mention; an occurrence counts once for an entity, also near two mentions."""
     spans = base_spans(text)
     if not spans:
         return []
-    out = []
+    mails = [(a, b) for a, b, kind in spans if kind == "email"]
+    out, had = [], set()
     for a, b, kind in spans:
         # A window of words around the mention; white space bounds it, so only a slice is scanned.
-        left, right = text[max(0, a - 40 * WINDOW) : a], text[b : b + 40 * WINDOW]
-        near = " ".join(left.split()[-WINDOW:]) + " | " + " ".join(right.split()[:WINDOW])
+        left = list(_WORDS.finditer(text, max(0, a - 40 * WINDOW), a))[-WINDOW:]
+        right = list(_WORDS.finditer(text, b, b + 40 * WINDOW))[:WINDOW]
+        near = " ".join(m[0] for m in left) + " | " + " ".join(m[0] for m in right)
         mark = hashlib.blake2b(near.encode(), digest_size=8).hexdigest()
         entity = value_of(kind, text[a:b])
-        clean = re.sub(EMAIL, " ", near)
-        out += [(t, entity, mark) for t in set(_WORD.findall(clean.lower()))]
+        found: dict[str, int] = {}
+        for word in left + right:
+            for m in _WORD.finditer(text, word.start(), word.end()):
+                if any(x < m.end() and m.start() < y for x, y in mails):
+                    continue
+                term = m[0].lower()
+                found[term] = found.get(term, 0) + ((entity, m.start()) not in had)
+                had.add((entity, m.start()))
+        out += [(t, entity, mark, n) for t, n in found.items()]
     return out
 
 
@@ -107,13 +117,12 @@ def find_disclosing(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
             rows = [c for t in batch.column(0) if t.is_valid for c in contexts(t.as_py())]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["term", "entity", "mark"])
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], ["term", "entity", "mark", "n"])
 
-    seen = materialise(spark, docs.select("text").mapInArrow(scan, "term string, entity string, mark string"), "pii-contexts")
+    seen = materialise(spark, docs.select("text").mapInArrow(scan, "term string, entity string, mark string, n long"), "pii-contexts")
     mentions = seen.groupBy("entity").agg(F.countDistinct("mark").alias("n_entity"))
-    marks = seen.groupBy("term", "entity", "mark").count()
-    pairs = marks.groupBy("term", "entity").agg(F.sum("count").alias("together"), F.count("*").alias("support")).filter(F.col("support") >= MIN_SUPPORT)
+    pairs = seen.groupBy("term", "entity").agg(F.sum("n").alias("together"))
     pairs = materialise(spark, pairs.join(mentions, "entity"), "pii-pairs")
 
     def bits(batches):

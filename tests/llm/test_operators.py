@@ -321,6 +321,19 @@ def test_pii_disclosing_terms(spark, docs, empty):
     assert pii.detect(spark, empty, pii.find_disclosing(spark, empty)).count() == 0
 
 
+def test_pii_terms_of_few_contexts(spark):
+    common = "please write about this matter soon and call back"
+    texts = [f"{common} {common} {common}"] * 400
+    texts += [f"{common} Zorblax a.b@c.org {common}", f"{common} Quillon d@e.org {common}", f"now then Quillon on d@e.org {common}"]
+    texts += [f"{common} Marrow f@g.org here f@g.org {common}", *[f"Marrow {common}"] * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["term"]: r["posterior"] for r in pii.find_disclosing(spark, docs).collect()}
+    # Zorblax has one context, Quillon two; Marrow stands once, near two mentions, of three times in all.
+    assert found == {"zorblax": 1.0, "quillon": 1.0, "here": 1.0, "now": 1.0, "then": 1.0}
+    red = {r["doc_id"]: r["text"] for r in pii.redact(spark, docs).collect()}
+    assert red[400] == f"{common} [TERM] [EMAIL] {common}" and "Quillon" not in red[401] + red[402] and red[404] == texts[404]
+
+
 def test_mixing(spark, docs, empty):
     import duckdb
 
