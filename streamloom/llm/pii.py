@@ -20,6 +20,7 @@ points; equal starts are ordered as the kinds are listed, terms last; other colu
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -91,17 +92,20 @@ def contexts(text: str) -> list[tuple[str, str, str, int]]:
     if not spans:
         return []
     mails = [(a, b) for a, b, kind in spans if kind == "email"]
+    words = [m.span() for m in _WORDS.finditer(text)]
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
     out, had = [], set()
     for a, b, kind in spans:
-        # A window of words around the mention; white space bounds it, so only a slice is scanned.
-        left = list(_WORDS.finditer(text, max(0, a - 40 * WINDOW), a))[-WINDOW:]
-        right = list(_WORDS.finditer(text, b, b + 40 * WINDOW))[:WINDOW]
-        near = " ".join(m[0] for m in left) + " | " + " ".join(m[0] for m in right)
+        # The words that begin before the mention and that end after it, whole but for what touches the mention.
+        i, j = bisect.bisect_left(starts, a), bisect.bisect_right(ends, b)
+        left = [(x, min(y, a)) for x, y in words[max(0, i - WINDOW) : i]]
+        right = [(max(x, b), y) for x, y in words[j : j + WINDOW]]
+        near = " ".join(text[x:y] for x, y in left) + " | " + " ".join(text[x:y] for x, y in right)
         mark = hashlib.blake2b(near.encode(), digest_size=8).hexdigest()
         entity = value_of(kind, text[a:b])
         found: dict[str, int] = {}
         for word in left + right:
-            for m in _WORD.finditer(text, word.start(), word.end()):
+            for m in _WORD.finditer(text, *word):
                 if any(x < m.end() and m.start() < y for x, y in mails):
                     continue
                 term = m[0].lower()

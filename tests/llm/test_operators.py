@@ -334,6 +334,15 @@ def test_pii_terms_of_few_contexts(spark):
     assert red[400] == f"{common} [TERM] [EMAIL] {common}" and "Quillon" not in red[401] + red[402] and red[404] == texts[404]
 
 
+def test_pii_contexts_are_whole_words():
+    long = ["outermost" * 9, *(c * 90 for c in "bcdef")]
+    text = "seventh " + (" " * 300).join(long) + " to:a@b.org. " + " ".join(long[::-1]) + " seventh"
+    # What touches the mention ("to:" and ".") is the nearest word of each side.
+    assert {t for t, *_ in pii.contexts(text)} == set(long[1:])
+    text = text.replace("to:", "").replace("org. ", "org ")
+    assert {t for t, *_ in pii.contexts(text)} == set(long)
+
+
 def test_mixing(spark, docs, empty):
     import duckdb
 
