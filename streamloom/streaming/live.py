@@ -6,6 +6,7 @@ newest are dropped; the default is none, as streams here are in order.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,29 +32,36 @@ def sessions(stream: DataFrame, gap: str = "1 day", label: str = "purchase") ->
 
 
 COUNT_SCHEMA = "user_id long, count long, last_us long"
+STATE_SCHEMA = "us binary, delta binary"
 
 
 def _count(key, batches, state: GroupState):
-    count, last = state.get if state.exists else (0, -1)
-    for pdf in batches:
-        for us, delta in sorted(zip(pdf["us"], pdf["delta"], strict=True)):
-            if us > last:
-                count, last = count + delta, us
-    state.update((int(count), int(last)))
-    yield pd.DataFrame({"user_id": [key[0]], "count": [count], "last_us": [last]})
+    # A key's rows come in several frames and micro-batches in any order, so each time is held with the least of its deltas.
+    held = [np.frombuffer(x, np.int64) for x in state.get] if state.exists else [np.zeros(0, np.int64)] * 2
+    frames = [f[f["us"].notna()] for f in batches]
+    us, delta = (np.concatenate([old, *(f[c].to_numpy(np.int64) for f in frames)]) for c, old in zip(("us", "delta"), held, strict=True))
+    order = np.lexsort((delta, us))
+    us, first = np.unique(us[order], return_index=True)
+    delta = delta[order][first]
+    state.update((us.tobytes(), delta.tobytes()))
+    yield pd.DataFrame({"user_id": [key[0]], "count": [int(delta.sum())], "last_us": [int(us[-1]) if len(us) else -1]})
 
 
 def running_counts(stream: DataFrame) -> DataFrame:
-    """What each event adds, summed by user in keyed state; an event no later than the last one is carried."""
+    """What each event adds, summed by user in keyed state; of events of the same time the one that adds least counts.
+
+    The state holds 16 bytes for each different time of a user, so that an event that comes late still counts.
+    """
     delta = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).otherwise(0)
     rows = stream.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), delta.cast("long").alias("delta"))
-    return rows.groupBy("user_id").applyInPandasWithState(_count, COUNT_SCHEMA, "count long, last_us long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(_count, COUNT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
 
 def replay(spark: SparkSession, path: str, operator, name: str | None = None) -> DataFrame:
     """Run a stream over files that are there, to its end, into Parquet in the shared folder; the rows it gave out.
 
-    Update mode gives a key's rows anew with each batch; the last of them is the one with the largest count.
+    Update mode gives a key's rows anew with each batch; the last of them counts. Sessions run in complete mode, so that
+    late rows count and those still open at the end are given out; the last batch has them all.
     """
     import uuid
 
@@ -63,14 +71,18 @@ def replay(spark: SparkSession, path: str, operator, name: str | None = None) ->
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     stream = source.parquet(f"{folder}/{leaf}*" if leaf.endswith(".parquet") else path)
     out = operator(stream)
-    update = operator is running_counts
+    mode = {running_counts: "update", sessions: "complete"}.get(operator, "append")
+    epochs = []
 
     def sink(df: DataFrame, epoch: int) -> None:
+        epochs.append(epoch)
         df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
-    query = out.writeStream.outputMode("update" if update else "append").foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = out.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    if mode == "complete":
+        return spark.read.schema(out.schema).parquet(f"{base}/out/epoch={max(epochs)}")
     rows = spark.read.schema(out.schema).parquet(f"{base}/out")
-    if not update:
+    if mode == "append":
         return rows.drop("epoch")
-    return rows.groupBy("user_id").agg(F.max(F.struct("last_us", "count")).alias("r")).select("user_id", "r.count", "r.last_us")
+    return rows.groupBy("user_id").agg(F.max(F.struct("epoch", "count", "last_us")).alias("r")).select("user_id", "r.count", "r.last_us")

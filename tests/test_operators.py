@@ -140,3 +140,46 @@ def test_stream_is_batch(spark):
     e = spark.read.parquet(path)
     want = {r[0]: r[1] for r in e.groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).otherwise(0))).collect()}
     assert got == want
+
+
+@pytest.fixture
+def shuffled(spark, tmp_path):
+    """Events of two users in many files whose order is not that of time, read in small Arrow batches."""
+    rng = random.Random(8)
+    start = 1_700_000_000_000_000
+    times = sorted(rng.sample(range(0, 400 * 86_400, 3_600), 1200))
+    rows = [(i, start + t * 1_000_000, 1 if rng.random() < 0.9 else 2, rng.choice(["click", "purchase", "view"])) for i, t in enumerate(times)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string").selectExpr("event_id", "timestamp_micros(us) as ts", "user_id", "event_type", "1.0D as value")
+    df.repartition(12).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield f"{tmp_path}/events.parquet"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stream_counts_of_shuffled_events(spark, shuffled):
+    delta = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).otherwise(0)
+    want = {tuple(r) for r in spark.read.parquet(shuffled).groupBy("user_id").agg(F.sum(delta), F.max(F.unix_micros("ts"))).collect()}
+    assert {tuple(r) for r in live.replay(spark, shuffled, live.running_counts).collect()} == want
+
+
+def test_stream_counts_over_micro_batches():
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+    state = State()
+    for us, delta in (([50, 10], [2, 1]), ([20, 50], [2, 1]), ([5], [1])):
+        got = next(live._count((7,), iter([pd.DataFrame({"us": [u], "delta": [d]}) for u, d in zip(us, delta, strict=True)]), state))
+    assert got.to_dict("records") == [{"user_id": 7, "count": 1 + 1 + 2 + 1, "last_us": 50}]
+
+
+def test_stream_sessions_of_shuffled_events(spark, shuffled):
+    peaks = spark.read.parquet(shuffled).filter("event_type = 'purchase'").select(F.col("user_id").alias("video"), (F.unix_micros("ts") / 1e6).alias("ts"))
+    want = {(r["video"], round(r["start"] * 1e6), round(r["end"] * 1e6), r["n"]) for r in I.peak_sessions(peaks, 86_400.0).collect()}
+    got = [tuple(r) for r in live.replay(spark, shuffled, live.sessions).collect()]
+    assert len(got) == len(want) > 10 and set(got) == want
