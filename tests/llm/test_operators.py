@@ -266,6 +266,37 @@ def test_seating_keeps_customers():
             assert (np.bincount(own, minlength=count[d]) == sizes).all() and (sizes > 0).sum() == s.tables[d]
 
 
+@pytest.mark.parametrize("dishes", [20, 200])
+def test_seating_draws_the_tables_of_a_plain_sampler(dishes):
+    n, weight, discount = 120, 3.0, 0.75
+    ways = np.zeros(n + 1)  # of t tables, up to a factor: each new customer opens one or joins one
+    ways[1] = 1.0
+    for c in range(1, n):
+        ways[1:] = ways[:-1] + (c - discount * np.arange(1, n + 1)).clip(0) * ways[1:]
+        ways /= ways.max()
+    chance = ways[1:] * weight ** np.arange(n)
+    want = (chance * np.arange(1, n + 1)).sum() / chance.sum()
+    s = hpylm.Seating(np.full(dishes, n), np.full(dishes, 60), np.random.default_rng(1))
+    seen = []
+    for k in range(60):
+        s.sweep(np.full(dishes, weight), discount)
+        seen += [s.tables.mean()] if k >= 30 else []
+    assert abs(np.mean(seen) - want) < 0.05 * want
+
+
+def test_seating_is_kept_for_other_counts():
+    rng = np.random.default_rng(0)
+    count = rng.integers(0, 30, 150)
+    s = hpylm.Seating(count, np.minimum(count, 4), rng)
+    for _ in range(4):
+        count = np.maximum(0, count + rng.integers(-5, 6, 150))
+        s = s.resize(count)
+        s.sweep(np.full(150, 2.0), 0.5)
+        for d in range(150):
+            part = slice(s.first[d], s.first[d] + count[d])
+            assert (np.bincount(s.label[part], minlength=count[d]) == s.size[part]).all() and (s.size[part] > 0).sum() == s.tables[d]
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(9)
     item = " ".join(f"b{rng.randrange(10**6)}" for _ in range(30))
