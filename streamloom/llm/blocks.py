@@ -7,7 +7,8 @@ answer with one bit: whether the anchor stands elsewhere too. Only the surroundi
 second exchange, put together inside each block, and shards answer about each. What an anchor found in every block
 brings to its shard is one entry for each block, however often it stands there.
 
-The number of shards follows the bytes of the corpus, so a shard's share stays the same at any size.
+The number of shards follows the bytes of the corpus, so a shard's share stays the same at any size. A message holds at
+least one key, so messages never number more than keys.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, chunks, gram_hash, materialise, sorted_groups, string_buffers, trim
+from .common import U, chunks, gram_hash, materialise, mix, sorted_groups, string_buffers, trim
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 2 << 20
 #: Bytes of text for each shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 KEY_BITS = 48
-_PLACE_BITS = 28
+#: A text in an Arrow column has less than 2^31 bytes, so every place fits.
+_PLACE_BITS = 31
 
 
 def pack_body(ids: np.ndarray, valid: np.ndarray, data: np.ndarray, offs: np.ndarray) -> bytes:
@@ -67,8 +69,8 @@ def make_blocks(spark: SparkSession, docs: DataFrame, size: int | None = None) -
     return materialise(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, n_bytes long, body binary"), "blocks")
 
 
-def shard_count(blocks: DataFrame) -> int:
-    return max(8, (blocks.agg(F.sum("n_bytes")).first()[0] or 0) // SHARD_BYTES + 1)
+def shard_count(blocks: DataFrame, size: int | None = None) -> int:
+    return max(8, (blocks.agg(F.sum("n_bytes")).first()[0] or 0) // (size or SHARD_BYTES) + 1)
 
 
 class Anchors:
@@ -100,7 +102,8 @@ class Anchors:
             last_change[-1] = True
             self.low, self.high = first, np.flatnonzero(last_change & good)
             self.place = at[first]
-            self.key = grams[self.place] >> U(64 - KEY_BITS)
+            # Anchors have small hashes, being the least of their windows: mixed once more, their keys spread over all shards.
+            self.key = mix(grams[self.place]) >> U(64 - KEY_BITS)
         self.row = np.searchsorted(before, self.low, "right") - 1
         self.keys, self.which, self.times = np.unique(self.key, return_inverse=True, return_counts=True)
 
@@ -121,7 +124,7 @@ class Anchors:
 
 def _runs(x: np.ndarray):
     first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
-    return x[first], first, np.append(first[1:], len(x))
+    return x[first], first, np.append(first, len(x))[1:]
 
 
 def _message(rows: list[tuple[int, int, bytes]], names=("shard", "block", "payload")) -> pa.RecordBatch:
@@ -133,14 +136,15 @@ MESSAGE = "shard long, block long, payload binary"
 
 
 def send_keys(blocks: DataFrame, anchors, shards: int) -> DataFrame:
-    """anchors(Block) -> Anchors. A message for each block and shard: the block's sorted keys of that shard, 6 bytes each."""
+    """anchors(Block) -> Anchors. A message for each block and shard: the gaps of the block's sorted keys of that shard."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 found = anchors(Block(batch.column(1)[i].as_py()))
-                raw = found.keys.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
-                yield _message([(s, batch.column(0)[i].as_py(), raw[a:b].tobytes()) for s, a, b in found.shard_slices(shards)])
+                yield _message([(s, batch.column(0)[i].as_py(), dump(sorted_planes(found.keys[a:b]))) for s, a, b in found.shard_slices(shards)])
+                del found
+            trim()
 
     return blocks.select("block", "body").mapInArrow(run, MESSAGE)
 
@@ -160,11 +164,8 @@ def at_shards(messages: DataFrame, answer) -> DataFrame:
 
 def repeated_bits(payloads: list[bytes]) -> list[bytes | None]:
     """For each block's keys, a bit: another block has it."""
-    width = KEY_BITS // 8
-    sizes = np.array([len(p) // width for p in payloads])
-    raw = np.zeros((sizes.sum(), 8), np.uint8)
-    raw[:, :width] = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, width)
-    keys = raw.view(np.uint64).reshape(-1)
+    parts = [from_planes(undump(p)[0]) for p in payloads]
+    keys = np.concatenate(parts)
     order = np.argsort(keys)
     ranked = keys[order]
     same = np.zeros(len(keys) + 1, bool)
@@ -172,10 +173,10 @@ def repeated_bits(payloads: list[bytes]) -> list[bytes | None]:
     bits = np.zeros(len(keys), bool)
     bits[order] = same[1:] | same[:-1]
     out, at = [], 0
-    for n in sizes:
-        part = bits[at : at + n]
+    for p in parts:
+        part = bits[at : at + len(p)]
         out.append(np.packbits(part).tobytes() if part.any() else None)
-        at += n
+        at += len(p)
     return out
 
 

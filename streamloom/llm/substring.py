@@ -8,10 +8,10 @@ wavelet matrix with rank directories. Passages that a block streams to the shard
 the interval of a match is extended to the left while it still holds a second place, which gives the matching
 statistics up to the passage's length; every start from which a match of at least WINDOW words goes on is reported.
 Equal passages are put together before, with their number; one that came more than once needs no search, since all its
-windows stand elsewhere.
+windows stand elsewhere. An index holds passages of whole anchors, and a shard builds one after another, each of about
+INDEX_WORDS words, so that only the passages of one anchor are ever needed at once.
 
-Words are compared by 32 bits of their hash, so two different windows are taken for equal only if all words that differ
-collide.
+Words are compared exactly: a message carries the words its passages use, and hashes only choose anchors and shards.
 
 Defined cases: null and empty texts have no words, and the kept text is empty; fewer than WINDOW words are never
 removed; repeated rows are copies of each other; null ids are kept; an empty table gives no rows.
@@ -29,7 +29,10 @@ from . import blocks as B
 from .common import U, materialise, word_hashes, words
 
 WINDOW = 35
-SEED = 8
+#: Words of an anchor, and how many windows may share one.
+SEED = 16
+SPREAD = WINDOW - SEED + 1
+INDEX_WORDS = 1 << 20
 
 
 class WaveletMatrix:
@@ -144,62 +147,100 @@ class FMIndex:
         return out
 
 
-def word_anchors(block: B.Block) -> tuple[B.Anchors, np.ndarray, np.ndarray]:
+def word_anchors(block: B.Block) -> tuple[B.Anchors, list[bytes], np.ndarray]:
+    """Anchors, the words themselves, and how many lie before each row."""
     starts, ends, before = words(block.data, block.offs)
-    hashes = word_hashes(block.data, starts, ends)
-    return B.Anchors(hashes, before, WINDOW, SEED), (hashes >> U(32)).astype(np.uint32), before
+    raw = block.data.tobytes()
+    own = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return B.Anchors(word_hashes(block.data, starts, ends), before, WINDOW, SEED), own, before
 
 
-def passages(found: B.Anchors, codes: np.ndarray, again: np.ndarray, shards: int) -> dict[int, tuple[list, list, list]]:
-    """By shard: distinct passages (bytes of word codes, ended by the anchor's place), how often each stands in the block, and each place as (anchor, passage)."""
+def numbered(own: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words, and each word's number."""
+    known: dict[bytes, int] = {}
+    codes = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int32, len(own))
+    return list(known), codes
+
+
+def passages(found: B.Anchors, codes: np.ndarray, again: np.ndarray, shards: int) -> dict[int, tuple[list, list, list, list]]:
+    """By shard: distinct passages (bytes of word numbers) in order of anchors, the anchor of each, how often it stands in the block, and each place as (anchor, passage)."""
     raw = codes.tobytes()
     order = np.argsort(found.which, kind="stable")
     edge = np.searchsorted(found.which[order], np.arange(len(found.keys) + 1))
-    low, high, place = found.low.tolist(), (found.high + found.size).tolist(), found.place.tolist()
+    low, high = found.low.tolist(), (found.high + found.size).tolist()
     out = {}
     for s, a, b in found.shard_slices(shards):
-        known: dict[bytes, int] = {}
-        count, where = [], []
+        parts, anchor, count, where = [], [], [], []
         for k in (np.flatnonzero(again[a:b]) + a).tolist():
+            known: dict[bytes, int] = {}
             for i in order[edge[k] : edge[k + 1]].tolist():
-                key = raw[4 * low[i] : 4 * high[i]] + bytes((place[i] - low[i],))
-                j = known.setdefault(key, len(count))
-                if j == len(count):
+                key = raw[4 * low[i] : 4 * high[i]]
+                j = known.setdefault(key, len(parts))
+                if j == len(parts):
+                    parts.append(key)
+                    anchor.append(k)
                     count.append(0)
                 count[j] += 1
                 where.append((i, j))
-        if known:
-            out[s] = (list(known), count, where)
+        if parts:
+            out[s] = (parts, anchor, count, where)
     return out
 
 
+def message(vocabulary: list[bytes], keys: np.ndarray, parts: list[bytes], anchor: list[int], count: list[int]) -> bytes:
+    """Passages with the words they use, in order of their anchors' keys."""
+    flat = np.frombuffer(b"".join(parts), np.int32)
+    used, flat = np.unique(flat, return_inverse=True)
+    sizes = np.array([len(p) >> 2 for p in parts])
+    return B.dump(B.sorted_planes(keys[anchor]), b" ".join([vocabulary[i] for i in used.tolist()]), sizes.astype(np.uint8), B.small(flat), B.small(np.array(count)))
+
+
 def answer_passages(payloads: list[bytes]) -> list[bytes]:
     """For each block's passages, the bits of repeated window starts."""
-    total: dict[bytes, list] = {}
-    mine = []
+    known: dict[bytes, int] = {}
+    keys, sizes, flat, count = [], [], [], []
     for p in payloads:
-        sizes, flat, count = B.undump(p)
-        at, keys = 0, []
-        for n, c in zip(sizes.tolist(), count.tolist(), strict=True):
-            key = flat[at : at + n]
-            at += n
-            keys.append(key)
-            if key in total:
-                total[key][0] += c
-            else:
-                total[key] = [c, len(total)]
-        mine.append(keys)
-    keys = list(total)
-    parts = [np.frombuffer(k, np.uint32, (len(k) - 1) // 4) for k in keys]
-    times = np.array([total[k][0] for k in keys])
-    sizes = np.array([len(p) for p in parts])
-    bits = (U(1) << (sizes - WINDOW + 1).astype(np.uint64)) - U(1)
+        planes, vocabulary, size, ids, times = B.undump(p)
+        number = np.array([known.setdefault(w, len(known)) for w in vocabulary.split(b" ")], np.int32)
+        keys.append(B.from_planes(planes))
+        sizes.append(size.astype(np.int64))
+        flat.append(number[ids])
+        count.append(times.astype(np.int64))
+    own = [len(x) for x in keys]
+    del known
+    keys, sizes, flat, count = (np.concatenate(x) for x in (keys, sizes, flat, count))
+    first = np.cumsum(sizes) - sizes
+    order = np.argsort(keys, kind="stable")
+    # Ranges of whole anchors with about INDEX_WORDS words.
+    total = np.cumsum(sizes[order])
+    edges = np.append(np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])), len(order))
+    bits = np.zeros(len(keys), np.uint64)
+    a = 0
+    while a < len(order):
+        want = (total[a - 1] if a else 0) + INDEX_WORDS
+        b = int(edges[max(np.searchsorted(edges, a, "right"), np.searchsorted(edges, np.searchsorted(total, want, "right"), "right") - 1)])
+        bits[order[a:b]] = repeated_windows(flat, first[order[a:b]], sizes[order[a:b]], count[order[a:b]])
+        a = b
+    edge = np.append(0, np.cumsum(own))
+    return [B.dump(bits[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def repeated_windows(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Bits of repeated window starts of the passages flat[first : first + sizes], each of which stands count times."""
+    raw, at = flat.tobytes(), {}
+    which = np.array([at.setdefault(raw[4 * x : 4 * (x + n)], len(at)) for x, n in zip(first.tolist(), sizes.tolist(), strict=True)])
+    parts = [np.frombuffer(k, np.int32) for k in at]
+    times = np.bincount(which, count, len(parts))
+    size = np.array([len(p) for p in parts])
+    bits = (U(1) << (size - WINDOW + 1).astype(np.uint64)) - U(1)
     single = np.flatnonzero(times == 1)
-    if len(single):
+    if len(single) and len(parts) > 1:
         index = FMIndex(parts)
         for a in range(0, len(single), 8192):
             bits[single[a : a + 8192]] = index.repeated_starts(single[a : a + 8192], WINDOW)
-    return [B.dump(bits[[total[k][1] for k in own]].astype(np.uint64)) for own in mine]
+    elif len(single):
+        bits[:] = FMIndex(parts).repeated_starts(single, WINDOW)
+    return bits[which]
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -212,34 +253,32 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = True)
     bits = materialise(spark, B.at_shards(B.send_keys(blocks, lambda b: word_anchors(b)[0], shards), B.repeated_bits), "anchor-bits")
 
     def send(block, parts):
-        found, codes, _ = word_anchors(block)
-        out = []
-        for s, (keys, count, _) in passages(found, codes, found.repeated(parts[0], shards), shards).items():
-            out.append((s, block.number, B.dump(np.array([len(k) for k in keys], np.int32), b"".join(keys), np.array(count, np.int64))))
-        return out
+        found, own, _ = word_anchors(block)
+        vocabulary, codes = numbered(own)
+        return [(s, block.number, message(vocabulary, found.keys, got, anchor, count)) for s, (got, anchor, count, _) in passages(found, codes, found.repeated(parts[0], shards), shards).items()]
 
     answers = materialise(spark, B.at_shards(B.at_blocks(blocks, [bits], send, B.MESSAGE), answer_passages), "passage-answers")
 
     def finish(block, parts):
-        found, codes, before = word_anchors(block)
+        found, own, before = word_anchors(block)
+        _, codes = numbered(own)
         cover = np.zeros(len(codes) + 1, np.int64)
-        for s, (_, _, where) in passages(found, codes, found.repeated(parts[0], shards), shards).items():
+        for s, (_, _, _, where) in passages(found, codes, found.repeated(parts[0], shards), shards).items():
             (masks,) = B.undump(parts[1][s])
             at = np.array(where, np.int64)
             mask, low = masks[at[:, 1]], found.low[at[:, 0]]
-            for k in range(WINDOW - SEED + 1):
+            for k in range(SPREAD):
                 first = low[(mask >> U(k)) & U(1) > 0] + k
                 np.add.at(cover, first, 1)
                 np.add.at(cover, first + WINDOW, -1)
         gone = np.cumsum(cover)[:-1] > 0
         removed = np.append(0, np.cumsum(gone))
-        raw, out = block.data.tobytes(), []
+        out = []
         for i in range(len(block.ids)):
-            a, b = before[i], before[i + 1]
-            own = raw[block.offs[i] : block.offs[i + 1]].split()
+            a, b = int(before[i]), int(before[i + 1])
             n = int(removed[b] - removed[a])
-            kept = b" ".join(compress(own, ~gone[a:b]) if n else own)
-            out.append((int(block.ids[i]) if block.valid[i] else None, len(own), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
+            kept = b" ".join(compress(own[a:b], ~gone[a:b]) if n else own[a:b])
+            out.append((int(block.ids[i]) if block.valid[i] else None, b - a, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
         return out
 
     return B.at_blocks(blocks, [bits, answers], finish, RESULT)
