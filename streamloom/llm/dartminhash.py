@@ -1,6 +1,6 @@
 """Near-duplicates by DartMinHash signatures, a banded join, and exact checks.
 
-Each shingle (WORDS consecutive words) of a document is an element with a weight: 1, or how often it occurs. Darts are
+Each shingle (WORDS consecutive words) of a document is an element whose weight is how often it occurs. Darts are
 thrown by hashing into cells of the (weight, rank) plane of an element: cell widths double with the weight, and in each
 cell ranks arrive as a Poisson process. A dart below the element's weight counts; each dart belongs to one of K
 coordinates, and a coordinate keeps its earliest dart. About K (ln K + 2) darts a document are looked at, however long
@@ -13,7 +13,8 @@ with it in COVER of the coordinates, and everything that agrees with it in LOOSE
 obeys the triangle inequality: what is within 0.2 of a covered document is within 0.35 + 0.2 of its leader, so it is
 linked to the same leader. In a larger bucket everything is linked to the least document. Connected candidates then meet
 with their texts, and classes are made from exact similarities of at least THRESHOLD: a document is tested against all
-others unless it is in the largest class, so no link between classes is lost.
+others unless it is in the largest class, so no link between classes is lost. Similarity is the weighted Jaccard index, the
+sum of the lesser weights over the sum of the greater ones; where no shingle repeats, it is that of the sets.
 
 Components of more than CHUNK documents are dealt over chunks by a hash. Some witnesses of the largest class of each
 chunk join these classes, in as many levels as are needed. What is then outside the largest class of its component is
@@ -135,7 +136,7 @@ def signatures(elements: np.ndarray, row: np.ndarray, n: int, k: int = K, weight
     return out, has
 
 
-def sign_documents(docs: DataFrame, weighted: bool = False) -> DataFrame:
+def sign_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (MD5 of the text), bands (BANDS longs), sig (a byte for each coordinate); the last three null without words."""
 
     def run(batches):
@@ -143,7 +144,7 @@ def sign_documents(docs: DataFrame, weighted: bool = False) -> DataFrame:
             data, offs = string_buffers(batch.column(1))
             for a, b in chunks(offs):
                 part, at = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-                found, has = signatures(*shingles(part, at), b - a, weighted=weighted)
+                found, has = signatures(*shingles(part, at), b - a, weighted=True)
                 raw = part.tobytes()
                 sig = (mix(found.reshape(-1)) >> U(56)).astype(np.uint8).reshape(b - a, K)
                 bands = np.zeros((b - a, BANDS), np.uint64)
@@ -199,11 +200,15 @@ def link_batch(links: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def candidate_links(spark: SparkSession, unique: DataFrame) -> DataFrame:
-    """Distinct links (a, b), a < b, between documents of unique (rep, bands, sig) that share a band and may be alike."""
+def shared_bands(spark: SparkSession, unique: DataFrame) -> DataFrame:
+    """key, rep, count, least: the bands of unique (rep, bands, sig) that several documents have."""
     keys = unique.select("rep", F.explode("bands").alias("key"))
     counts = materialise(spark, keys.groupBy("key").agg(F.count("*").alias("count"), F.min("rep").alias("least")).filter("count > 1"), "bands")
-    shared = materialise(spark, keys.join(counts, "key"), "buckets")
+    return materialise(spark, keys.join(counts, "key"), "buckets")
+
+
+def candidate_links(unique: DataFrame, shared: DataFrame) -> DataFrame:
+    """Distinct links (a, b), a < b, between documents that share a band and may be alike."""
     small = link_buckets(shared.filter(F.col("count") <= CHUNK).join(unique.select("rep", "sig"), "rep"))
     large = shared.filter((F.col("count") > CHUNK) & (F.col("rep") > F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
     return small.union(large).distinct()
@@ -241,10 +246,13 @@ def exact_classes(sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple
 
 
 def shingle_sets(column) -> list[np.ndarray]:
-    """The distinct shingles of each text; a text without any has its row number."""
+    """The shingles of each text as distinct values, the k-th occurrence of a shingle as a value of its own: set similarity of these is weighted similarity. A text without any has its row number."""
     data, offs = string_buffers(column)
     values, row = shingles(data, offs)
-    values, row, _ = weigh(values, row)
+    values, row, times = weigh(values, row)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    values, row = np.repeat(values, times), np.repeat(row, times)
+    values = np.where(nth > 0, mix(values + nth.astype(np.uint64) * U(0x9E3779B97F4A7C15)), values)
     sets = np.split(values, np.searchsorted(row, np.arange(1, len(column))))
     return [s if len(s) else np.array([i], np.uint64) for i, s in enumerate(sets)]
 
@@ -320,7 +328,7 @@ def try_outside(rows: DataFrame) -> DataFrame:
     return rows.select("component", "place", "rep", "class", "asks", "text").repartition("component", "place").sortWithinPartitions("component", "place").mapInArrow(run, "a long, b long")
 
 
-def outside_links(spark: SparkSession, members: DataFrame, unique: DataFrame, docs: DataFrame) -> DataFrame | None:
+def outside_links(spark: SparkSession, members: DataFrame, shared: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Links (a, b) between classes of split components, members (component, chunk, rep, class); None if each is one class.
 
     Documents outside the largest class of their component ask every chunk where one shares a band with them.
@@ -331,9 +339,10 @@ def outside_links(spark: SparkSession, members: DataFrame, unique: DataFrame, do
     asked = asking.groupBy("component").agg(F.count("*").alias("asked"))
     if not asking.limit(1).count():
         return None
-    bands = members.join(unique.select("rep", F.explode("bands").alias("key")), "rep").select("component", "rep", "chunk", "key")
+    # Only bands that several documents have can be shared; each chunk has a band once here, however many have it.
+    bands = materialise(spark, shared.select("key", "rep").join(members.select("component", "rep", "chunk"), "rep"), "split_bands")
     held = bands.select("component", "key", "chunk").distinct()
-    wanted = asking.join(bands.select("rep", "key"), "rep").join(held, ["component", "key"]).select("component", "rep", "class", "chunk").distinct()
+    wanted = bands.join(asking.select("rep", "class"), "rep").select("component", "key", "rep", "class").join(held, ["component", "key"]).select("component", "rep", "class", "chunk").distinct()
     block = F.pmod(F.xxhash64(F.lit(1), F.col("rep")), F.expr(f"cast(ceil(asked / {CHUNK}) as long)"))
     wanted = materialise(spark, wanted.join(asked, "component").withColumn("place", F.col("chunk") * (1 << 32) + block).select("component", "chunk", "place", "rep", "class"), "asking")
     places = wanted.select("component", "chunk", "place").distinct()
@@ -350,12 +359,13 @@ def with_text(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFram
     return texts.join(rows, texts["doc_id"] == rows["rep"]).drop("doc_id")
 
 
-def classes(spark: SparkSession, docs: DataFrame, weighted: bool = False) -> DataFrame:
+def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class): a row for each row of docs."""
-    signed = materialise(spark, sign_documents(docs, weighted), "signatures")
+    signed = materialise(spark, sign_documents(docs), "signatures")
     known = signed.filter("text_key is not null and doc_id is not null")
     unique = materialise(spark, known.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "unique")
-    member = components(spark, candidate_links(spark, unique)).select("component", F.col("node").alias("rep"))
+    shared = shared_bands(spark, unique)
+    member = components(spark, candidate_links(unique, shared)).select("component", F.col("node").alias("rep"))
     member = materialise(spark, deal(member, component_sizes(spark, member)), "members")
     first = materialise(spark, class_rows(with_text(spark, docs, member)), "classes")
     own = first.filter("component is null").groupBy("rep").agg(F.min("class").alias("class"))
@@ -363,7 +373,7 @@ def classes(spark: SparkSession, docs: DataFrame, weighted: bool = False) -> Dat
         links = materialise(spark, join_witnesses(spark, first), "class_links")
         own = materialise(spark, rename(spark, own, links), "joined")
         members = materialise(spark, member.filter("split").select("component", "chunk", "rep").join(own, "rep"), "split")
-        more = outside_links(spark, members, unique, docs)
+        more = outside_links(spark, members, shared, docs)
         own = own if more is None else rename(spark, own, more)
     final = unique.select("text_key", "rep").join(own, "rep", "left").select("text_key", F.coalesce("class", "rep").alias("class_id"))
     final = materialise(spark, final, "final")
