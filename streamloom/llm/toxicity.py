@@ -4,21 +4,23 @@ The chain predicts three categories in turn, by logistic regression on the words
   toxic_junk   toxic and of low quality
   toxic_prose  toxic and of high quality
   toxic        any toxicity
-Each later model also sees the earlier categories' log odds. In training these come from out-of-fold predictions, so a
-later model learns how far an earlier one can be trusted on texts that it has not seen. A document is rejected if the
-last category's probability reaches the threshold.
+Each later model also sees the earlier categories' probabilities. In training these come from out-of-fold predictions,
+so a later model learns how far an earlier one can be trusted on texts that it has not seen. A document is rejected if
+the last category's probability reaches the threshold.
 
 The models are fitted on at most MAX_TRAIN labelled documents (a documented bound), those with the least
-xxhash64(doc_id); every document is scored over its whole text.
+xxhash64(doc_id), in one task that holds their texts and gives back the model; every document is scored over its whole
+text.
 
 Defined cases: null or empty text has no features and scores at the intercept; labels with nulls are not used; repeated
-doc_ids are scored each; without any usable labels every probability is 0 and nothing is rejected; extra columns are
-kept by toxic_filter.
+doc_ids are scored each; without any usable labels every probability is 0 and nothing is rejected; toxic_filter keeps
+all columns as they are, also those named like a category, while score_documents replaces these.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import zlib
 
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 
@@ -87,16 +90,15 @@ def fit_logistic(x: Sparse, dense: np.ndarray, y: np.ndarray, size: int) -> np.n
     weight /= weight.sum()
     w[-1] = np.log(rate / (1 - rate))
     for step in range(1, EPOCHS + 1):
-        p = 1 / (1 + np.exp(-np.clip(x.dot(w[:size]) + dense @ w[size:-1] + w[-1], -30, 30)))
-        g = (p - y) * weight
+        g = (probability(x, dense, w, size) - y) * weight
         grad = np.concatenate([x.back(g, size), dense.T @ g, [g.sum()]]) + L2 * np.append(w[:-1], 0) / 10
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w
 
 
-def odds(x: Sparse, dense: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
-    return np.clip(x.dot(w[:size]) + dense @ w[size:-1] + w[-1], -30, 30)
+def probability(x: Sparse, dense: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x.dot(w[:size]) + dense @ w[size:-1] + w[-1], -30, 30)))
 
 
 def fit_chain(texts: list[str | None], labels: np.ndarray) -> dict:
@@ -157,59 +159,90 @@ def fit_stream(read) -> dict:
         for f in range(FOLDS):
             on = fold != f
             w = fit_logistic(x.take(on), dense[on], y[on], size)
-            out[~on] = odds(x.take(~on), dense[~on], w, size)
+            out[~on] = probability(x.take(~on), dense[~on], w, size)
         dense = np.column_stack([dense, out])
     table = np.column_stack([w[:size] for w in models]) if size else np.zeros((0, k))
     return {"words": {w: tuple(table[i].tolist()) for w, i in vocabulary.items() if np.abs(table[i]).max() > 1e-3}, "dense": [w[size:-1].tolist() for w in models], "bias": [float(w[-1]) for w in models]}
 
 
-def score(text: str | None, model: dict) -> list[float]:
-    """Probabilities of CATEGORIES."""
-    known = model["words"]
-    found = features(text)
-    got = [known[w] for w in found if w in known]
-    sums = [sum(c) for c in zip(*got, strict=True)] if got else [0.0] * len(CATEGORIES)
-    z = [length(found)]
-    for k, bias in enumerate(model["bias"]):
-        z.append(max(-30.0, min(30.0, sums[k] + bias + sum(a * b for a, b in zip(model["dense"][k], z, strict=True)))))
-    return [float(1 / (1 + np.exp(-v))) for v in z[1:]]
+class Scorer:
+    """Probabilities of CATEGORIES; what a word and its stems add to each category is kept for the words seen so far."""
+
+    MOST_KEPT = 200_000
+
+    def __init__(self, model: dict):
+        self.model, self.known = model, {}
+
+    def adds(self, word: str) -> tuple | None:
+        table = self.model["words"]
+        got = [table[w] for w in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)) if w in table]
+        return tuple(map(sum, zip(*got, strict=True))) if got else None
+
+    def __call__(self, text: str | None) -> list[float]:
+        found = set(_WORD.findall((text or "").lower()))
+        if len(self.known) > self.MOST_KEPT:
+            self.known.clear()
+        for w in found - self.known.keys():
+            self.known[w] = self.adds(w)
+        got = [g for w in found if (g := self.known[w])]
+        sums = [sum(c) for c in zip(*got, strict=True)] if got else [0.0] * len(CATEGORIES)
+        n = len(found) + sum(len(w) > k for w in found for k in STEMS)
+        z = [float(np.log1p(n))]
+        for k, bias in enumerate(self.model["bias"]):
+            v = sums[k] + bias + sum(a * b for a, b in zip(self.model["dense"][k], z, strict=True))
+            z.append(float(1 / (1 + np.exp(-max(-30.0, min(30.0, v))))))
+        return z[1:]
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict | None:
     """Fit on a bounded sample of labelled rows; None without usable labels. The sample's ids are few and broadcast."""
     usable = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic", F.coalesce(F.col("quality"), F.lit(0)).alias("quality"))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), F.col("quality").cast("int").alias("quality"))
     rows = materialise(spark, rows, "training")
-    if not rows.limit(1).count():
-        return None
 
-    def read():
-        for r in rows.toLocalIterator():
-            t, q = int(r["toxic"]), int(r["quality"])
-            yield r["text"], np.array([t & (1 - q), t & q, t])
+    def fit(batches):
+        held = [b for b in batches if b.num_rows]
 
-    return fit_stream(read)
+        def read():
+            for b in held:
+                for text, t, q in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    yield text.as_py(), np.array([t & (1 - q), t & q, t])
 
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_stream(read))], pa.binary())], ["model"])
 
-def score_documents(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, then a probability for each category and rejected (boolean)."""
-    keep = [c for c in docs.columns if c not in (*CATEGORIES, "rejected")]
-    at = keep.index("text")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + "".join(f", {c} double" for c in CATEGORIES) + ", rejected boolean"
+    # At most max_train rows, in one task of an executor: the driver gets the model only.
+    found = rows.repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
+
+
+def _scored(docs: DataFrame, model: dict | None, threshold: float, names: list[str]) -> DataFrame:
+    """docs, then under the given names a probability for each category and whether it is rejected."""
+    keep, at = docs.columns, docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names[:-1]), T.StructField(names[-1], T.BooleanType())])
 
     def run(batches):
+        score = Scorer(model) if model else lambda _: [0.0] * len(CATEGORIES)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                got = [score(t.as_py(), model) if model else [0.0] * len(CATEGORIES) for t in part.column(at)]
+                got = [score(t.as_py()) for t in part.column(at)]
                 cols = [pa.array([g[k] for g in got], pa.float64()) for k in range(len(CATEGORIES))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols, pa.array([g[-1] >= threshold for g in got], pa.bool_())], [*keep, *CATEGORIES, "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols, pa.array([g[-1] >= threshold for g in got], pa.bool_())], [*keep, *names])
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(*keep).mapInArrow(run, schema)
+
+def score_documents(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The columns of docs, then a probability for each category and rejected (boolean)."""
+    own = [*CATEGORIES, "rejected"]
+    return _scored(docs.select(*(c for c in docs.columns if c not in own)), model, threshold, own)
 
 
 def toxic_filter(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the chain doesn't reject, with the columns of docs."""
-    scored = score_documents(docs, train(spark, docs, labels), threshold)
-    return scored.filter("not rejected").select(*docs.columns)
+    """The documents that the chain doesn't reject, with the columns of docs as they are."""
+    names = [f"_{c}" for c in (*CATEGORIES, "rejected")]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    return _scored(docs, train(spark, docs, labels), threshold, names).filter(~F.col(names[-1])).select(*docs.columns)
