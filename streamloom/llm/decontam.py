@@ -7,8 +7,10 @@ score and the score of min(item length, LEAST_WORDS) matching words. A passage i
 words it shares with the item (with multiplicity) is below what must be reached: no alignment scores more than that, so
 hits of common seeds cost little and nothing is lost.
 
-Items are handled in blocks of about BLOCK items, each against all documents; a block's seeds and words are all that is
-sent to tasks. Hits are taken a few rows at a time, so that a seed of many items in many rows is held in parts.
+Items are handled in blocks of about BLOCK items, one after the other, each against all documents; a block's seeds and
+words are all that is sent to tasks and is let go before the next. With several blocks only what is found is kept of
+each, by the MD5 of the text, and joined to the documents in the end. Hits are taken a few rows at a time, so that a
+seed of many items in many rows is held in parts.
 
 Defined cases: null and empty texts and items match nothing; items shorter than SEED words have no seeds and are never
 found; repeated items count once each, the least item_id winning ties; repeated documents are each judged; other
@@ -25,8 +27,9 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE, U, chunks, gram_hash, string_buffers, word_hashes, words
+from .common import SPACE, U, chunks, gram_hash, materialise, string_buffers, word_hashes, words
 
 SEED = 3
 THRESHOLD = 0.5
@@ -170,35 +173,50 @@ def judge(column, block: Items) -> list[tuple]:
     return [(r, -i, float(s)) for r, (s, i) in sorted(out.items())]
 
 
-def blocks_of(spark: SparkSession, benchmark: DataFrame) -> list:
-    """Broadcast blocks of items with their seeds."""
-    items = benchmark.filter("text is not null and item_id is not null").select("item_id", "text")
-    k = max(1, -(-items.count() // BLOCK))
-    out = []
-    for b in range(k):
-        rows = sorted(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == b).collect())
-        out.append(spark.sparkContext.broadcast(cloudpickle.dumps(Items([r[0] for r in rows], [r[1] for r in rows]))))
-    return out
+def judged(docs: DataFrame, sent, keep: list[str]) -> DataFrame:
+    """The columns keep of docs, with contaminated, item_id and score after the block of items that was sent."""
+    at = keep.index("text")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("contaminated", T.BooleanType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        block = pickle.loads(sent.value)
+        for batch in batches:
+            item, score = [None] * batch.num_rows, [None] * batch.num_rows
+            for r, i, s in judge(batch.column(at), block):
+                item[r], score[r] = i, s
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([i is not None for i in item], pa.bool_()), pa.array(item, pa.int64()), pa.array(score, pa.float64())], schema.names)
+
+    return docs.select(*keep).mapInArrow(run, schema)
+
+
+#: Contaminated texts of up to so many rows are broadcast.
+FEW_FOUND = 1_000_000
 
 
 def detect(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with contaminated (boolean), item_id and score of the best item (null for clean documents)."""
     keep = [c for c in docs.columns if c not in ("contaminated", "item_id", "score")]
-    out = docs.select(*keep).withColumns({"contaminated": F.lit(False), "item_id": F.lit(None).cast("long"), "score": F.lit(None).cast("double")})
-    at = keep.index("text")
-    for sent in blocks_of(spark, benchmark):
-
-        def run(batches, sent=sent):
-            block, k = pickle.loads(sent.value), len(keep)
-            for batch in batches:
-                flag, item, score = (batch.column(k + i).to_pylist() for i in range(3))
-                for r, i, s in judge(batch.column(at), block):
-                    if not flag[r] or (s, -i) > (score[r], -item[r]):
-                        flag[r], item[r], score[r] = True, i, s
-                yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(flag, pa.bool_()), pa.array(item, pa.int64()), pa.array(score, pa.float64())], batch.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    items = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    k = max(1, -(-items.count() // BLOCK))
+
+    def send(b: int):
+        rows = sorted(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == b).collect())
+        return spark.sparkContext.broadcast(cloudpickle.dumps(Items([r[0] for r in rows], [r[1] for r in rows])))
+
+    if k == 1:
+        return judged(docs, send(0), keep)
+    found = None
+    for b in range(k):
+        sent = send(b)
+        got = judged(docs, sent, ["text"]).filter("contaminated").select(F.md5("text").alias("_decontam_key"), "item_id", "score")
+        got = materialise(spark, got.distinct(), "leaks")
+        sent.destroy()
+        found = got if found is None else found.union(got)
+    best = F.max_by(F.struct("item_id", "score"), F.struct("score", -F.col("item_id")))
+    found = materialise(spark, found.groupBy("_decontam_key").agg(best.alias("_decontam_best")), "all-leaks")
+    found = F.broadcast(found) if found.count() <= FEW_FOUND else found
+    out = docs.select(*keep).withColumn("_decontam_key", F.md5("text")).join(found, "_decontam_key", "left")
+    return out.select(*keep, F.col("_decontam_best").isNotNull().alias("contaminated"), "_decontam_best.item_id", "_decontam_best.score")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
