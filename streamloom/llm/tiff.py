@@ -1,10 +1,12 @@
 """TIFF media columns: write and read baseline TIFF with strips or tiles, one output row per page.
 
 The reader walks the chain of image directories in either byte order, decodes uncompressed, PackBits, LZW and deflate
-strips or tiles, undoes horizontal differencing (predictor 2) and crops tiles at the right and lower edge.
+strips or tiles, undoes horizontal differencing (predictor 2), bit-reversed bytes (fill order 2) and samples in planes
+(planar configuration 2), and crops tiles at the right and lower edge.
 
-Defined cases: a null or empty blob has no pages; a broken blob gives one row with page -1 and the fault in error, so
-one bad file doesn't end a job; a directory chain that returns to itself ends there.
+Defined cases: a null or empty blob has no pages; a broken blob, and one with samples other than 8 bits or another
+predictor, gives one row with page -1 and the fault in error, so one bad file doesn't end a job; a directory chain that
+returns to itself ends there; columns of the input named like one of a page are kept as input_page and so on.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import string_buffers
 
@@ -191,23 +195,37 @@ def decode_tiff(blob: bytes):
         page += 1
 
 
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
 def read_image(blob: bytes, tags: dict[int, tuple]) -> np.ndarray:
     width, rows = tags[256][0], tags[257][0]
-    samples, predictor = tags.get(277, (1,))[0], tags.get(317, (1,))[0]
+    samples, predictor, planar, fill = (tags.get(t, (1,))[0] for t in (277, 317, 284, 266))
     if set(tags.get(258, (8,))) != {8}:
         raise ValueError("only 8-bit samples")
-    decode = DECODE[tags.get(259, (1,))[0]]
+    if predictor not in (1, 2) or planar not in (1, 2) or fill not in (1, 2):
+        raise ValueError(f"predictor {predictor}, planar configuration {planar} or fill order {fill} is not known")
+    code = tags.get(259, (1,))[0]
+    if code not in DECODE:
+        raise ValueError(f"compression {code} is not known")
     tiled = 324 in tags
     th, tw = (tags[323][0], tags[322][0]) if tiled else (min(tags.get(278, (rows,))[0], rows), width)
     out = np.zeros((rows, width, samples), np.uint8)
     across = -(-width // tw)
-    for k, (start, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
-        y, x = k // across * th, k % across * tw
+    planes, deep = (samples, 1) if planar == 2 else (1, samples)
+    each = across * -(-rows // th)
+    places = list(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True))
+    if len(places) != each * planes:
+        raise ValueError("strips or tiles are missing")
+    for k, (start, size) in enumerate(places):
+        plane, at = divmod(k, each)
+        y, x = at // across * th, at % across * tw
         high = th if tiled else min(th, rows - y)
-        part = np.frombuffer(decode(blob[start : start + size]), np.uint8)[: high * tw * samples].reshape(high, tw, samples)
+        raw = blob[start : start + size]
+        part = np.frombuffer(DECODE[code](raw.translate(_REVERSED) if fill == 2 else raw), np.uint8)[: high * tw * deep].reshape(high, tw, deep)
         if predictor == 2:
             part = np.cumsum(part, 1, dtype=np.uint8)
-        out[y : y + high, x : x + tw] = part[: rows - y, : width - x]
+        out[y : y + high, x : x + tw, plane : plane + deep] = part[: rows - y, : width - x]
     return out
 
 
@@ -236,13 +254,15 @@ def encode_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-PAGES = "page int, height int, width int, samples int, compression int, pixels binary, error string"
+PAGES = {"page": T.IntegerType(), "height": T.IntegerType(), "width": T.IntegerType(), "samples": T.IntegerType(), "compression": T.IntegerType(), "pixels": T.BinaryType(), "error": T.StringType()}
 
 
 def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
     """One row per page: the other columns of the input, then page, height, width, samples, compression, pixels, error."""
-    keep = [c for c in media.columns if c != column and c not in ("page", "height", "width", "samples", "compression", "pixels", "error")]
-    schema = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep) + (", " if keep else "") + PAGES
+    media = media.select(*(F.col(c).alias(f"input_{c}" if c in PAGES else c) for c in media.columns if c != column), F.col(column).alias("_media"))
+    keep = media.columns[:-1]
+    schema = T.StructType([*media.schema.fields[:-1], *(T.StructField(n, t) for n, t in PAGES.items())])
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
 
     def run(batches):
         for batch in batches:
@@ -253,34 +273,54 @@ def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
                 except Exception as fault:  # a broken blob is data, not a failure of the job
                     got = [(-1, None, None, None, None, None, f"{type(fault).__name__}: {fault}")]
                 if got:
-                    same = batch.slice(i, 1).select(list(range(len(keep)))).take(pa.array([0] * len(got))) if keep else None
-                    cols = [pa.array(x, t) for x, t in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(same.columns if keep else []), *cols], [*keep, "page", "height", "width", "samples", "compression", "pixels", "error"])
+                    own = batch.slice(i, 1).select(list(range(len(keep)))).take(pa.array([0] * len(got))).columns if keep else []
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, t in zip(zip(*got, strict=True), kinds, strict=True))], schema.names)
 
-    return media.select(*keep, column).mapInArrow(run, schema)
+    return media.mapInArrow(run, schema)
 
 
 def digest_media(media: DataFrame) -> DataFrame:
-    """Read stored documents back, page by page, and give their digests and a feature of the samples.
+    """Read stored documents back as page rows, and give the digests and a feature of each document's samples.
 
-    feature: pages, rows, and the mean and largest of the samples. Equal texts give equal values. Null ids stay null.
+    The pages of a document follow each other in one partition, so they are put together again as they come, without
+    a shuffle. feature: pages, rows, and the mean and largest of the samples. Equal texts give equal values. Null ids
+    stay null; a document that can't be read fails the job, since it was just written.
     """
+    stored = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.monotonically_increasing_id().alias("number"), "media")
+    pages = read_pages(stored).select("number", "doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "pixels", "error")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches):
+        out, have = [], None
+
+        def close():
+            if have:
+                _, doc, n, size, sha, digest, read, total, top, pages, tail = have
+                out.append((doc, n, read, digest.hexdigest(), zlib.crc32(tail), size, sha, f"pages={pages};rows={read // WIDTH};mean={total * 1000 // read};max={top}"))
+
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                blob = batch.column(2)[i].as_py()
-                digest, size, total, top, pages, tail = hashlib.sha256(), 0, 0, 0, 0, b""
-                for _, pixels, _ in decode_tiff(blob):
-                    part = pixels.tobytes()
-                    digest.update(part)
-                    size, pages, tail = size + len(part), pages + 1, part[-64:]
-                    total, top = total + int(pixels.sum(dtype=np.int64)), max(top, int(pixels.max()))
-                out.append((size, digest.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), f"pages={pages};rows={size // WIDTH};mean={total * 1000 // size};max={top}"))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+            cols = [batch.column(k).to_pylist() for k in range(6)]
+            for i, (number, doc, n, size, sha, page) in enumerate(zip(*cols, strict=True)):
+                if page < 0:
+                    raise ValueError(batch.column(7)[i].as_py())
+                if have is None or have[0] != number:
+                    close()
+                    have = [number, doc, n, size, sha, hashlib.sha256(), 0, 0, 0, 0, b""]
+                part = batch.column(6)[i].as_py()
+                pixels = np.frombuffer(part, np.uint8)
+                have[5].update(part)
+                have[6] += len(part)
+                have[7] += int(pixels.sum(dtype=np.int64))
+                have[8] = max(have[8], int(pixels.max()))
+                have[9] += 1
+                have[10] = part[-64:]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                out.clear()
+        close()
+        cols = list(zip(*out, strict=True)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return pages.mapInArrow(run, schema)
