@@ -7,10 +7,12 @@ its range and reads the last of them to its end. If a false magic is the first o
 range's first true member is a fragment: it goes back to the range before by (file, byte position), in a small second
 step that only fragments enter.
 
-Archives are files without a ".gz" ending: Spark splits by name, and that ending means a single task. The writer
-puts an empty gzip member after each record, as what ends a row of the byte-exact text sink; readers of gzip skip it.
+Spark decides by name whether to split a file: one that ends in ".gz" it inflates itself, in one task, and its records are
+then cut out of the plain text by their lengths. So archives that are to be read in ranges are named otherwise, as the
+writer does. The writer puts an empty gzip member after each record, as what ends a row of the byte-exact text sink;
+readers of gzip skip it.
 
-Defined cases: null html is an empty payload; a null page_id is written as "null" and read as null; of equal payloads
+Defined cases: a member's header fields may not hold the gzip magic; null html is an empty payload; a null page_id is written as "null" and read as null; of equal payloads
 all rows that carry the largest page_id are responses (repeated rows), null ids being smallest; an empty table gives no
 records.
 """
@@ -33,8 +35,10 @@ from .common import materialise, shared_dir
 MAGIC = b"\x1f\x8b\x08"
 #: An empty gzip member.
 END = bytes.fromhex("1f8b080000000000000303000000000000000000")[:10] + bytes.fromhex("0300") + bytes(8)
-#: Copies of one payload are dealt over so many tasks.
-SALTS = 32
+#: Copies of one payload are dealt over a task for each so many.
+SHARE = 50_000
+#: Rows that are broadcast.
+FEW = 1_000_000
 MIN_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = "record_id string, record_type string, refers_to string, uri string, payload_digest string, payload_bytes long, payload binary"
@@ -63,7 +67,7 @@ def plausible(piece: bytes) -> bool:
     if len(piece) < 18 or piece[3] & 0xE0:
         return False
     try:
-        got = zlib.decompressobj(31).decompress(piece[:512], 5)
+        got = zlib.decompressobj(31).decompress(piece, 5)
     except zlib.error:
         return False
     return got == b"WARC/" or piece == END
@@ -93,20 +97,25 @@ def parse(record: bytes) -> tuple | None:
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     if not revisit and digest and digest != sha1_base32(payload):
         return None
-    return (fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), digest or sha1_base32(payload), int(size[1]) if size else len(payload), None if revisit else payload)
+    return (fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), digest or sha1_base32(payload), int(size[1]) if revisit and size else len(payload), None if revisit else payload)
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, *, min_revisit_bytes: int = MIN_REVISIT_BYTES, salts: int = SALTS) -> str:
+def write_archives(spark: SparkSession, pages: DataFrame, *, min_revisit_bytes: int = MIN_REVISIT_BYTES, share: int = SHARE) -> str:
     """Write a record for each row of pages (page_id, url, html) into a new folder of archives; return its path.
 
-    Equal payloads are found by SHA-256 with partial aggregation; only groups of two and more are joined back, on
-    (digest, salt), so that no group meets in one task.
+    Equal payloads are found by SHA-256 with partial aggregation; only groups of two and more are joined back. A group of
+    more than share rows meets its response in as many parts as it has shares.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    keyed = rows.withColumns({"digest": F.sha2("html", 256), "salt": F.pmod(F.xxhash64("page_id", F.lit(7)), F.lit(salts)).cast("int")})
+    keyed = rows.withColumn("digest", F.sha2("html", 256))
     copies = keyed.filter(F.octet_length("html") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = copies.select("digest", F.struct("first").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    joined = keyed.join(materialise(spark, copies, "warc-copies"), ["digest", "salt"], "left")
+    copies = materialise(spark, copies.withColumn("parts", F.ceil(F.col("n") / share).cast("int")), "warc-copies")
+    # There is one large group for each share rows at most.
+    large = copies.filter("parts > 1").select("digest", "parts")
+    keyed = keyed.join(F.broadcast(large) if large.count() <= FEW else large, "digest", "left")
+    keyed = keyed.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("page_id", "url"), F.col("parts"))).otherwise(0).cast("int"))
+    first = copies.select("digest", F.struct("first").alias("first"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    joined = keyed.join(first, ["digest", "part"], "left")
     joined = joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first.first")), F.col("first")).alias("refers"))
 
     def run(batches):
@@ -125,11 +134,65 @@ def write_archives(spark: SparkSession, pages: DataFrame, *, min_revisit_bytes:
     return path
 
 
+FIELDS = [x.split()[0] for x in RECORDS.split(", ")]
+
+
+def inflated_records(lines: DataFrame) -> DataFrame:
+    """Rows of RECORDS from what Spark inflates itself. lines: file and piece, what stands between two "WARC/1." of a file, in order."""
+
+    def run(batches):
+        out, file, have, held = [], None, b"", 0
+        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 7, kinds, strict=True)], FIELDS)
+
+        def close():
+            if have and (got := parse(have)):
+                out.append(got)
+
+        for batch in batches:
+            for name, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                head, _, rest = have.partition(b"\r\n\r\n")
+                size = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", head)
+                if name == file and have and (not size or len(rest) < int(size[1])):
+                    # The mark stood inside a record.
+                    have += MARK + piece
+                    continue
+                close()
+                # What stands before the first mark of a file is no record.
+                have, file = (MARK + piece if name == file else b""), name
+                held += len(piece)
+                if held > 1 << 22:
+                    yield batch_of()
+                    out, held = [], 0
+        close()
+        yield batch_of()
+
+    return lines.mapInArrow(run, RECORDS)
+
+
+MARK = b"WARC/1."
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Rows of RECORDS from all archives in a folder, with whole payloads; revisits have a null payload."""
+    named = spark.read.format("binaryFile").load(path).select("path").filter("lower(path) like '%.gz'")
+    if not named.limit(1).count():
+        return ranged_records(spark, spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path))
+    whole = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MARK.decode()).option("pathGlobFilter", "*.[gG][zZ]").text(path)
+    out = inflated_records(whole.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")))
+    rest = spark.read.format("binaryFile").load(path).select("path").filter("lower(path) not like '%.gz'")
+    if rest.limit(1).count():
+        plain = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).option("pathGlobFilter", "{*[!zZ],*[!gG][zZ],*[!.][gG][zZ]}").text(path)
+        out = out.unionByName(ranged_records(spark, plain))
+    return out
+
+
+def ranged_records(spark: SparkSession, text: DataFrame) -> DataFrame:
+    """Rows of RECORDS from archives that are read in ranges, cut at the gzip magic."""
     pieces = (
-        spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.col("_metadata.file_block_length").alias("size"), F.col("value").cast("binary").alias("piece"))
+        text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.col("_metadata.file_block_length").alias("size"), F.col("value").cast("binary").alias("piece"))
     )
     fields = RECORDS + ", file string, at long, fragment binary"
 
