@@ -5,6 +5,8 @@ import collections
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +55,8 @@ def empty(spark):
 @pytest.fixture(autouse=True)
 def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(hpylm, "SHARD_BYTES", 20000)
+    monkeypatch.setattr(substring, "INDEX_WORDS", 3000)
     monkeypatch.setattr(blocks, "SHARD_BYTES", 20000)
 
 
@@ -72,6 +76,39 @@ def test_substring(spark, docs, empty):
     assert substring.remove_repeats(spark, empty).count() == 0
 
 
+def brute_words(texts):
+    seen = collections.Counter(tuple(w[s : s + 35]) for w in texts for s in range(len(w) - 34))
+    return [len({k for s in range(len(w) - 34) if seen[tuple(w[s : s + 35])] > 1 for k in range(s, s + 35)}) for w in texts]
+
+
+def test_substring_compares_words_exactly(spark):
+    # The hashes of both words agree in 32 bits.
+    base = [f"q{i}" for i in range(35)]
+    texts = [base[:17] + [w] + base[18:] for w in ("tok95941", "tok304400")]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring.remove_repeats(spark, rows).collect()} == {0}
+
+
+@pytest.mark.parametrize("phrase", [10, 20, 34])
+def test_a_common_phrase_in_many_surroundings(spark, phrase):
+    rng = random.Random(phrase)
+    common = [f"c{i}" for i in range(phrase)]
+    around = [[f"v{rng.randrange(9)}" for _ in range(30)] for _ in range(6)]
+    texts = [rng.choice(around)[-rng.randrange(1, 31) :] + common + rng.choice(around)[: rng.randrange(1, 31)] for _ in range(150)]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(spark, rows).collect()}
+    want = brute_words(texts)
+    assert [got[i] for i in range(len(texts))] == want and 0 < sum(want) < sum(map(len, texts))
+    raw = [" ".join(w).encode() for w in texts]
+    first = {}
+    for i, b in enumerate(raw):
+        for s in range(len(b) - 49):
+            first.setdefault(b[s : s + 50], i)
+    gone = [len({k for s in range(len(b) - 49) if first[b[s : s + 50]] < i for k in range(s, s + 50)}) for i, b in enumerate(raw)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix.remove_repeats(spark, rows).collect()}
+    assert [got[i] for i in range(len(texts))] == gone
+
+
 def test_suffix(spark, docs, empty):
     got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(spark, docs).collect())
     texts = [(r[0], (r[1] or "").encode()) for r in corpus()]
@@ -94,13 +131,15 @@ def test_suffix(spark, docs, empty):
 
 def test_merge_is_a_sort():
     rng = random.Random(2)
-    runs = [sorted({bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 9))) for _ in range(30)}) for _ in range(7)]
-    got = [(k, r) for k, _, r, _ in suffix.merge([suffix.Run(*suffix.front_code(x)) for x in runs])]
-    assert [k for k, _ in got] == sorted(k for x in runs for k in x)
-    last = b""
-    for k, shared, _, _ in suffix.merge([suffix.Run(*suffix.front_code(x)) for x in runs]):
-        assert shared == suffix.common_prefix(last, k, 0)
+    runs = [sorted({bytes(rng.choice(b"ab") for _ in range(8)) for _ in range(30)}) for _ in range(7)]
+    coded = [suffix.front_code(np.frombuffer(b"".join(x), np.uint8).reshape(-1, 8)) for x in runs]
+    last, got, next_of = b"", [], [iter(x) for x in runs]
+    for k, shared, r in suffix.merge(coded, 8):
+        assert k == next(next_of[r]) and shared == suffix.common_prefix(last, k, 0)
         last = k
+        got.append(k)
+    assert got == sorted(k for x in runs for k in x)
+    assert list(suffix.merge(coded[:1], 8)) and not list(suffix.merge([], 8))
 
 
 def test_fm_index_counts():
@@ -116,8 +155,13 @@ def test_fm_index_counts():
 
 def test_near_duplicates(spark, docs, empty):
     def shingles(t):
-        w = (t or "").split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        # The k-th occurrence of a shingle is an element of its own: weighted similarity.
+        w, seen = (t or "").split(), collections.Counter()
+        out = set()
+        for g in [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []:
+            out.add((g, seen[g]))
+            seen[g] += 1
+        return out
 
     sets = {r[0]: shingles(r[1]) for r in corpus() if r[0] is not None}
     up = {i: i for i in sets}
@@ -167,6 +211,29 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in dartminhash.classes(spark, docs).collect()} == dict(enumerate(top))
 
 
+@pytest.mark.parametrize("size", [200, 900])
+def test_no_link_is_lost_on_either_side_of_a_full_bucket(spark, size):
+    # Buckets of up to CHUNK documents go by leaders, larger ones are stars; pairs of 0.8 and more are all in one class.
+    rng = random.Random(size)
+    word = [f"w{i}" for i in range(300)]
+    base = [rng.choice(word) for _ in range(60)]
+    texts = []
+    for i in range(size):
+        w = list(base)
+        for at in rng.sample(range(60), rng.choice([0, 1, 1, 2, 3])):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(rng.choice(word) for _ in range(60)) for _ in range(20)]
+    sets = [frozenset(zip(*(w[k:] for k in range(5)))) for w in map(str.split, texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    label = {r["doc_id"]: r["class_id"] for r in dartminhash.classes(spark, docs).collect()}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 1000
+    found = sum(label[i] == label[j] for i, j in pairs) / len(pairs)
+    assert found >= 0.999
+    assert all(label[size + k] == size + k for k in range(20))
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     base = rng.integers(1, 1 << 62, 300).astype(np.uint64)
@@ -192,6 +259,32 @@ def test_tiff_codecs():
     assert tiff.lzw_decode(tiff.lzw_encode(long)) == long and tiff.packbits_decode(tiff.packbits_encode(long)) == long
 
 
+def test_tiff_planes_fill_order_and_what_is_not_known():
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (5, 7, 3)).astype(np.uint8)
+    planes = [image[:, :, k].tobytes() for k in range(3)]
+    tags = {256: (7,), 257: (5,), 277: (3,), 284: (2,), 273: (0, 35, 70), 279: (35, 35, 35)}
+    assert (tiff.read_image(b"".join(planes), tags) == image).all()
+    turned = bytes(int(f"{b:08b}"[::-1], 2) for b in b"".join(planes))
+    assert (tiff.read_image(turned, tags | {266: (2,)}) == image).all()
+    for bad in ({317: (3,)}, {266: (3,)}, {284: (3,)}, {258: (16,)}, {259: (7,)}, {273: (0,), 279: (35,)}):
+        with pytest.raises(ValueError):
+            tiff.read_image(b"".join(planes), tags | bad)
+
+
+def test_tiff_of_several_pages_and_clashing_names(spark):
+    long = "".join(chr(97 + k * k % 23) for k in range(600_000))
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, long), (None, None)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in tiff.digest_media(tiff.encode_documents(docs)).collect()}
+    blob = {i: tiff.store(tiff.payload_of((t or "").encode())) for i, t in ((1, long), (2, "short"), (None, ""))}
+    for i, b in blob.items():
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(b), hashlib.sha256(b).hexdigest())
+    assert got[1]["feature"].startswith("pages=3;rows=9375;") and got[1][2:] == got[3][2:]
+    assert got[2]["feature"] == f"pages=1;rows=1;mean={sum(b'short') * 1000 // 64};max={max(b'short')}"
+    pages = tiff.read_pages(spark.createDataFrame([(5, "own", blob[1])], "page int, error string, media binary"))
+    assert pages.columns[:2] == ["input_page", "input_error"] and [(r["input_page"], r["page"], r["input_error"], r["error"]) for r in pages.collect()] == [(5, k, "own", None) for k in range(3)]
+
+
 def test_tiff_documents(spark, docs, empty):
     got = collections.Counter(tuple(r)[:5] for r in tiff.digest_media(tiff.encode_documents(docs)).collect())
     want = collections.Counter()
@@ -240,6 +333,39 @@ def test_warc_false_magic(spark, tmp_path):
     assert got == sorted((f"<urn:x-page:{i}>", warc.MAGIC * 40 + b"%d" % i) for i in range(30))
 
 
+def test_warc_named_gz_and_broken_lengths(spark, tmp_path):
+    import gzip
+
+    body = b"see WARC/1.0 and WARC/1.1 " * 3
+    raw = b"".join(warc.member(i, f"http://x/{i}", body + b"%d" % i, None) for i in range(20))
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    (tmp_path / "b.warc").write_bytes(warc.member(50, None, b"plain", None))
+    lying = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:60>\r\nContent-Length: 39\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\nabc"
+    assert len(lying.partition(b"\r\n\r\n")[2]) == 42
+    (tmp_path / "c.warc").write_bytes(gzip.compress(lying.replace(b"Length: 39", b"Length: 42") + b"\r\n\r\n"))
+    got = {r["record_id"]: (r["payload_bytes"], bytes(r["payload"])) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    want = {f"<urn:x-page:{i}>": (len(body) + len(str(i)), body + b"%d" % i) for i in range(20)}
+    assert got == want | {"<urn:x-page:50>": (5, b"plain"), "<urn:x-page:60>": (3, b"abc")}
+
+
+@pytest.mark.parametrize("share", [warc.SHARE, 3])
+def test_warc_of_repeated_rows_and_null_ids(spark, monkeypatch, share):
+    monkeypatch.setattr(warc, "SHARE", share)
+    rows = [(i % 12, f"u{i}", "same" if i % 2 else f"own{i % 6}") for i in range(40)] + [(None, None, "same"), (None, "u", None), (7, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = warc.write_archives(spark, pages, share=share)
+    got = collections.Counter((r["record_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archives(spark, path).collect())
+    last = {}
+    for i, _, h in rows:
+        last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
+    name = lambda i: f"<urn:x-page:{'null' if i is None else i}>"
+    want = collections.Counter()
+    for i, _, h in rows:
+        top = last[h or ""]
+        want[(name(i), "response", None, len(h or "")) if i == top else (name(i), "revisit", name(top), len(h or ""))] += 1
+    assert got == want
+
+
 def test_language_model(spark, docs, empty):
     got = hpylm.score_documents(spark, docs).collect()
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -266,15 +392,17 @@ def test_seating_keeps_customers():
             assert (np.bincount(own, minlength=count[d]) == sizes).all() and (sizes > 0).sum() == s.tables[d]
 
 
-@pytest.mark.parametrize("dishes", [20, 200])
-def test_seating_draws_the_tables_of_a_plain_sampler(dishes):
-    n, weight, discount = 120, 3.0, 0.75
+@pytest.mark.parametrize(("dishes", "n"), [(20, 120), (200, 120), (40, 900)])
+def test_seating_draws_the_tables_of_a_plain_sampler(dishes, n):
+    weight, discount = 3.0, 0.75
     ways = np.zeros(n + 1)  # of t tables, up to a factor: each new customer opens one or joins one
     ways[1] = 1.0
     for c in range(1, n):
         ways[1:] = ways[:-1] + (c - discount * np.arange(1, n + 1)).clip(0) * ways[1:]
         ways /= ways.max()
-    chance = ways[1:] * weight ** np.arange(n)
+    with np.errstate(divide="ignore"):
+        chance = np.log(ways[1:]) + np.log(weight) * np.arange(n)
+    chance = np.exp(chance - chance.max())
     want = (chance * np.arange(1, n + 1)).sum() / chance.sum()
     s = hpylm.Seating(np.full(dishes, n), np.full(dishes, 60), np.random.default_rng(1))
     seen = []
@@ -312,6 +440,44 @@ def test_decontamination(spark, docs, empty):
     assert decontam.detect(spark, empty, benchmark).count() == 0
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK, 7])
+def test_decontamination_against_plain_alignment(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK", block)
+    rng = random.Random(12)
+    items = [[f"i{rng.randrange(300)}" for _ in range(rng.randrange(6, 40))] for _ in range(30)]
+    texts = []
+    for k in range(90):
+        w = list(items[k % 30])
+        for _ in range(rng.randrange(0, 1 + len(w) // 2)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["new"], [w[at], "more"]])
+        texts.append([f"t{rng.randrange(300)}" for _ in range(rng.randrange(60))] + w + [f"t{rng.randrange(300)}" for _ in range(rng.randrange(60))])
+
+    def smith_waterman(q, p):
+        row, best = [0] * (len(p) + 1), 0
+        for x in q:
+            new = [0]
+            for j, y in enumerate(p):
+                new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+            row, best = new, max(best, *new)
+        return best
+
+    want = {}
+    for d, t in enumerate(texts):
+        own = {tuple(t[a : a + 3]) for a in range(len(t) - 2)}
+        for i, q in enumerate(items):
+            s = smith_waterman(q, t) if own & {tuple(q[a : a + 3]) for a in range(len(q) - 2)} else 0
+            if s >= max(2 * len(q) * decontam.THRESHOLD, 2 * min(len(q), decontam.LEAST_WORDS)):
+                want[d] = max(want.get(d, (0, 0)), (s / (2 * len(q)), -i))
+    docs = [(d, " ".join(t)) for d, t in enumerate(texts)] + [(None, " ".join(texts[0])), (0, " ".join(texts[0])), (95, None), (96, "")]
+    benchmark = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)], "item_id long, text string")
+    got = decontam.detect(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), benchmark).collect()
+    assert len(got) == len(docs) and 30 < len(want) < 90
+    for r in got:
+        i = {None: 0}.get(r["doc_id"], r["doc_id"])
+        assert (r["contaminated"], r["score"], r["item_id"]) == ((True, want[i][0], -want[i][1]) if i in want else (False, None, None))
+
+
 def test_decontamination_of_an_edited_copy_beside_many_exact_leaks(spark):
     rng = random.Random(4)
     w = [f"c{rng.randrange(10**6)}" for _ in range(30)]
@@ -362,7 +528,7 @@ def test_pii_terms_of_few_contexts(spark):
     # Zorblax has one context, Quillon two; Marrow stands once, near two mentions, of three times in all.
     assert found == {"zorblax": 1.0, "quillon": 1.0, "here": 1.0, "now": 1.0, "then": 1.0}
     red = {r["doc_id"]: r["text"] for r in pii.redact(spark, docs).collect()}
-    assert red[400] == f"{common} [TERM] [EMAIL] {common}" and "Quillon" not in red[401] + red[402] and red[404] == texts[404]
+    assert red[400] == f"{common} [EMAIL TERM] [EMAIL] {common}" and "Quillon" not in red[401] + red[402] and red[404] == texts[404]
 
 
 def test_pii_contexts_are_whole_words():
@@ -388,6 +554,92 @@ def test_mixing(spark, docs, empty):
     assert got == want
 
 
+def test_mixing_with_other_weights_ties_and_clashing_names(spark):
+    import duckdb
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(40), " ".join(["t"] * rng.choice([1, 2, 5])) + rng.choice(["", " "]), rng.choice(["en", "de"]), f"src{rng.randrange(3)}", k, "own") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, domain string").repartition(3)
+    weights = mixing.Weights(domains={"web": 1, "*": 7}, langs={"de": 9, "*": 1}, sources={"*": 1})
+    for budget in (350, 1700):
+        out = mixing.mix_sources(docs, weights=weights, budget=budget, seed=5)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "input_domain", "domain", "n_tokens", "epoch"]
+        got = collections.Counter((r["n_chars"], r["epoch"]) for r in out.collect())
+        con = duckdb.connect()
+        con.register("documents", docs.drop("domain").toPandas())
+        want = collections.Counter(con.execute(f"select n_chars, epoch from ({mixing.oracle(weights=weights, budget=budget, seed=5)})").fetchall())
+        assert got == want and len(want) > 30
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choice("aZ9@@..-+_ ()1é5") for _ in range(rng.randrange(40))) + rng.choice(["", "4111 1111-1111 1111", "1.2.3.4.5.6.7.8.9", "+12 (34) 567.890(("])
+        want = [(m.start(), m.end(), "email") for m in re.finditer(pii.EMAIL, text)]
+        want += [(m.start(), m.end(), "ip") for m in re.finditer(pii.IP, text) if all(int(x) <= 255 for x in m[0].split("."))]
+        want += [(m.start(), m.end(), "card") for m in re.finditer(pii.CARD, text) if 12 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
+        want += [(m.start(), m.end(), "phone") for m in re.finditer(pii.PHONE, text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert pii.base_spans(text) == sorted(want, key=lambda x: (x[0], pii.KINDS.index(x[2]))), text
+
+
+def test_long_unbroken_texts_take_linear_time():
+    began = time.time()
+    for text in ("a" * 10**6 + "@", "@" + "a." * 10**6, "7" * 10**6, "1." * 10**6, "a@" * 10**6, "+1(" * 10**5, "x@y.z " * 10**5):
+        pii.all_spans(text, {"zzz": "email"})
+    assert time.time() - began < 20
+
+
+def disclosing(texts):
+    """The definition in plain Python: term -> kind of its entity."""
+    together, marks, total, n = collections.Counter(), collections.defaultdict(set), collections.Counter(), 0
+    for t in texts:
+        found = re.findall(r"[^\W\d_]{3,}", (t or "").lower())
+        total.update(found)
+        n += len(found)
+        for term, entity, mark, k, _ in pii.contexts(t or ""):
+            together[term, entity] += k
+            marks[entity].add(mark)
+    best = {}
+    for (term, entity), k in together.items():
+        posterior = min(1.0, k / total[term])
+        bits = math.log2(posterior / min(1.0, len(marks[entity]) * 2 * pii.WINDOW / n)) if posterior else -1
+        if posterior >= pii.MIN_POSTERIOR and bits >= pii.MIN_BITS:
+            best[term] = max(best.get(term, (0, "")), (posterior, entity))
+    return {t: e.split(":")[0] for t, (_, e) in best.items()}
+
+
+@pytest.mark.parametrize("block", [pii.TERM_BLOCK, 0])
+def test_terms_and_spans_against_plain_python(spark, monkeypatch, block):
+    monkeypatch.setattr(pii, "TERM_BLOCK", block)
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(500)]
+    texts = []
+    for i in range(200):
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(5, 60))]
+        if i % 5 == 0:
+            k = i % 25
+            w[3:3] = [f"keeper{k:02d}".replace("0", "o").replace("1", "i").replace("2", "z").replace("5", "s"), f"person{k}@host.org"]
+        if i % 9 == 0:
+            w.append("call +49 30 1234567 or 10.1.2.3")
+        texts.append(" ".join(w))
+    rows = [*enumerate(texts), (None, texts[0]), (900, None), (901, ""), (3, texts[3])]
+    docs = spark.createDataFrame([(*r, "own", len(r[1] or "")) for r in rows], "doc_id long, text string, _terms string, n_chars long").repartition(3)
+    want = disclosing([t for _, t in rows])
+    found = pii.find_disclosing(spark, docs)
+    assert {r["term"]: r["kind"] for r in found.collect()} == want and {"email"} <= set(want.values())
+    expect = collections.Counter()
+    for i, t in rows:
+        base = pii.base_spans(t or "")
+        more = [(m.start(), m.end(), "term") for m in re.finditer(r"[^\W\d_]{3,}", t or "") if m[0].lower() in want and not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        kinds = collections.Counter(k for _, _, k in base)
+        spans = sorted(base + more, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        expect[i, kinds["email"], kinds["ip"], kinds["card"], kinds["phone"], hashlib.sha256(pii.listing(base).encode()).hexdigest(), pii.listing(spans), len(more)] += 1
+    assert collections.Counter(tuple(r) for r in pii.detect(spark, docs, found).collect()) == expect
+    red = pii.redact(spark, docs).collect()
+    assert len(red) == len(rows) and all(r["_terms"] == "own" and r["n_chars"] == len(r["text"] or "") for r in red)
+    assert any("[EMAIL TERM] [EMAIL]" in (r["text"] or "") for r in red)
+
+
 def test_toxicity():
     rng = random.Random(3)
     bad = ["vile", "rotten", "awful"]
@@ -400,11 +652,33 @@ def test_toxicity():
         texts.append(" ".join(w))
         labels.append((toxic and not quality, toxic and quality, toxic))
     model = toxicity.fit_chain(texts[:400], np.array(labels[:400], int))
-    hits = [(toxicity.score(t, model)[-1] >= 0.5) == y[-1] for t, y in zip(texts[400:], labels[400:])]
+    score = toxicity.Scorer(model)
+    hits = [(score(t)[-1] >= 0.5) == y[-1] for t, y in zip(texts[400:], labels[400:])]
     assert np.mean(hits) > 0.95
-    assert all(0 <= p <= 1 for p in toxicity.score(None, model))
+    assert all(0 <= p <= 1 for p in score(None))
+    # Plain arithmetic over all features of a text, one category after the other.
+    for t in texts[400:420]:
+        z = [math.log1p(len(toxicity.features(t)))]
+        for k, bias in enumerate(model["bias"]):
+            v = bias + sum(model["words"][f][k] for f in toxicity.features(t) if f in model["words"]) + sum(a * b for a, b in zip(model["dense"][k], z))
+            z.append(1 / (1 + math.exp(-v)))
+        assert score(t) == pytest.approx(z[1:])
 
 
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.toxic_filter(spark, docs, labels).count() == docs.count()
+
+
+def test_toxicity_by_spark_keeps_columns(spark):
+    rng = random.Random(4)
+    vocabulary = [f"calm{i}x" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(40)) + (" vilest slurword" if i % 3 == 0 else ""), 0.5 + i) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (None, None, 7.0), (900, "", 8.0), rows[1]], "doc_id long, text string, toxic double").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(0, 300, 2)] + [(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(spark, docs, labels)
+    scored = toxicity.score_documents(docs, model).collect()
+    assert all(r["rejected"] == (r["doc_id"] is not None and r["doc_id"] < 300 and r["doc_id"] % 3 == 0) for r in scored)
+    kept = toxicity.toxic_filter(spark, docs, labels).collect()
+    assert collections.Counter((r["doc_id"], r["toxic"]) for r in kept) == collections.Counter([(i, v) for i, _, v in [*rows, rows[1]] if i % 3] + [(None, 7.0), (900, 8.0)])
+    assert toxicity.score_documents(docs.limit(0), model).count() == 0
