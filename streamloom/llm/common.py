@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -23,14 +24,16 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 
 
-#: The temporary folder of each application that names none.
+#: The temporary folder of each local application that names none.
 _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); in local mode, where all is one machine, a temporary one if none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIR:
             _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -222,18 +225,30 @@ def through_table(df: DataFrame, column: str, table) -> DataFrame:
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """node, component (its least node), for edges (a, b): least labels spread along edges and over pointers until none changes."""
-    both = materialise(spark, edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = materialise(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        near = both.join(labels, both["a"] == labels["node"]).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("least"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        new = labels.join(near, "node", "left").join(up, "component", "left").select("node", F.least("component", "least", "above").alias("component"), F.col("component").alias("old"))
-        new = materialise(spark, new, "labels")
-        changed = new.filter("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+    """node, component (its least node), for edges (a, b), by contraction.
+
+    In each round every node goes to the first of its neighbours and itself in the order of a hash, the edges between
+    what is left are put together, and so they dwindle; then the rounds are read backwards. All rounds together read
+    a few times the edges, whatever the shape of the components.
+    """
+    before = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+    rest = materialise(spark, edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    rounds = []
+    while rest.limit(1).count():
+        both = rest.select(F.col("a").alias("node"), F.col("b").alias("other")).union(rest.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        first = both.groupBy("node").agg(F.min(before("other")).alias("first")).select("node", F.least("first", before("node"))["n"].alias("parent"))
+        rounds.append(materialise(spark, first, "parents"))
+        one, two = rounds[-1].select(F.col("node").alias("a"), F.col("parent").alias("x")), rounds[-1].select(F.col("node").alias("b"), F.col("parent").alias("y"))
+        rest = rest.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
+        rest = materialise(spark, rest, "edges")
+    if not rounds:
+        return spark.createDataFrame([], "node long, component long")
+    label = rounds.pop().withColumnRenamed("parent", "root")
+    for parents in reversed(rounds):
+        up = label.select(F.col("node").alias("parent"), F.col("root").alias("top"))
+        label = materialise(spark, parents.join(up, "parent", "left").select("node", F.coalesce("top", "parent").alias("root")), "roots")
+    least = label.groupBy("root").agg(F.min("node").alias("component"))
+    return materialise(spark, label.join(least, "root").select("node", "component"), "labels")
 
 
 def sorted_groups(batches, keys: int):

@@ -153,6 +153,27 @@ def test_fm_index_counts():
         assert high - low == sum((q[s : s + len(p)] == p).all() for q in parts for s in range(20 - len(p) + 1))
 
 
+def test_components(spark):
+    from streamloom.llm.common import components
+
+    rng = random.Random(1)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(200, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components(spark, spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {x: top(x) for x in list(up)}
+    assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates(spark, docs, empty):
     def shingles(t):
         # The k-th occurrence of a shingle is an element of its own: weighted similarity.
