@@ -66,13 +66,16 @@ def entity_description(c: Column | str) -> Column:
 
 def stem(c: Column | str) -> Column:
     """A crude English stem: a suffix goes, a doubled last consonant is halved, or a silent e comes back."""
-    w = F.lower(_col(c))
-    suffix = F.regexp_extract(w, "(ings?|ied|ed|es|s)$", 1)
-    cut = F.substr(w, F.lit(1), F.char_length(w) - F.char_length(suffix))
-    doubled = suffix.isin("ing", "ings", "ed", "ied") & (F.char_length(cut) >= 3) & cut.rlike("([^aeiou])\\1$")
-    silent = suffix.isin("ing", "ings", "ed", "es") & (F.char_length(cut) == 3) & cut.rlike("^[^aeiou][aeiou][^aeiouwxy]$")
-    out = F.when(suffix == "", w).when(doubled, F.substr(cut, F.lit(1), F.char_length(cut) - 1)).when(silent, F.concat(cut, F.lit("e"))).otherwise(cut)
-    return F.when(out == "", w).otherwise(out)
+
+    def cut_off(w: Column, suffix: Column) -> Column:
+        def restored(cut: Column) -> Column:
+            doubled = suffix.isin("ing", "ings", "ed", "ied") & (F.char_length(cut) >= 3) & cut.rlike("([^aeiou])\\1$")
+            silent = suffix.isin("ing", "ings", "ed", "es") & (F.char_length(cut) == 3) & cut.rlike("^[^aeiou][aeiou][^aeiouwxy]$")
+            return F.when((suffix == "") | (cut == ""), w).when(doubled, F.substr(cut, F.lit(1), F.char_length(cut) - 1)).when(silent, F.concat(cut, F.lit("e"))).otherwise(cut)
+
+        return let(F.substr(w, F.lit(1), F.char_length(w) - F.char_length(suffix)), restored)
+
+    return let(F.lower(_col(c)), lambda w: let(F.regexp_extract(w, "(ings?|ied|ed|es|s)$", 1), lambda suffix: cut_off(w, suffix)))
 
 
 def keywords(c: Column | str) -> Column:
@@ -80,6 +83,10 @@ def keywords(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(_col(c)), F.lit("(?U)\\b\\w{4,}\\b"), F.lit(0)), stem)))
 
 
+def temporal_stems() -> Column:
+    return F.array_distinct(F.transform(F.array(*map(F.lit, V.TEMPORAL_WORDS)), stem))
+
+
 def stop_stems() -> Column:
     return F.array_distinct(F.transform(F.array(*map(F.lit, V.COUNT_STOP_WORDS)), stem))
 
@@ -112,9 +119,8 @@ def count_focus(c: Column | str) -> Column:
 def strip_subject(text: Column | str, hub: Column | str) -> Column:
     """The text without the hub's words in front and without an auxiliary verb after them; the text itself if hardly anything is left."""
     text, hub = _col(text), F.lower(F.trim(_col(hub)))
-    rest = F.ltrim(F.substr(text, F.char_length(hub) + 1))
-    rest = F.regexp_replace(rest, "(?i)^(is|are|was|were|has|have)\\s+", "")
-    return F.when(F.lower(F.trim(text)).startswith(hub) & (F.char_length(rest) > 3), rest).otherwise(text)
+    rest = F.regexp_replace(F.ltrim(F.substr(text, F.char_length(hub) + 1)), "(?i)^(is|are|was|were|has|have)\\s+", "")
+    return F.when(F.lower(F.trim(text)).startswith(hub), let(rest, lambda r: F.when(F.char_length(r) > 3, r).otherwise(text))).otherwise(text)
 
 
 def minutes(seconds: Column | str) -> Column:

@@ -55,6 +55,15 @@ SCAFFOLD = (
 COUNT_PHRASES = ("how many times", "how often", "number of times", "count how many", "how many")
 RECENCY_PHRASES = ("just now", "so far", "summariz", "primary focus")
 
+# The sign that no node was found, and the words around counts in a context.
+NO_MATCH_SIGNAL = "未找到匹配节点"
+COUNT_TITLE = "[Counting Aggregate — observed action occurrences across captioned chunks]\n"
+SEMANTIC_COUNT = (
+    "[Counting Aggregate — semantic match (no exact verb match; using cosine over action embeddings)]\n",
+    "]\n  Matching captions: ",
+    "\n  Note: this is an estimate from semantic similarity; the actual number may be lower if some matches are false positives.",
+)
+
 # Words that point to an order in time.
 TEMPORAL_WORDS = ("after", "before", "then", "next", "when", "order", "sequence", "first", "last", "earlier", "later", "previously", "follow", "subsequent", "happen", "did", "while", "during", "step")
 

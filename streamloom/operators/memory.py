@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -78,8 +78,36 @@ def attach_by_id(log: DataFrame, node: DataFrame) -> DataFrame:
     return found.groupBy("video", "node_id").agg(F.min_by("hub", "pos").alias("hub"))
 
 
-def with_hubs(log: DataFrame, node: DataFrame) -> DataFrame:
-    return node.filter("admitted").join(attach_by_id(log, node), ["video", "node_id"], "left")
+UNRESOLVED = "[unresolved "
+
+
+def dot(a: str, b: str, digits: int = 6) -> Column:
+    """Rounded dot product of two columns of doubles; of unit vectors their cosine."""
+    return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), digits)
+
+
+def attach_by_vector(node: DataFrame, vectors: DataFrame, threshold: float = V.LINK_THRESHOLD, resolved: bool = False) -> DataFrame:
+    """video, node_id, hub, sim: the nearest hub that was there before a spoke, from the threshold on; of equals the first.
+
+    vectors: video, node_id, vector. In resolved mode only spokes that name no id and hold no unresolved reference may
+    attach so. A video has at most as many nodes as the cap admits, so the pairs of a video are bounded.
+    """
+    known = node.filter("admitted").join(vectors, ["video", "node_id"])
+    hubs = known.filter("node_type = 'entity'").select("video", F.col("node_id").alias("hub"), F.col("vector").alias("hub_vector"))
+    spokes = known.filter("node_type <> 'entity'")
+    if resolved:
+        spokes = spokes.filter((F.size(X.referenced_ids("text")) == 0) & ~F.contains("text", F.lit(UNRESOLVED)))
+    pairs = spokes.select("video", "node_id", "vector").join(hubs, "video").filter("hub < node_id").withColumn("sim", dot("vector", "hub_vector")).filter(F.col("sim") >= threshold)
+    return pairs.groupBy("video", "node_id").agg(F.max_by("hub", F.struct("sim", -F.col("hub"))).alias("hub"), F.max("sim").alias("sim"))
+
+
+def with_hubs(log: DataFrame, node: DataFrame, vectors: DataFrame | None = None, threshold: float = V.LINK_THRESHOLD, resolved: bool = False) -> DataFrame:
+    """Admitted nodes with their hub: by id where one is named and was there, else, with vectors, the nearest one before."""
+    found = attach_by_id(log, node)
+    if vectors is not None:
+        near = attach_by_vector(node, vectors, threshold, resolved).select("video", "node_id", F.col("hub").alias("_near"))
+        return node.filter("admitted").join(found, ["video", "node_id"], "left").join(near, ["video", "node_id"], "left").withColumn("hub", F.coalesce("hub", "_near")).drop("_near")
+    return node.filter("admitted").join(found, ["video", "node_id"], "left")
 
 
 def edges(log: DataFrame) -> DataFrame:
@@ -96,8 +124,12 @@ def chains(linked: DataFrame) -> DataFrame:
     return actions.select("video", "hub", "node_id", F.lead("node_id", 1).over(w).alias("next1"), F.lead("node_id", 2).over(w).alias("next2"))
 
 
-def timeline(log: DataFrame) -> DataFrame:
-    return log.filter("node_type = 'event'").select("video", "chunk", "ts", "seq", "text")
+def timeline(log: DataFrame, node: DataFrame | None = None) -> DataFrame:
+    """Events in order: all of the log, or those whose node was admitted."""
+    events = log.filter("node_type = 'event'")
+    if node is not None:
+        events = keyed(events).join(node.filter("admitted").select("video", "key"), ["video", "key"], "left_semi")
+    return events.select("video", "chunk", "ts", "seq", "text")
 
 
 def stats(node: DataFrame) -> DataFrame:
@@ -106,16 +138,68 @@ def stats(node: DataFrame) -> DataFrame:
     return node.groupBy("video").agg(F.count_if("admitted").alias("total_nodes"), *kinds, F.count_if(~F.col("admitted")).alias("overflow"))
 
 
+def full_stats(log: DataFrame, node: DataFrame, linked: DataFrame, edge: DataFrame) -> DataFrame:
+    """stats, and edges, chain links, timeline events, action observations, spokes without a hub, unresolved references."""
+    more = [
+        edge.groupBy("video").agg(F.count("*").alias("co_occurrence_edges")),
+        chains(linked).groupBy("video").agg(F.count("next1").alias("action_chain_links")),
+        timeline(log, node).groupBy("video").agg(F.count("*").alias("timeline_events")),
+        log.groupBy("video").agg(F.count_if(F.col("node_type") == "action").alias("action_observations"), F.count_if(F.contains("text", F.lit(UNRESOLVED))).alias("unresolved")),
+        linked.groupBy("video").agg(F.count_if((F.col("node_type") != "entity") & F.col("hub").isNull()).alias("unattached")),
+    ]
+    out = stats(node)
+    for m in more:
+        out = out.join(m, "video", "left")
+    return out.fillna(0)
+
+
 def signature(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """A digest of each video's nodes and edges, whatever the order they came in."""
-    rows = node.filter("admitted").select("video", F.concat_ws("|", F.lit("n"), "node_type", "text", "n", "n_chunks", F.round("first_seen", 3), F.round("last_seen", 3)).alias("row"))
+    """A digest of each video's nodes and edges, whatever the order they came in: the sums of their rows' hashes.
+
+    node: admitted nodes, with hub (a node_id) if they are linked. Nothing is gathered; each row adds to two sums.
+    """
+    node = node.filter("admitted")
+    if "hub" in node.columns:
+        names = node.select("video", F.col("node_id").alias("hub"), F.col("text").alias("hub_text"))
+        node = node.join(names, ["video", "hub"], "left")
+    else:
+        node = node.withColumn("hub_text", F.lit(None).cast("string"))
+    rows = node.select("video", F.concat_ws("|", F.lit("n"), "node_type", "text", "n", "n_chunks", F.round("first_seen", 3), F.round("last_seen", 3), F.coalesce("hub_text", F.lit("-"))).alias("row"))
     rows = rows.unionByName(edge.select("video", F.concat_ws("|", F.lit("e"), "a", "b", "support").alias("row")))
-    return rows.groupBy("video").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("row")), "\n"), 256).alias("signature"), F.count("*").alias("n_rows"))
+    # The first 15 hexadecimal digits of MD5 as a number: sums of up to 10^19 rows stay exact as decimals.
+    part = lambda at: F.sum(F.conv(F.substring(F.md5("row"), at, 15), 16, 10).cast("decimal(38,0)"))
+    return rows.groupBy("video").agg(F.count("*").alias("n_rows"), F.concat_ws("-", part(1).cast("string"), part(16).cast("string")).alias("signature"))
 
 
 def task_states(updates: DataFrame) -> DataFrame:
-    """updates: video, key, ts, response. The last response of each key, and how many updates it had."""
-    return updates.groupBy("video", "key").agg(F.max_by("response", F.struct("ts", "response")).alias("response"), F.count("*").alias("n"), F.max("ts").alias("cutoff"))
+    """updates: video, key, ts, response, and perhaps delta and label. The last state of each key as a node: its text, response, number of updates, and cutoff."""
+    rows = updates.withColumns({c: F.lit(None).cast("string") for c in ("delta", "label") if c not in updates.columns})
+    last = rows.groupBy("video", "key").agg(F.max_by(F.struct("response", "delta", "label", "ts"), F.struct("ts", "response")).alias("s"), F.count("*").alias("n"), F.max("ts").alias("cutoff"))
+    shown = lambda c: F.coalesce(F.col(f"s.{c}").cast("string"), F.lit("None"))
+    text = F.concat(F.lit("STATE "), F.col("key").cast("string"), F.lit(": response="), shown("response"), F.lit("; delta="), shown("delta"), F.lit("; label="), shown("label"), F.lit("; cutoff="), shown("ts"))
+    return last.select("video", "key", F.col("s.response").alias("response"), "n", "cutoff", F.lit("task_state").alias("node_type"), text.alias("text"))
+
+
+def declaration_status(declared: DataFrame) -> DataFrame:
+    """declared (video, chunk, pos, local_id, gid, description): adds repeated (the local id was just declared so in this chunk) and ambiguous (it is declared for several entities)."""
+    w = Window.partitionBy("video", "chunk", "local_id")
+    same = X.normalise("description").eqNullSafe(F.lag(X.normalise("description")).over(w.orderBy("pos"))) & F.lag("gid").over(w.orderBy("pos")).isNotNull()
+    differs = F.min("gid").over(w) != F.max("gid").over(w)
+    known = F.col("local_id").isNotNull()
+    return declared.withColumns({"repeated": known & same, "ambiguous": known & differs})
+
+
+def references(items: DataFrame, declared: DataFrame) -> DataFrame:
+    """Provenance: video, chunk, item, place, local_id, gid for each id that an item names; gid is null if it is not declared in the chunk, or for several entities."""
+    named = items.filter("node_type not in ('entity', 'text_ocr')").select("video", "chunk", "item", F.posexplode(X.referenced_ids("text")).alias("place", "local_id"))
+    local = declared.groupBy("video", "chunk", "local_id").agg(F.count_distinct("gid").alias("_k"), F.min("gid").alias("gid")).filter("_k = 1").drop("_k")
+    return named.join(local, ["video", "chunk", "local_id"], "left").select("video", "chunk", "item", "place", "local_id", "gid")
+
+
+def flat_captions(captions: DataFrame, cap: int = V.MAX_NODES) -> DataFrame:
+    """Whole captions as nodes, the first `cap` of each video: video, node_id, ts, text."""
+    rows = captions.filter("trim(caption) <> ''").withColumn("node_id", F.row_number().over(Window.partitionBy("video").orderBy("chunk")).cast("long"))
+    return rows.filter(F.col("node_id") <= cap).select("video", "node_id", "ts", F.col("caption").alias("text"))
 
 
 ENTITY_SCHEMA = "video long, chunk long, pos long, gid string, sim double, method string"

@@ -6,6 +6,8 @@ keeps only the best k of its rows for each question, so what is shuffled is ques
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from .memory import dot
 
 BLOCK = 2048
 
@@ -142,32 +145,212 @@ def count_by_stem(actions: DataFrame, questions: DataFrame, most: int = 5) -> Da
     return found.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
+def graph(linked: DataFrame, edges: DataFrame, chains: DataFrame) -> DataFrame:
+    """video, nodes: the admitted nodes of each video as one array, each with its hub, co-entities and next actions.
+
+    A memory holds at most as many nodes as its cap admits, so the array is bounded, and expansion and rendering are
+    array expressions in one row: no shuffle for any of their branches.
+    """
+    both = edges.select("video", F.col("a").alias("node_id"), F.col("b").alias("other")).union(edges.select("video", F.col("b").alias("node_id"), F.col("a").alias("other")))
+    co = both.groupBy("video", "node_id").agg(F.sort_array(F.collect_set("other")).alias("co"))
+    rows = linked.join(co, ["video", "node_id"], "left").join(chains.select("video", "node_id", "next1", "next2"), ["video", "node_id"], "left")
+    node = F.struct("node_id", "node_type", "text", F.col("n").cast("long").alias("n"), "first_seen", "hub", "co", "next1", "next2")
+    return rows.groupBy("video").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+
+
+def expanded_ids(nodes: str, seeds: str, expand: bool = True, co_occurrence: bool = True, next_action: bool = True):
+    """Node ids one hop from the seeds: a hub's spokes and co-entities, a spoke's hub, an action's next two of its hub."""
+    own = F.filter(nodes, lambda x: F.array_contains(seeds, x["node_id"]))
+    if not expand:
+        return F.col(seeds)
+    hubs = F.transform(F.filter(own, lambda x: x["node_type"] == "entity"), lambda x: x["node_id"])
+    parts = [F.col(seeds), X.let(hubs, lambda h: F.transform(F.filter(nodes, lambda x: F.array_contains(h, x["hub"])), lambda x: x["node_id"]))]
+    parts.append(F.transform(F.filter(own, lambda x: (x["node_type"] != "entity") & x["hub"].isNotNull()), lambda x: x["hub"]))
+    if co_occurrence:
+        parts.append(F.flatten(F.transform(F.filter(own, lambda x: x["node_type"] == "entity"), lambda x: F.coalesce(x["co"], F.array().cast("array<long>")))))
+    if next_action:
+        parts.append(F.flatten(F.transform(F.filter(own, lambda x: (x["node_type"] == "action") & x["hub"].isNotNull()), lambda x: F.array(x["next1"], x["next2"]))))
+    return F.array_distinct(F.array_compact(F.concat(*parts)))
+
+
+def _times(x):
+    return F.when(x["n"] > 1, F.concat(F.lit(" (×"), x["n"].cast("string"), F.lit(")"))).otherwise("")
+
+
+def _clock(x):
+    return F.when(x["node_type"].isin("action", "event"), F.concat(F.lit("["), X.minutes(x["first_seen"]), F.lit("] "))).otherwise("")
+
+
+def _in_order(items, *keys):
+    """Array of structs in the order of the given fields."""
+    return F.transform(F.sort_array(F.transform(items, lambda x: F.struct(*[x[k].alias(k) for k in keys], x.alias("x")))), lambda y: y["x"])
+
+
+def graph_blocks(nodes: str, ids: str):
+    """Hub profiles, other items and screen text of the expanded nodes, as an array of blocks. Lists are ordered by first_seen, then node_id."""
+    shown = F.filter(nodes, lambda x: F.array_contains(ids, x["node_id"]))
+
+    def profile(h):
+        own = F.filter(nodes, lambda x: F.array_contains(ids, x["node_id"]) & (x["hub"] == h["node_id"]))
+        dated = _in_order(F.filter(own, lambda x: x["node_type"].isin("action", "event")), "first_seen", "node_id")
+        spatial = _in_order(F.filter(own, lambda x: x["node_type"] == "spatial"), "first_seen", "node_id")
+        line = lambda x: F.concat(F.lit("  "), _clock(x), X.strip_subject(x["text"], h["text"]), _times(x))
+        head = F.concat(F.lit("["), h["text"], F.lit("]"), F.when(h["n"] > 1, F.concat(F.lit(" ×"), h["n"].cast("string"))).otherwise(""))
+        return F.array_join(F.concat(F.array(head), F.transform(F.concat(dated, spatial), line)), "\n")
+
+    def rest(nodes_shown):
+        other = F.filter(nodes_shown, lambda x: ~x["node_type"].isin("entity", "text_ocr") & (x["hub"].isNull() | ~F.array_contains(ids, x["hub"])))
+        lines = F.transform(_in_order(other, "first_seen", "node_id"), lambda x: F.concat(F.lit("  • "), _clock(x), x["text"], _times(x)))
+        screen = F.transform(F.filter(nodes_shown, lambda x: x["node_type"] == "text_ocr"), lambda x: F.concat(F.lit('  • "'), x["text"], F.lit('"')))
+        return F.array(titled("Other", lines), titled("Screen Text", screen))
+
+    hubs = F.transform(_in_order(F.filter(shown, lambda x: x["node_type"] == "entity"), "first_seen", "node_id"), profile)
+    return F.concat(hubs, X.let(shown, rest))
+
+
+def titled(name: str, lines):
+    """A block of lines under a title; null without lines."""
+    return F.when(F.size(lines) > 0, F.concat(F.lit(f"[{name}]\n"), F.array_join(lines, "\n")))
+
+
 def render(expanded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The context of each video: hub profiles, other items, screen text, blocks apart by a blank line.
+    """The context of each video from expanded nodes (video, node_id): hub profiles, other items, screen text, blocks apart by a blank line."""
+    node = F.struct("node_id", "node_type", "text", F.col("n").cast("long").alias("n"), "first_seen", "hub")
+    held = nodes.groupBy("video").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    ids = expanded.groupBy("video").agg(F.collect_set("node_id").alias("ids"))
+    out = held.join(ids, "video").withColumn("blocks", F.array_compact(graph_blocks("nodes", "ids"))).filter("size(blocks) > 0")
+    return out.select("video", F.array_join("blocks", "\n\n").alias("context"))
+
+
+def event_lines(events: DataFrame, by: list[str], name: str) -> DataFrame:
+    """One column of lines "  [MM:SS] text" of events (by, ts, seq, text), in time."""
+    line = F.concat(F.lit("  ["), X.minutes("ts"), F.lit("] "), F.col("text"))
+    return events.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "seq", line.alias("line")))), lambda x: x["line"]).alias(name))
+
+
+def count_lines(actions: DataFrame, questions: DataFrame, most: int = 5, shown: int = 8) -> DataFrame:
+    """video, qid, count_block: how often the stems in the focus of a counting question were seen, with their first times."""
+    asked = questions.filter(X.is_count_question("question")).select("video", "qid", F.explode(X.content_stems(X.count_focus("question"))).alias("stem"))
+    seen = actions.select("video", F.explode(X.content_stems("text")).alias("stem"), F.round("ts", 1).alias("t"), "seq", "text")
+    one = asked.join(seen, ["video", "stem"]).groupBy("video", "qid", "stem", "t").agg(F.min_by("text", "seq").alias("text"), F.min("seq").alias("seq"))
+    place = F.row_number().over(Window.partitionBy("video", "qid", "stem").orderBy("t"))
+    ranked = one.withColumn("place", place)
+    first = F.sort_array(F.collect_list(F.when(F.col("place") <= shown, F.struct("t", X.minutes("t").alias("m")))))
+    found = ranked.groupBy("video", "qid", "stem").agg(F.count("*").alias("n"), F.min_by("text", "seq").alias("sample"), F.array_join(F.transform(first, lambda x: x["m"]), ", ").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("video", "qid").orderBy(F.desc("n"), "stem"))
+    line = F.concat(F.lit("  '"), F.col("stem"), F.lit("' (e.g. \""), F.rtrim(F.substring("sample", 1, 60)), F.lit('"): '), F.col("n").cast("string"), F.lit(" time(s) at ["), F.col("times"), F.when(F.col("n") > shown, ", ...").otherwise(""), F.lit("]"))
+    top = found.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return top.groupBy("video", "qid").agg(F.concat(F.lit(V.COUNT_TITLE), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n")).alias("count_block"))
+
+
+def semantic_count_lines(actions: DataFrame, questions: DataFrame, sims: DataFrame, threshold: float = 0.60, shown: int = 8, samples: int = 3) -> DataFrame:
+    """video, qid, semantic_block: where no stem was seen, times at which some action is like the question's focus.
 
-    nodes: video, node_id, node_type, text, n, first_seen, hub. Lists are ordered by first_seen, then node_id.
+    actions (video, ts, seq, text, node_id) is the action log; sims (video, qid, node_id, sim) of action nodes and focus.
     """
-    shown = expanded.join(nodes, ["video", "node_id"])
-    times = F.when(F.col("n") > 1, F.concat(F.lit(" (×"), F.col("n").cast("string"), F.lit(")"))).otherwise("")
-    clock = F.concat(F.lit("["), X.minutes("first_seen"), F.lit("] "))
-    hubs = shown.filter("node_type = 'entity'").select("video", F.col("node_id").alias("hub"), F.col("text").alias("hub_text"), F.col("n").alias("hub_n"), F.col("first_seen").alias("hub_first"))
-    spokes = shown.filter("node_type <> 'entity'").join(hubs, ["video", "hub"], "left")
-    late = F.when(F.col("node_type") == "spatial", 1).otherwise(0)
-    dated = F.col("node_type").isin("action", "event")
-    line = F.concat(F.lit("  "), F.when(dated, clock).otherwise(""), X.strip_subject("text", "hub_text"), times)
-    linked = spokes.filter("hub_text is not null and node_type in ('action', 'event', 'spatial')").groupBy("video", "hub").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(late.alias("l"), "first_seen", "node_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines")
-    )
-    header = F.concat(F.lit("["), F.col("hub_text"), F.lit("]"), F.when(F.col("hub_n") > 1, F.concat(F.lit(" ×"), F.col("hub_n").cast("string"))).otherwise(""))
-    profile = hubs.join(linked, ["video", "hub"], "left").select("video", F.lit(0).alias("b"), F.col("hub_first").alias("t"), F.col("hub").alias("id"), F.concat_ws("\n", header, "lines").alias("block"))
-    joined = lambda order, x: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, x.alias("line")))), lambda y: y["line"]), "\n")
-    other = spokes.filter("hub_text is null and node_type <> 'text_ocr'").groupBy("video").agg(joined(["first_seen", "node_id"], F.concat(F.lit("  • "), F.when(dated, clock).otherwise(""), F.col("text"), times)).alias("x"))
-    screen = spokes.filter("node_type = 'text_ocr'").groupBy("video").agg(joined(["node_id"], F.concat(F.lit('  • "'), F.col("text"), F.lit('"'))).alias("x"))
-    block = lambda df, b, name: df.select("video", F.lit(b).alias("b"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("id"), F.concat(F.lit(f"[{name}]\n"), "x").alias("block"))
-    every = profile.unionByName(block(other, 1, "Other")).unionByName(block(screen, 2, "Screen Text"))
-    return every.groupBy("video").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "t", "id", "block"))), lambda x: x["block"]), "\n\n").alias("context"))
+    asked = questions.filter(X.is_count_question("question")).select("video", "qid", X.count_focus("question").alias("focus"))
+    rows = asked.join(sims, ["video", "qid"]).join(actions, ["video", "node_id"]).withColumn("t", F.round("ts", 1))
+    best = rows.groupBy("video", "qid", "focus", "t").agg(F.max("sim").alias("sim"), F.max_by("text", F.struct("sim", -F.col("seq"))).alias("text")).filter(F.col("sim") >= threshold)
+    by = Window.partitionBy("video", "qid")
+    best = best.withColumns({"place": F.row_number().over(by.orderBy("t")), "norm": X.normalise("text")})
+    best = best.withColumn("again", F.row_number().over(Window.partitionBy("video", "qid", "norm").orderBy(F.desc("sim"), "t")))
+    best = best.withColumn("rank", F.row_number().over(by.orderBy(F.col("again") > 1, F.desc("sim"), "t")))
+    times = F.sort_array(F.collect_list(F.when(F.col("place") <= shown, F.struct("t", X.minutes("t").alias("m")))))
+    picked = F.sort_array(F.collect_list(F.when((F.col("again") == 1) & (F.col("rank") <= samples), F.struct("rank", F.substring("text", 1, 60).alias("x")))))
+    found = best.groupBy("video", "qid", "focus").agg(F.count("*").alias("n"), F.array_join(F.transform(times, lambda x: x["m"]), ", ").alias("times"), F.array_join(F.transform(picked, lambda x: x["x"]), " | ").alias("samples"))
+    head, middle, note = V.SEMANTIC_COUNT
+    text = F.concat(F.lit(head), F.lit('  Activity "'), F.col("focus"), F.lit('": '), F.col("n").cast("string"), F.lit(" candidate occurrence(s) at ["), F.col("times"), F.when(F.col("n") > shown, ", ...").otherwise(""), F.lit(middle), F.col("samples"), F.lit(note))
+    return found.select("video", "qid", text.alias("semantic_block"))
+
+
+def search(questions: DataFrame, nodes: DataFrame, k: int = V.TOP_K_MAX) -> DataFrame:
+    """The k best nodes (video, node_id, vector) of a question's own memory (video, qid, vector): a memory is bounded by its cap."""
+    pairs = questions.select("video", "qid", F.col("vector").alias("q_vector")).join(nodes.select("video", "node_id", "vector"), "video")
+    pairs = pairs.withColumn("sim", dot("vector", "q_vector")).select("video", "qid", "node_id", "sim")
+    rank = F.row_number().over(Window.partitionBy("video", "qid").orderBy(F.desc("sim"), "node_id"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def retrieve(questions: DataFrame, hits: DataFrame, memory: DataFrame, timeline: DataFrame, actions: DataFrame, sims: DataFrame | None = None, *, count_aggregate: bool = True, semantic_threshold: float = 0.60, **switches: bool) -> DataFrame:
+    """The context of each question (video, qid, question) with matched, hit_count and signal.
+
+    hits: video, qid, node_id, after all cutoffs. memory: graph(). timeline: video, ts, seq, text. actions: the action log,
+    before cap and merging. sims: question's focus against action nodes, for counts by meaning. Blocks in order: count,
+    most recent events, hub profiles, other, screen text, timeline.
+    """
+    by = ["video", "qid"]
+    seeds = hits.groupBy(*by).agg(F.sort_array(F.collect_set("node_id")).alias("seeds"))
+    low = F.lower("question")
+    recency = reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in V.RECENCY_PHRASES])
+    keywords = X.keywords("question")
+    temporal = F.arrays_overlap(keywords, X.temporal_stems())
+    asked = questions.select("video", "qid", "question").withColumns({"recency": recency, "counting": X.is_count_question("question"), "temporal": temporal})
+    out = asked.join(memory, "video", "left").join(seeds, by, "left").withColumn("seeds", F.coalesce("seeds", F.array().cast("array<long>")))
+    out = out.withColumn("ids", expanded_ids("nodes", "seeds", **switches))
+    recent = event_lines(recency_events(timeline), ["video"], "recent_lines")
+    spoken = event_lines(overlapping_events(timeline, questions), by, "time_lines")
+    out = out.join(recent, "video", "left").join(spoken, by, "left")
+    empty = F.lit(None).cast("string")
+    if count_aggregate:
+        out = out.join(count_lines(actions, questions), by, "left")
+        out = out.join(semantic_count_lines(actions, questions, sims, semantic_threshold), by, "left") if sims is not None else out.withColumn("semantic_block", empty)
+        out = out.join(actions.select("video", F.lit(True).alias("acts")).distinct(), "video", "left")
+    else:
+        out = out.withColumns({"count_block": empty, "semantic_block": empty, "acts": F.lit(None).cast("boolean")})
+    has_events = F.exists(F.coalesce("nodes", F.array().cast(memory.schema["nodes"].dataType)), lambda x: x["node_type"].isin("action", "event") & F.array_contains("ids", x["node_id"]))
+    out = out.withColumn("dated", has_events)
+    alive = (F.size("seeds") > 0) | (F.col("recency") & F.col("recent_lines").isNotNull()) | (F.col("counting") & F.coalesce("acts", F.lit(False)))
+    first = F.array(F.when(F.col("counting"), F.coalesce("count_block", "semantic_block")), F.when(F.col("recency"), titled("Most recent events", F.col("recent_lines"))))
+    last = F.array(F.when(F.col("temporal") | F.col("dated"), titled("Timeline", F.col("time_lines"))))
+    blocks = F.array_compact(F.concat(first, F.coalesce(graph_blocks("nodes", "ids"), F.array().cast("array<string>")), last))
+    out = out.withColumn("context", F.when(alive, F.array_join(blocks, "\n\n")).otherwise(""))
+    matched = F.size("seeds") > 0
+    return out.select("video", "qid", "context", matched.alias("matched"), F.size("seeds").cast("long").alias("hit_count"), F.when(~matched, V.NO_MATCH_SIGNAL).alias("signal"))
+
+
+def overlapping_events(timeline: DataFrame, questions: DataFrame, most: int = 10, fall_back: int = 8) -> DataFrame:
+    """Events (video, qid, ts, seq, text) that share a stem with the question, else the last eight; the first ten of these in time."""
+    asked = questions.select("video", "qid", X.keywords("question").alias("q_stems"))
+    back = F.row_number().over(Window.partitionBy("video").orderBy(F.desc("seq")))
+    rows = timeline.withColumns({"stems": X.keywords("text"), "_back": back}).join(asked, "video")
+    by = Window.partitionBy("video", "qid")
+    rows = rows.withColumn("hit", F.arrays_overlap("stems", "q_stems")).withColumn("_any", F.max(F.col("hit").cast("int")).over(by))
+    rows = rows.filter(F.col("hit") | ((F.col("_any") == 0) & (F.col("_back") <= fall_back)))
+    return rows.withColumn("_place", F.row_number().over(by.orderBy("ts", "seq"))).filter(F.col("_place") <= most).select("video", "qid", "ts", "seq", "text")
+
+
+def flat_context(hits: DataFrame, captions: DataFrame) -> DataFrame:
+    """Flat memory: the captions that were hit (video, qid, node_id), in time, as one context."""
+    rows = hits.select("video", "qid", "node_id").join(captions, ["video", "node_id"])
+    block = F.concat(F.lit("["), X.minutes("ts"), F.lit("]\n"), F.col("text"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("ts", "node_id", block.alias("block")))), lambda x: x["block"])
+    return rows.groupBy("video", "qid").agg(F.count("*").alias("hit_count"), F.array_join(lines, "\n\n").alias("context"))
 
 
 def compose(question, context, matched, signal: str):
     """The prompt: context and question, or the question alone, or behind the signal that nothing was found."""
     return F.when(F.coalesce(matched, F.lit(False)) & (context != ""), F.concat(context, F.lit("\n\n"), question)).when(~F.coalesce(matched, F.lit(False)) & F.lit(bool(signal)), F.concat(F.lit(signal + "\n\n"), question)).otherwise(question)
+
+
+def round_similarities(column: str, digits: int = 4):
+    """A list of similarities, each to four digits."""
+    return F.transform(column, lambda x: F.round(x, digits))
+
+
+DYNAMIC = ("dynamic", "auto", "adaptive")
+
+
+def top_k_argument(value: int | str | None, most: int = V.TOP_K_MAX) -> tuple[int, bool]:
+    """How many hits at most, and whether the gap cutoff decides: a number (1 at least), one of DYNAMIC, or None for the most."""
+    if most < 1:
+        raise ValueError("the largest k must be a positive integer")
+    if value is None:
+        return most, False
+    if isinstance(value, str):
+        if value.strip().lower() in DYNAMIC:
+            return most, True
+        try:
+            value = int(value.strip())
+        except ValueError:
+            raise ValueError(f"top_k must be a positive integer or one of {DYNAMIC}, not {value!r}") from None
+    return max(1, int(value)), False

@@ -522,30 +522,11 @@ def q_retract_chunks(spark, d):
     return M.nodes(M.retract(rows, rows.filter("chunk % 4 = 2").select("video", "chunk").distinct())).filter("admitted").select("video", "key", "node_id", "n", "first_seen", "last_seen")
 
 
-@query(f"with {FR} select distinct video, true as same from frames")
-def q_rebuild_equivalence(spark, d):
-    caps = captions(spark, d)
-    gone = caps.filter("chunk % 4 = 2").select("video", "chunk")
-    rows = M.observations(caps)
-    left = M.retract(rows, gone)
-    right = M.observations(caps.join(gone, ["video", "chunk"], "left_anti"))
-    one, two = (M.signature(M.nodes(x), M.edges(x)).select("video", F.col("signature").alias(n)) for x, n in ((left, "one"), (right, "two")))
-    return rows.select("video").distinct().join(one, "video", "left").join(two, "video", "left").select("video", F.col("one").eqNullSafe(F.col("two")).alias("same"))
-
-
 @query(f"with {OBS}, {nodes_sql()} select video, count_if(admitted)::bigint as total_nodes, " + ", ".join(f"count_if(admitted and node_type = '{k}')::bigint as n_{k}" for k in ("entity", "action", "text_ocr", "spatial", "event")) + ", count_if(not admitted)::bigint as overflow from nodes group by video")
 def q_memory_stats(spark, d):
     return M.stats(M.nodes(log(spark, d)))
 
 
-@query(f"with {OBS}, {nodes_sql()}, {_EDGES}, r as (select video, concat_ws('|', 'n', node_type, text, n, n_chunks) as row from nodes where admitted union all select video, concat_ws('|', 'e', a, b, support) from edges) select video, count(*) as n_rows, sha256(string_agg(row, chr(10) order by row)) as signature from r group by video")
-def q_signature(spark, d):
-    rows = log(spark, d)
-    node, edge = M.nodes(rows).filter("admitted"), M.edges(rows)
-    r = node.select("video", F.concat_ws("|", F.lit("n"), "node_type", "text", "n", "n_chunks").alias("row")).unionByName(edge.select("video", F.concat_ws("|", F.lit("e"), "a", "b", "support").alias("row")))
-    return r.groupBy("video").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.sort_array(F.collect_list("row")), "\n"), 256).alias("signature"))
-
-
 _REF = "regexp_replace({t}, '\\b{k}\\b', '\x01{k}\x02', 'g')"
 
 
