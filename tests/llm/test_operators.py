@@ -401,10 +401,10 @@ def test_language_model(spark, docs, empty):
     assert hpylm.score_documents(spark, empty).count() == 0
 
 
-def test_seating_keeps_customers():
+def test_customers_are_kept():
     rng = np.random.default_rng(0)
-    count = rng.integers(2, 40, 200)
-    s = hpylm.Seating(count, np.minimum(count, 3), rng)
+    count = rng.integers(2, 400, 200)
+    s = hpylm.Customers(count, np.minimum(count, 3), rng, 0.5)
     for _ in range(5):
         s.sweep(np.full(200, 2.0), 0.5)
         for d in range(200):
@@ -413,9 +413,8 @@ def test_seating_keeps_customers():
             assert (np.bincount(own, minlength=count[d]) == sizes).all() and (sizes > 0).sum() == s.tables[d]
 
 
-@pytest.mark.parametrize(("dishes", "n"), [(20, 120), (200, 120), (40, 900)])
-def test_seating_draws_the_tables_of_a_plain_sampler(dishes, n):
-    weight, discount = 3.0, 0.75
+def chances(n, weight, discount):
+    """Of 1, 2, ... tables of a dish, by plain recursion over its customers."""
     ways = np.zeros(n + 1)  # of t tables, up to a factor: each new customer opens one or joins one
     ways[1] = 1.0
     for c in range(1, n):
@@ -424,26 +423,62 @@ def test_seating_draws_the_tables_of_a_plain_sampler(dishes, n):
     with np.errstate(divide="ignore"):
         chance = np.log(ways[1:]) + np.log(weight) * np.arange(n)
     chance = np.exp(chance - chance.max())
-    want = (chance * np.arange(1, n + 1)).sum() / chance.sum()
-    s = hpylm.Seating(np.full(dishes, n), np.full(dishes, 60), np.random.default_rng(1))
+    return chance / chance.sum()
+
+
+@pytest.mark.parametrize(("kind", "dishes", "n", "start"), [("customers", 20, 120, 60), ("customers", 200, 120, 60), ("customers", 60, 900, 4), ("whole", 300, 40, 1), ("whole", 200, 120, 60)])
+def test_seating_draws_the_tables_of_a_plain_sampler(kind, dishes, n, start):
+    weight, discount = 3.0, 0.75
+    want = (chances(n, weight, discount) * np.arange(1, n + 1)).sum()
+    s = (hpylm.Customers if kind == "customers" else hpylm.Seating)(np.full(dishes, n), np.full(dishes, start), np.random.default_rng(1), discount)
     seen = []
     for k in range(60):
-        s.sweep(np.full(dishes, weight), discount)
+        s.sweep(np.full(dishes, weight), *([discount] if kind == "customers" else []))
         seen += [s.tables.mean()] if k >= 30 else []
-    assert abs(np.mean(seen) - want) < 0.05 * want
+    # Large dishes mix slowly.
+    assert abs(np.mean(seen) - want) < (0.05 if n < 500 else 0.3) * want
 
 
 def test_seating_is_kept_for_other_counts():
     rng = np.random.default_rng(0)
-    count = rng.integers(0, 30, 150)
-    s = hpylm.Seating(count, np.minimum(count, 4), rng)
+    count = rng.integers(0, 130, 150)
+    s = hpylm.Seating(count, np.minimum(count, 4), rng, 0.75)
     for _ in range(4):
-        count = np.maximum(0, count + rng.integers(-5, 6, 150))
+        count = np.maximum(0, count + rng.integers(-15, 16, 150))
         s = s.resize(count)
-        s.sweep(np.full(150, 2.0), 0.5)
-        for d in range(150):
-            part = slice(s.first[d], s.first[d] + count[d])
-            assert (np.bincount(s.label[part], minlength=count[d]) == s.size[part]).all() and (s.size[part] > 0).sum() == s.tables[d]
+        s.sweep(np.full(150, 2.0))
+        assert ((s.tables >= np.minimum(count, 1)) & (s.tables <= count)).all()
+        for d in np.flatnonzero(count > hpylm.SMALL):
+            part = slice(s.large.first[d], s.large.first[d] + count[d])
+            assert (np.bincount(s.large.label[part], minlength=count[d]) == s.large.size[part]).all() and (s.large.size[part] > 0).sum() == s.tables[d]
+
+
+def test_language_model_is_a_distribution():
+    """The probabilities of all words and of an unknown one after a context sum up to 1 in each sample, and a word seen there is likelier than in the root."""
+    rng = np.random.default_rng(3)
+    words, contexts = 40, 4
+    grid = rng.poisson(1.5, (words, contexts)) * (rng.random((words, contexts)) < 0.5)
+    grid[:3] += 200
+    word, context = np.nonzero(grid)
+    count = grid[word, context].astype(np.int64)
+    tables, guests, root = hpylm.seat(word, context, count, words, grid.sum(0), 1, 7)
+    distinct = int((grid.sum(1) > 0).sum())
+    for s in range(hpylm.SAMPLES):
+        seats = np.zeros((words, contexts))
+        seats[word, context] = tables[s]
+        assert (guests[s] == seats.sum(1)).all() and (tables[s] <= count).all() and (tables[s] >= 1).all()
+        parent = hpylm.root_probability(guests[s], root[s], guests[s].sum(), root[s].sum(), distinct)
+        unknown = hpylm.root_probability(0, 0, guests[s].sum(), root[s].sum(), distinct)
+        assert parent[grid.sum(1) > 0].sum() + unknown == pytest.approx(1)
+        for u in range(contexts):
+            own = hpylm.probability(grid[:, u], seats[:, u], grid[:, u].sum(), seats[:, u].sum(), parent)
+            rest = hpylm.probability(0, 0, grid[:, u].sum(), seats[:, u].sum(), unknown)
+            assert own[grid.sum(1) > 0].sum() + rest == pytest.approx(1)
+
+
+def test_perplexity(spark):
+    rows = spark.createDataFrame([(True, 2, -2.0), (True, 2, -4.0), (False, 1, -1.0)], "held_out boolean, n_tokens long, score double")
+    assert {r["held_out"]: round(r["perplexity"], 6) for r in hpylm.perplexity(rows).collect()} == {True: round(10**1.5, 6), False: 10.0}
 
 
 def test_decontamination(spark, docs, empty):
