@@ -5,6 +5,7 @@ Python's \\w, \\b and \\s know Unicode, Java's do so under (?U); (?d) lets only
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -170,10 +171,50 @@ def clamp_count(c: Column | str, cap: int = 0) -> Column:
     return F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(0)), F.lit(cap)) if cap else F.greatest(n, F.lit(0)))
 
 
-def yes_no(c: Column | str) -> Column:
-    """A or yes, B or no; null for anything else."""
+def yes_no(c: Column | str, default: str | None = None) -> Column:
+    """A lone A means yes, a lone B no; else YES or Y, then NO or N; the default (null) for anything else."""
     up = F.upper(F.trim(_col(c)))
-    return F.when(up.isin("A", "Y") | up.startswith("YES"), "Yes").when(up.isin("B", "N") | up.startswith("NO"), "No")
+    said = F.when(up.rlike("(?U)\\bA\\b"), "Yes").when(up.rlike("(?U)\\bB\\b"), "No").when(up.contains("YES") | (up == "Y"), "Yes").when(up.contains("NO") | (up == "N"), "No")
+    return F.coalesce(said, F.lit(default).cast("string"))
+
+
+def prompt(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced by a column; braces of unknown names stay."""
+    out, parts = [], re.split(r"\{(\w+)\}", template)
+    for i, p in enumerate(parts):
+        if i % 2 == 0:
+            out.append(F.lit(p))
+        else:
+            out.append(F.coalesce(values[p].cast("string"), F.lit("")) if p in values else F.lit("{" + p + "}"))
+    return F.concat(*out)
+
+
+def mcq_prompt(question: Column, options: Column, template: str = V.CHOICE_TEMPLATE) -> Column:
+    """A question of choice; null without a question or two to six options, none of them blank."""
+    n = F.size(options)
+    good = (F.trim(question) != "") & n.between(2, 6) & F.forall(options, lambda o: F.coalesce(F.trim(o) != "", F.lit(False)))
+    return F.when(good, prompt(template, question=question, options=format_options(options)))
+
+
+def delta_options(max_delta: int) -> str:
+    """The options of an interval count: so many new instances up to max_delta, and unclear."""
+    return "\n".join([f"{chr(65 + i)}. {i} new" for i in range(max_delta + 1)] + [f"{chr(66 + max_delta)}. unclear, count 0 new"])
+
+
+def activity_prompt(base: str, activity: Column) -> Column:
+    """A caption prompt with the rule that a counted activity is named only where its decisive moment is seen."""
+    a = F.lower(F.trim(F.regexp_replace(F.trim(activity), "^[.?! ]+|[.?! ]+$", "")))
+    return prompt(base + V.ACTIVITY_TEMPLATE, activity=a)
+
+
+def truth_letter(answer: Column) -> Column:
+    """The letter of the right answer, or the answer itself in capitals."""
+    return F.coalesce(mcq_letter(answer, "D"), F.upper(F.trim(answer)))
+
+
+def chosen(logits: Column) -> Column:
+    """The letter of the largest logit, the first of equals."""
+    return F.char(F.array_position(logits, F.array_max(logits)).cast("int") + 64)
 
 
 def option_value(c: Column | str) -> Column:

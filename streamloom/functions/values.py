@@ -102,3 +102,8 @@ STREAM_PROFILES = {
     ("qwen3_vl", 4): (0.25, 0.55, 16, 0.65),
     ("qwen3_vl", 8): (0.25, 0.55, 8, 0.65),
 }
+
+#: Prompt texts of our own; all can be replaced by the caller.
+CHOICE_TEMPLATE = "Question: {question}\nOptions:\n{options}\nAnswer with one letter."
+DELTA_TEMPLATE = "Question: {question}\nFrom {previous} to {cutoff}; counted before: {count}\n{options}\nAnswer with one letter."
+ACTIVITY_TEMPLATE = '\n\nThis video is watched for complete instances of "{activity}". Name "{activity}" among the actions only where its decisive moment is seen, once for each instance; name anything before or after it differently.'

@@ -134,3 +134,114 @@ def as_of(states: DataFrame, questions: DataFrame) -> DataFrame:
     w = Window.partitionBy("video").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
     both = marked.unionByName(asked).withColumn("_s", F.last("_s", ignorenulls=True).over(w)).filter("_k = 1 and _s is not null")
     return both.select("cutoff", "_s.*")
+
+
+def first_at(frames: DataFrame, asked: DataFrame, strict: bool = False) -> DataFrame:
+    """The first frame at or after (strict: after) each time asked (video, t): a union and one window, no range join."""
+    marked = frames.select("video", F.col("ts").alias("_t"), F.struct("ts", "frame_id").alias("_f"), F.lit(None).cast("double").alias("t"), F.lit(0 if strict else 1).alias("_k"))
+    ask = asked.select("video", F.col("t").alias("_t"), F.lit(None).cast(marked.schema["_f"].dataType).alias("_f"), "t", F.lit(1 if strict else 0).alias("_k"))
+    w = Window.partitionBy("video").orderBy("_t", "_k", "_f.frame_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = marked.unionByName(ask).withColumn("_f", F.first("_f", ignorenulls=True).over(w)).filter("t is not null")
+    return both.select("video", "t", F.col("_f.ts").alias("ts"), F.col("_f.frame_id").alias("frame_id"))
+
+
+def decode_windows(questions: DataFrame) -> DataFrame:
+    """questions (video, step, cutoff) in their order: start and end of what is newly decoded, (start, end]; null where the cutoff doesn't advance."""
+    before = F.max("cutoff").over(Window.partitionBy("video").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
+    rows = questions.withColumn("_last", before)
+    new = F.col("_last").isNull() | (F.col("cutoff") > F.col("_last"))
+    return rows.select("video", "step", "cutoff", F.when(new, F.coalesce("_last", F.lit(0.0))).alias("start"), F.when(new, F.col("cutoff")).alias("end"))
+
+
+def evict_frames(chunks: DataFrame, window: int) -> DataFrame:
+    """Chunks with frames kept only in the last `window` chunks of a video."""
+    back = F.row_number().over(Window.partitionBy("video").orderBy(F.desc("chunk")))
+    return chunks.withColumn("_back", back).withColumn("frames", F.when(F.col("_back") <= window, F.col("frames"))).drop("_back")
+
+
+def evicted_at(chunks: DataFrame, questions: DataFrame, window: int) -> DataFrame:
+    """video, chunk, evicted: the first cutoff at which a chunk is no longer among the last `window` that have ended, when it passes on to memory.
+
+    That is the first cutoff at or after the end of the chunk `window` places later.
+    """
+    later = F.lead("end_time", window).over(Window.partitionBy("video").orderBy("chunk"))
+    rows = chunks.select("video", "chunk", later.alias("t"))
+    cuts = questions.select("video", F.col("cutoff").alias("ts"), F.lit(0).cast("long").alias("frame_id"))
+    found = first_at(cuts, rows.filter("t is not null").select("video", "t").distinct())
+    return rows.join(found, ["video", "t"], "left").select("video", "chunk", F.col("ts").alias("evicted"))
+
+
+def last_frames(frames: DataFrame, k: int) -> DataFrame:
+    """The last k frames of each video."""
+    back = F.row_number().over(Window.partitionBy("video").orderBy(F.desc("ts"), F.desc("frame_id")))
+    return frames.withColumn("_back", back).filter(F.col("_back") <= k).drop("_back")
+
+
+def recent_chunk_frames(frames: DataFrame, duration: float, window: int) -> DataFrame:
+    """The last `window` frames of the last `window` chunks of each video, times repeated or not."""
+    w = Window.partitionBy("video").orderBy(F.desc("chunk"))
+    near = tumbling(frames, duration).withColumn("_c", F.dense_rank().over(w)).filter(F.col("_c") <= window).drop("_c", "chunk")
+    return last_frames(near, window)
+
+
+def cap_for(counting, count_cap: int, cap: int):
+    """How many chunks are captioned at most: counting questions have a cap of their own (0: all)."""
+    return F.when(counting, F.lit(count_cap)).otherwise(F.lit(cap))
+
+
+def baseline_sample(frames: DataFrame, recent: int, stride: int, cap: int) -> DataFrame:
+    """The last `recent` frames, and of those before every stride-th up to cap; part says which."""
+    back = F.row_number().over(Window.partitionBy("video").orderBy(F.desc("ts"), F.desc("frame_id")))
+    ranked = frames.withColumn("_back", back)
+    old = stride_cap(ranked.filter(F.col("_back") > recent), stride, cap).withColumn("part", F.lit("history"))
+    return old.unionByName(ranked.filter(F.col("_back") <= recent).withColumn("part", F.lit("recent"))).drop("_back")
+
+
+def stride_gate(steps: DataFrame, stride: int, value: str) -> DataFrame:
+    """steps (video, step, ...) in order: the value is taken anew at every stride-th step and carried in between."""
+    w = Window.partitionBy("video").orderBy("step")
+    rows = steps.withColumn("_i", F.row_number().over(w) - 1).withColumn("looked", F.col("_i") % stride == 0)
+    return rows.withColumn("held", F.last(F.when(F.col("looked"), F.col(value)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_i")
+
+
+def zipped(frames: DataFrame, ids: str, times: str) -> DataFrame:
+    """Frames and their times (two arrays) as one array of structs; null where they don't match or a time isn't finite."""
+    finite = F.forall(times, lambda t: t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf")))
+    return frames.withColumn("zipped", F.when((F.size(ids) == F.size(times)) & finite, F.arrays_zip(ids, times)))
+
+
+def valid_cutoff(c):
+    """Whether a cutoff is finite and not negative."""
+    return F.coalesce(~F.isnan(c) & (c >= 0) & (c < float("inf")), F.lit(False))
+
+
+def out_of_order(history: DataFrame, recent: DataFrame) -> DataFrame:
+    """video, violations: history frames that are not before the first recent frame."""
+    first = recent.groupBy("video").agg(F.min("ts").alias("_first"))
+    return history.join(first, "video", "left").groupBy("video").agg(F.count_if(F.col("ts") >= F.col("_first")).alias("violations"))
+
+
+def first_n(rows: DataFrame, by: str, order: list[str], per_group: int, groups: int | None = None) -> DataFrame:
+    """The first rows of each group, and of the first groups only, in the order of the columns."""
+    out = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= per_group).drop("_n")
+    if groups is None:
+        return out
+    return out.join(F.broadcast(rows.select(by).distinct().orderBy(by).limit(groups)), by, "left_semi")
+
+
+def shard_of(rows: DataFrame, order: list[str], shards: int) -> DataFrame:
+    """Adds shard: an even contiguous split by the order of the columns; the first shards get what is left over.
+
+    Places come from range partitions and their sizes, so no task sorts all rows.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_start"))
+    total = sizes.agg(F.sum("_size").alias("_total"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    out = ranged.withColumn("_i", inside).join(F.broadcast(starts), "_part").join(F.broadcast(total))
+    place, q, r = F.col("_start") + F.col("_i"), F.floor(F.col("_total") / shards), F.col("_total") % shards
+    head = r * (q + 1)
+    shard = F.when(place < head, F.floor(place / (q + 1))).otherwise(r + F.floor((place - head) / F.greatest(q, F.lit(1))))
+    return out.withColumn("shard", shard.cast("int")).drop("_part", "_start", "_total", "_i")

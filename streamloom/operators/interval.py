@@ -85,3 +85,62 @@ def tail_context(captions: DataFrame, questions: DataFrame, seconds: float = 45.
     seen = seen.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("frame_id")))).filter(F.col("_back") <= most)
     lines = F.transform(F.sort_array(F.collect_list(F.struct("ts", "frame_id", F.substring("caption", 1, width).alias("caption")))), lambda x: x["caption"])
     return seen.groupBy(*by).agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("context"))
+
+
+def question_counts(steps: DataFrame, max_delta: int = 6) -> DataFrame:
+    """steps: video, step, question, cutoff, label, options. A running count for each normalised question of a video.
+
+    A cutoff that isn't later than every one before is carried: it adds nothing, counts no label, and moves nothing. A
+    label out of range counts as the last, unclear. answer is the option nearest to the count.
+    """
+    from ..functions import text as X
+
+    rows = steps.withColumn("key", X.question_key("question"))
+    w = Window.partitionBy("video", "key").orderBy("step")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.col("cutoff") <= F.coalesce(F.max("cutoff").over(before), F.lit(0.0))
+    last = chr(66 + max_delta)
+    label = F.when(F.col("label").between("A", last), F.col("label")).otherwise(last)
+    place = F.ascii("seen") - F.ascii(F.lit("A"))
+    rows = rows.withColumn("carried", carried).withColumn("seen", F.when(F.col("carried"), "A").otherwise(label))
+    rows = rows.withColumn("delta", F.when(F.col("carried") | (place > max_delta), 0).otherwise(place))
+    rows = rows.withColumn("count", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return rows.select("video", "key", "step", "cutoff", F.col("seen").alias("label"), F.col("delta").cast("int").alias("delta"), "count", X.count_to_option("count", "options").alias("answer"))
+
+
+def step_answers(rows: DataFrame) -> DataFrame:
+    """rows: video, step, cutoff, answer (A or B, or words). Yes or No of the current step, each cutoff by itself; looked is false where nothing was answered."""
+    from ..functions import text as X
+
+    said = X.yes_no("answer")
+    return rows.select("video", "step", "cutoff", F.coalesce(said, F.lit("No")).alias("response"), said.isNotNull().alias("looked"))
+
+
+def projected_states(counts: DataFrame) -> DataFrame:
+    """The steps of a running count as updates of the task state "rec:count": video, key, ts, response, delta, label."""
+    return counts.select("video", F.lit("rec:count").alias("key"), F.col("cutoff").alias("ts"), F.col("count").cast("string").alias("response"), F.col("delta").cast("string").alias("delta"), F.coalesce("label", F.lit("A")).alias("label"))
+
+
+def segment_counts(counts: DataFrame, cap: int = 0) -> DataFrame:
+    """counts: video, segment, response. The sum of the first numbers in the responses of a video's segments, each and all capped."""
+    from ..functions import text as X
+
+    one = F.coalesce(X.clamp_count("response", cap), F.lit(0))
+    total = F.sum(one)
+    return counts.groupBy("video").agg((F.least(total, F.lit(cap)) if cap else total).alias("count"), F.count("*").alias("segments"))
+
+
+PHASES = {"A": "PEAK_COMPLETE", "B": "ACTIVE_NONPEAK", "C": "RESET_IDLE", "D": "OTHER_ACTION", "E": "UNCLEAR"}
+
+
+def phase_labels(chunks: DataFrame, stride: int) -> DataFrame:
+    """chunks: video, chunk, mid, label. The phase of every stride-th chunk; a label that is none is unclear."""
+    place = F.row_number().over(Window.partitionBy("video").orderBy("chunk")) - 1
+    names = F.create_map(*[F.lit(x) for kv in PHASES.items() for x in kv])
+    letter = F.when(F.col("label").isin(*PHASES), F.col("label")).otherwise("E")
+    return chunks.withColumn("_i", place).filter(F.col("_i") % stride == 0).select("video", "chunk", "mid", letter.alias("label"), F.element_at(names, letter).alias("phase"))
+
+
+def ordered_occurrences(items: DataFrame) -> DataFrame:
+    """items: id, place, realtime. Adds turn, the place in the order of cutoffs in which items are looked at; place restores the order they came in."""
+    return items.withColumn("turn", (F.row_number().over(Window.partitionBy("id").orderBy("realtime", "place")) - 1).cast("int"))

@@ -18,6 +18,7 @@ from ..operators import interval as I
 from ..operators import memory as M
 from ..operators import retrieval as S
 from ..operators import scoring as H
+from ..sources.stored import stored
 from ..streaming import live
 
 QUERIES: dict = {}
@@ -612,13 +613,13 @@ def q_entity_resolution(spark, d):
 
 
 def expanded(spark: SparkSession, d: str):
-    # The log and the linked nodes are read by several branches; kept once, each is computed once.
-    rows = log(spark, d).persist()
-    linked = M.with_hubs(rows, M.nodes(rows)).persist()
+    # The log and the linked nodes are read by several branches; written once, each is computed once.
+    rows = stored(log(spark, d), "log")
+    linked = stored(M.with_hubs(rows, M.nodes(rows)), "linked")
     keys = linked.filter("node_type = 'entity'").select("video", "key", "node_id")
     edge = M.edges(rows).join(keys.select("video", F.col("key").alias("a"), F.col("node_id").alias("ia")), ["video", "a"]).join(keys.select("video", F.col("key").alias("b"), F.col("node_id").alias("ib")), ["video", "b"]).select("video", F.col("ia").alias("a"), F.col("ib").alias("b"))
     seeds = linked.filter("node_id % 5 = 1").select("video", "node_id")
-    return S.expand(seeds, linked.select("video", "node_id", "node_type", "hub"), edge, M.chains(linked)).persist(), linked
+    return S.expand(seeds, linked.select("video", "node_id", "node_type", "hub"), edge, M.chains(linked)), linked
 
 
 EXPANDED = (
@@ -792,13 +793,13 @@ def q_media_status(spark, d):
     return source_status(asked, manifest).select("video", "status", "unavailable")
 
 
-@query()
+@query("with p as (select user_id, epoch_us(ts) as us from events where event_type = 'purchase'), g as (select *, coalesce((us - lag(us) over (partition by user_id order by us) > 86400000000)::int, 1) as new from p), s as (select *, sum(new) over (partition by user_id order by us rows unbounded preceding) as session from g) select user_id, min(us) as start_us, max(us) as end_us, count(*) as n from s group by user_id, session")
 def q_stream_sessions(spark, d):
     """A stream of events into sessions of each user; tests hold it against the same in batch."""
     return live.replay(spark, f"{d}/events.parquet", live.sessions)
 
 
-@query()
+@query("with e as (select user_id, epoch_us(ts) as us, min(case event_type when 'click' then 1 when 'purchase' then 2 else 0 end) as delta from events group by all) select user_id, sum(delta)::bigint as count, max(us) as last_us from e group by user_id")
 def q_stream_counts(spark, d):
     """A stream of events into running counts of each user, by keyed state."""
     return live.replay(spark, f"{d}/events.parquet", live.running_counts)

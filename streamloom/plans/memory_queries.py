@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import values as V
 from ..operators import memory as M
 from ..operators import retrieval as S
+from ..sources.stored import stored
 from .catalogue import _CHAIN, _EDGES, _REST, _STOPS, _TIMES, FR, HUBS, OBS, _lit, _stems_of, captions, frames, log, nodes_sql, query, table
 
 NEAR = 0.2
@@ -200,9 +201,10 @@ def q_flat_context(spark, d):
 
 
 def _memory(spark: SparkSession, d: str):
-    rows = log(spark, d)
-    node = M.nodes(rows)
-    linked = M.with_hubs(rows, node, node_vectors(spark, d, node), NEAR)
+    # The log and the linked nodes are read by many branches; written once, each is computed once.
+    rows = stored(log(spark, d), "log")
+    node = stored(M.nodes(rows), "nodes")
+    linked = stored(M.with_hubs(rows, node, node_vectors(spark, d, node), NEAR), "linked")
     keys = linked.filter("node_type = 'entity'").select("video", "key", "node_id")
     edge = M.edges(rows).join(keys.select("video", F.col("key").alias("a"), F.col("node_id").alias("ia")), ["video", "a"]).join(keys.select("video", F.col("key").alias("b"), F.col("node_id").alias("ib")), ["video", "b"]).select("video", F.col("ia").alias("a"), F.col("ib").alias("b"))
     return rows, node, linked, S.graph(linked, edge, M.chains(linked))
@@ -307,9 +309,9 @@ def q_prompt_compose(spark, d):
     return rows.select("video", "qid", S.compose(F.col("question"), F.col("context"), F.col("matched"), V.NO_MATCH_SIGNAL).alias("prompt"))
 
 
-@query(f"with {OBS}, {nodes_sql()}, {VECS}, {RQ}, {_HITS} select video, qid, array_to_string(list_transform(list(sim order by rank), lambda x: round(x, 4)), ',') as sims from best group by all")
+@query(f"with {OBS}, {nodes_sql()}, {VECS}, {RQ}, {_HITS} select video, qid, array_to_string(list_transform(list(sim order by rank), lambda x: round(x + 0.000001::double, 4)), ',') as sims from best group by all")
 def q_rounded_similarities(spark, d):
     node = M.nodes(log(spark, d))
     found = S.search(asked_of(spark, d), node_vectors(spark, d, node.filter("admitted")), 5)
-    sims = found.groupBy("video", "qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "sim"))), lambda x: x["sim"]).alias("sims"))
+    sims = found.groupBy("video", "qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "sim"))), lambda x: x["sim"] + 1e-6).alias("sims"))
     return sims.select("video", "qid", F.array_join(F.transform(S.round_similarities("sims"), lambda x: x.cast("string")), ",").alias("sims"))

@@ -13,7 +13,11 @@ STREAM_SCHEMA = "time string, video_path string, video_categories string, questi
 
 def read_ovo(spark: SparkSession, path: str) -> DataFrame:
     """Annotations with section, truth letter and error (null for good rows)."""
-    rows = spark.read.schema(OVO_SCHEMA).option("multiLine", True).json(path)
+    return checked_ovo(spark.read.schema(OVO_SCHEMA).option("multiLine", True).json(path))
+
+
+def checked_ovo(rows: DataFrame) -> DataFrame:
+    """rows of OVO_SCHEMA with section, truth and error."""
     section = F.coalesce(*[F.when(F.col("task").isin(*tasks), F.lit(name)) for name, tasks in V.TASKS.items()])
     mcq = section.isin("backward", "realtime")
     n = F.coalesce(F.size("options"), F.lit(0))

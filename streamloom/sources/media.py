@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MANIFEST = "schema_version int, entries map<string, struct<original_path: string, original_sha256: string, input_path: string, input_sha256: string, verified_until: double, unavailable_after: double>>"
@@ -12,13 +12,19 @@ SHA = "^[0-9a-f]{64}$"
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """video, the fields of each entry, and error (null for good entries)."""
     rows = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
-    e = rows.select("schema_version", F.explode("entries").alias("video", "e")).select("schema_version", "video", "e.*")
+    return checked_entries(rows.select("schema_version", F.explode("entries").alias("video", "e")).select("schema_version", "video", "e.*"))
+
+
+def checked_entries(entries: DataFrame) -> DataFrame:
+    """Entries with error: what is wrong with a row, or that its video has several rows."""
+    w = Window.partitionBy("video")
     error = (
         F.when(F.coalesce(F.col("schema_version"), F.lit(0)) != 1, "schema_version must be 1")
+        .when(F.count("*").over(w) > 1, "a video has one entry")
         .when(~F.coalesce(F.col("original_sha256").rlike(SHA) & F.col("input_sha256").rlike(SHA), F.lit(False)), "SHA-256 expected")
         .when(F.col("verified_until").isNull() | ~F.col("verified_until").eqNullSafe(F.col("unavailable_after")) | (F.col("verified_until") < 0), "verified_until and unavailable_after must be one time")
     )
-    return e.withColumn("error", error)
+    return entries.withColumn("error", error)
 
 
 def verify_files(manifest: DataFrame, digests: DataFrame) -> DataFrame:

@@ -10,18 +10,44 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as V
+
 
 def append_rows(rows: DataFrame, path: str, rank: int | None = None) -> None:
-    """Append rows, with their key, as JSON lines; a shard has a folder of its own."""
+    """Append rows (key, line, ...) as JSON lines; a shard has a folder of its own. line is the writer's number of the row, and first means the least of it."""
+    if "line" not in rows.columns:
+        raise ValueError("rows need a line number, by which the first row of a key is known")
     rows.withColumnRenamed("key", "_key").write.mode("append").json(path if rank is None else f"{path}/rank={rank}")
 
 
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of all shards with key, rank (0 where there is one shard) and line, the order in which they were read."""
+    """Rows of all shards with key, line and rank (0 where there is one shard)."""
     rows = spark.read.schema(schema.replace("key ", "_key ")).json(path)
     if "rank" not in rows.columns:
         rows = rows.withColumn("rank", F.lit(0))
-    return rows.withColumnRenamed("_key", "key").withColumn("line", F.monotonically_increasing_id())
+    return rows.withColumnRenamed("_key", "key")
+
+
+def done_ranks(spark: SparkSession, path: str, ranks: int) -> list[int]:
+    """The shards of a run that were written to their end: Spark marks each with _SUCCESS."""
+    marks = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", True).load(path).select("path")
+    found = {int(r[0]) for r in marks.select(F.regexp_extract("path", "rank=([0-9]+)/_SUCCESS$", 1).alias("r")).filter("r <> ''").distinct().collect()}
+    return sorted(found & set(range(ranks)))
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """Checkpoint rows (task, ...) with the section they belong to; null for tasks of none."""
+    return rows.withColumn("section", F.coalesce(*[F.when(F.col("task").isin(*tasks), F.lit(name)) for name, tasks in V.TASKS.items()]))
+
+
+#: Columns of a result row, the same for answers, errors and missing videos.
+RESULT_ROW = "key string, video string, task string, question string, truth string, response string, route string, error string, status string"
+
+
+def result_rows(rows: DataFrame) -> DataFrame:
+    """rows with the columns of RESULT_ROW, in order; those that are not there are null."""
+    fields = [x.split() for x in RESULT_ROW.split(", ")]
+    return rows.select(*(F.col(n).cast(t).alias(n) if n in rows.columns else F.lit(None).cast(t).alias(n) for n, t in fields))
 
 
 def save_report(report: DataFrame, path: str) -> None:

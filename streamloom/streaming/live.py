@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.stored import shared_folder
+
 DELAY = "0 seconds"
 
 
@@ -24,6 +26,11 @@ def chunks(stream: DataFrame, duration: str = "1 day") -> DataFrame:
     return events(stream).groupBy("user_id", F.window("ts", duration)).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
+def sliding(stream: DataFrame, duration: str = "2 days", step: str = "1 day") -> DataFrame:
+    """Overlapping windows of each user."""
+    return events(stream).groupBy("user_id", F.window("ts", duration, step)).agg(F.count("*").alias("n"))
+
+
 def sessions(stream: DataFrame, gap: str = "1 day", label: str = "purchase") -> DataFrame:
     """Sessions of a user's peaks; one is given out when the watermark is past its end."""
     peaks = events(stream).filter(F.col("event_type") == label)
@@ -66,12 +73,12 @@ def replay(spark: SparkSession, path: str, operator, name: str | None = None) ->
     import uuid
 
     schema = spark.read.parquet(path).schema
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/streamloom-checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     folder, _, leaf = path.rstrip("/").rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     stream = source.parquet(f"{folder}/{leaf}*" if leaf.endswith(".parquet") else path)
     out = operator(stream)
-    mode = {running_counts: "update", sessions: "complete"}.get(operator, "append")
+    mode = {running_counts: "update", sessions: "complete", chunks: "complete", sliding: "complete"}.get(operator, "append")
     epochs = []
 
     def sink(df: DataFrame, epoch: int) -> None:
