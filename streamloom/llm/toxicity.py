@@ -182,8 +182,9 @@ class Scorer:
         found = set(_WORD.findall((text or "").lower()))
         if len(self.known) > self.MOST_KEPT:
             self.known.clear()
-        for w in found - self.known.keys():
-            self.known[w] = self.adds(w)
+        for w in found:
+            if w not in self.known:
+                self.known[w] = self.adds(w)
         got = [g for w in found if (g := self.known[w])]
         sums = [sum(c) for c in zip(*got, strict=True)] if got else [0.0] * len(CATEGORIES)
         n = len(found) + sum(len(w) > k for w in found for k in STEMS)
