@@ -48,6 +48,38 @@ def observations(captions: DataFrame) -> DataFrame:
     return parse_captions(captions).filter(X.accepted("text")).withColumn("seq", seq.cast("long")).select("video", "chunk", "ts", "seq", "section", "node_type", "text")
 
 
+def accepted_items(captions: DataFrame) -> DataFrame:
+    return parse_captions(captions).filter(X.accepted("text"))
+
+
+def declarations(captions: DataFrame, embed, threshold: float = V.LINK_THRESHOLD) -> DataFrame:
+    """video, chunk, pos, local_id, description, gid, sim, method: entities that captions declare, each linked to one seen before or to a new one.
+
+    embed(rows, column) adds a vector. A declaration that repeats the one before of its local id is the same entity.
+    """
+    rows = accepted_items(captions).filter("node_type = 'entity'").withColumn("description", X.entity_description("text"))
+    rows = rows.filter("description <> '' and upper(description) not in ('NONE', 'N/A', '-')").withColumn("local_id", X.stable_id("text"))
+    kind = F.coalesce(F.substring("local_id", 1, 1), F.when(F.col("section") == "PEOPLE", "P").otherwise("O"))
+    rows = rows.select("video", "chunk", F.col("item").alias("pos"), "local_id", "description", kind.alias("kind"))
+    again = Window.partitionBy("video", "chunk", "local_id", X.normalise("description")).orderBy("pos")
+    rows = rows.withColumn("_first", F.when(F.col("local_id").isNotNull(), F.first("pos").over(again)).otherwise(F.col("pos")))
+    found = resolve_entities(embed(rows.filter("pos = _first").select("video", "chunk", "pos", "kind", "description"), "description"), threshold)
+    out = rows.join(found.withColumnRenamed("pos", "_first"), ["video", "chunk", "_first"])
+    same = F.col("pos") != F.col("_first")
+    return out.select("video", "chunk", "pos", "local_id", "description", "gid", F.when(same, 1.0).otherwise(F.col("sim")).alias("sim"), F.when(same, "repeated_declaration").otherwise(F.col("method")).alias("method"))
+
+
+def resolved_observations(captions: DataFrame, declared: DataFrame) -> DataFrame:
+    """The log of captions with entities as "gid (description)" and references to local ids rewritten."""
+    items = accepted_items(captions)
+    names = declared.select("video", "chunk", F.col("pos").alias("item"), F.concat("gid", F.lit(" ("), "description", F.lit(")")).alias("_named"))
+    entities = items.filter("node_type = 'entity'").join(names, ["video", "chunk", "item"]).withColumn("text", F.col("_named")).drop("_named")
+    local = declared.filter("local_id is not null").select("video", "chunk", "local_id", "gid", "description")
+    rows = entities.unionByName(rewrite_references(items.filter("node_type <> 'entity'"), local))
+    seq = F.row_number().over(Window.partitionBy("video").orderBy("chunk", "item"))
+    return rows.withColumn("seq", seq.cast("long")).select("video", "chunk", "ts", "seq", "section", "node_type", "text")
+
+
 def retract(log: DataFrame, chunks: DataFrame) -> DataFrame:
     """The log without the observations of chunks (video, chunk)."""
     return log.join(chunks.select("video", "chunk"), ["video", "chunk"], "left_anti")
