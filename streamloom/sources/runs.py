@@ -30,9 +30,9 @@ def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def done_ranks(spark: SparkSession, path: str, ranks: int) -> list[int]:
     """The shards of a run that were written to their end: Spark marks each with _SUCCESS."""
-    marks = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", True).load(path).select("path")
-    found = {int(r[0]) for r in marks.select(F.regexp_extract("path", "rank=([0-9]+)/_SUCCESS$", 1).alias("r")).filter("r <> ''").distinct().collect()}
-    return sorted(found & set(range(ranks)))
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return [r for r in range(ranks) if files.exists(at(f"{path}/rank={r}/_SUCCESS"))]
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
@@ -54,6 +54,16 @@ def save_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def protocol(settings: dict, inputs: list[str], spark: SparkSession) -> dict:
+    """What makes a result comparable: settings, the names, sizes and times of the input files, and versions."""
+    files = {}
+    for path in inputs:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").cast("string").alias("t"))
+        one = rows.agg(F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", "path", "length", "t")), 1, 15), 16, 10).cast("decimal(38,0)")).alias("digest"), F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+        files[path] = {"digest": str(one["digest"]), "files": one["n"], "bytes": one["bytes"]}
+    return {"settings": settings, "inputs": files, "spark": spark.version}
+
+
 class ProtocolMismatch(ValueError):
     pass
 
@@ -61,9 +71,13 @@ class ProtocolMismatch(ValueError):
 def ensure_protocol(folder: str, protocol: dict) -> None:
     """The folder's results were made under this protocol, or there are none yet; anything else is an error.
 
-    A new protocol file is written whole and then linked into place, so of two that start together one wins and the
+    The folder is one that the driver's file system reaches; a file:// prefix is dropped, any other scheme is refused. A
+    new protocol file is written whole and then linked into place, so of two that start together one wins and the
     other compares.
     """
+    folder = folder.removeprefix("file://")
+    if "://" in folder:
+        raise ValueError("a protocol needs a folder of the driver's file system")
     at = Path(folder, "protocol.json")
     want = json.loads(json.dumps({"schema_version": 1, "protocol": protocol}, sort_keys=True))
     if not at.exists():
