@@ -9,11 +9,18 @@ from . import text as X
 from . import values as V
 
 
+#: Each pattern of V.SCAFFOLD needs one of these words; texts without any are not matched against them.
+SCAFFOLD_WORDS = "(?iU)watching|responsible|task|answer|respond|additional|decide|motion|performing|latest|option|question"
+
+
 def strip_scaffold(c: Column | str) -> Column:
-    out = F.coalesce(X._col(c), F.lit(""))
-    for p in V.SCAFFOLD:
-        out = F.regexp_replace(out, "(?imsdU)" + p, " ")
-    return F.trim(F.regexp_replace(out, "(?U)\\s+", " "))
+    def stripped(text: Column) -> Column:
+        out = text
+        for p in V.SCAFFOLD:
+            out = F.regexp_replace(out, "(?imsdU)" + p, " ")
+        return F.when(text.rlike(SCAFFOLD_WORDS), out).otherwise(text)
+
+    return F.trim(F.regexp_replace(X.let(F.coalesce(X._col(c), F.lit("")), stripped), "(?U)\\s+", " "))
 
 
 def cues(c: Column | str, table: dict[str, str]) -> Column:

@@ -6,7 +6,10 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["chunk_bounds", "interval_sample_context", "rec_running_count", "delta_cooldown", "route_stream", "content_stems", "node_merge", "spoke_attach_id", "topk_floor", "nearest_hub", "summary_grouping_sets", "merge_shards", "reference_rewrite"]
+SOME = [
+    "chunk_bounds", "interval_sample_context", "rec_running_count", "delta_cooldown", "route_stream", "content_stems", "node_merge", "spoke_attach_id", "topk_floor", "nearest_hub", "summary_grouping_sets", "merge_shards", "reference_rewrite",
+    "spoke_attach_embedding", "attach_resolved", "signature", "retrieve_context", "flat_context", "expand_hits", "evicted_to_memory", "shard_split", "interval_question_counts", "annotation_errors", "stream_sessions", "stream_sliding", "scaffold_strip",
+]
 
 
 def plain(df):
@@ -31,7 +34,7 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) > 60
+    assert len(entry.queries()) > 140
 
 
 def test_entry(spark):
