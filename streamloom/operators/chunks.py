@@ -55,14 +55,25 @@ def split_history(chunks: DataFrame, questions: DataFrame, window: int) -> DataF
     return seen.select("video", "cutoff", "chunk", F.when(back <= window, "recent").otherwise("history").alias("part"))
 
 
+def last_rows(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The last k rows (video, ts, frame_id, ...) up to each cutoff (video, cutoff), with back, 1 for the last.
+
+    Rows are numbered once in each video, each cutoff finds its last number, and k numbers back are joined by equality: k
+    rows for each cutoff, never all that came before it.
+    """
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("video").orderBy("ts", "frame_id")))
+    last = as_of(numbered.groupBy("video", F.col("ts").alias("end_time")).agg(F.max("_i").alias("_last")), questions.select("video", "cutoff").distinct())
+    wanted = last.select("video", "cutoff", F.posexplode(F.sequence(F.col("_last"), F.greatest(F.col("_last") - (k - 1), F.lit(1)), F.lit(-1))).alias("_b", "_i"))
+    return wanted.join(numbered, ["video", "_i"]).withColumn("back", F.col("_b") + 1).drop("_i", "_b")
+
+
 def recent_frames(frames: DataFrame, questions: DataFrame, duration: float, window: int) -> DataFrame:
-    """The last `window` frames with distinct times of the last `window` chunks before each cutoff, the first frame of each time."""
-    seen = tumbling(causal(frames, questions), duration)
-    by = ["video", "cutoff"]
-    seen = seen.withColumn("_c", F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc("chunk")))).filter(F.col("_c") <= window)
-    seen = seen.withColumn("_t", F.row_number().over(Window.partitionBy(*by, "ts").orderBy("frame_id"))).filter("_t = 1")
-    back = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts")))
-    return seen.withColumn("back", back).filter(F.col("back") <= window).select(*by, "frame_id", "ts", "back")
+    """The last `window` frames with distinct times of the last `window` chunks before each cutoff, the first frame of each time.
+
+    So many frames never reach further back than so many chunks that hold frames, whatever the duration.
+    """
+    first = frames.groupBy("video", "ts").agg(F.min("frame_id").alias("frame_id"))
+    return last_rows(first, questions, window).select("video", "cutoff", "frame_id", "ts", "back")
 
 
 def stride_cap(frames: DataFrame, stride: int, cap: int, order: tuple[str, ...] = ("ts", "frame_id")) -> DataFrame:
@@ -88,12 +99,28 @@ def intervals(questions: DataFrame) -> DataFrame:
     return questions.withColumn("prev", F.coalesce(F.lag("cutoff").over(Window.partitionBy("video").orderBy("cutoff")), F.lit(0.0)))
 
 
+def rows_until(numbered: DataFrame, asked: DataFrame) -> DataFrame:
+    """video, t, n: how many of a video's rows (video, ts, _i from 1 on) are at or before each time asked (video, t)."""
+    marked = numbered.select("video", F.col("ts").alias("_t"), F.col("_i"), F.lit(None).cast("double").alias("t"), F.lit(0).alias("_k"))
+    ask = asked.select("video", F.col("t").alias("_t"), F.lit(None).cast("int").alias("_i"), "t", F.lit(1).alias("_k")).distinct()
+    w = Window.partitionBy("video").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.unionByName(ask).withColumn("n", F.coalesce(F.max("_i").over(w), F.lit(0))).filter("t is not null").select("video", "t", "n")
+
+
 def interval_sample(frames: DataFrame, questions: DataFrame, context: float, k: int) -> DataFrame:
-    """k frames of (prev - context, cutoff] for each question, and whether the interval holds any before prev."""
-    seen = frames.join(intervals(questions), "video").filter(F.col("ts") > F.greatest(F.lit(0.0), F.col("prev") - context)).filter("ts <= cutoff")
-    by = ["video", "cutoff"]
-    seen = seen.withColumn("has_context", F.max((F.col("ts") <= F.col("prev")).cast("int")).over(Window.partitionBy(*by)) == 1)
-    return uniform(seen, k, tuple(by)).select(*by, "prev", "frame_id", "ts", "has_context")
+    """k frames of (prev - context, cutoff] for each question, and whether the interval holds any before prev.
+
+    An interval is a range of frame numbers, so its k places are known before any frame is read, and k rows are joined.
+    """
+    numbered = frames.select("video", "ts", "frame_id", F.row_number().over(Window.partitionBy("video").orderBy("ts", "frame_id")).alias("_i"))
+    asked = intervals(questions).withColumn("_low", F.greatest(F.lit(0.0), F.col("prev") - context))
+    times = asked.select("video", F.explode(F.array("cutoff", "prev", "_low")).alias("t")).distinct()
+    at = rows_until(numbered, times)
+    for name, to in (("cutoff", "_to"), ("prev", "_mid"), ("_low", "_from")):
+        asked = asked.join(at.select("video", F.col("t").alias(name), F.col("n").alias(to)), ["video", name])
+    places = F.transform(X.uniform_indices(F.col("_to") - F.col("_from"), F.lit(k)), lambda p: p + F.col("_from") + 1)
+    picked = asked.select("video", "cutoff", "prev", (F.col("_mid") > F.col("_from")).alias("has_context"), F.explode(places).alias("_i"))
+    return picked.join(numbered, ["video", "_i"]).select("video", "cutoff", "prev", "frame_id", "ts", "has_context")
 
 
 def storyboard(frames: DataFrame, most: int, tail: int) -> DataFrame:

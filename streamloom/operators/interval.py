@@ -79,10 +79,12 @@ def hybrid(events: DataFrame, story: DataFrame) -> DataFrame:
 
 def tail_context(captions: DataFrame, questions: DataFrame, seconds: float = 45.0, most: int = 48, width: int = 220) -> DataFrame:
     """The captions of the last seconds before each cutoff, or of all before it if there are none; the last `most`, cut at `width`."""
-    seen = captions.join(questions, "video").filter("ts <= cutoff").withColumn("near", F.col("ts") >= F.col("cutoff") - seconds)
+    from .chunks import last_rows
+
+    seen = last_rows(captions, questions, most).withColumn("near", F.col("ts") >= F.col("cutoff") - seconds)
     by = ["video", "cutoff"]
+    # If there is any near caption, the last one is.
     seen = seen.withColumn("_any", F.max(F.col("near").cast("int")).over(Window.partitionBy(*by))).filter(F.col("near") | (F.col("_any") == 0))
-    seen = seen.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("frame_id")))).filter(F.col("_back") <= most)
     lines = F.transform(F.sort_array(F.collect_list(F.struct("ts", "frame_id", F.substring("caption", 1, width).alias("caption")))), lambda x: x["caption"])
     return seen.groupBy(*by).agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("context"))
 
