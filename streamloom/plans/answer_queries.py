@@ -295,3 +295,17 @@ def q_stream_sliding(spark, d):
     """A stream of events into windows of two days that start each day."""
     out = live.replay(spark, f"{d}/events.parquet", live.sliding)
     return out.select("user_id", F.unix_micros("window.start").alias("start_us"), "n")
+
+
+@query("select user_id, epoch_us(date_trunc('day', ts)) as day_us, count(*) as n from events group by all having count_if(event_type = 'signup') = 0")
+def q_stream_retraction(spark, d):
+    """A stream of events and removals: the chunks that are left."""
+    return live.replay(spark, f"{d}/events.parquet", live.surviving_chunks)
+
+
+@query("select user_id as video, arg_max(event_id, event_id) as event_id, max(least(round(value)::int, 60)) as count from (select * from events qualify row_number() over (partition by user_id order by event_id) <= 12) group by user_id")
+def q_storyboard_count(spark, d):
+    """The count that a storyboard's response gives, capped: here the largest of the first twelve."""
+    rows = C.first_n(table(spark, d, "events"), "user_id", ["event_id"], 12)
+    said = F.concat(F.lit("about "), F.round("value").cast("int").cast("string"), F.lit(" times"))
+    return rows.select(F.col("user_id").alias("video"), "event_id", X.clamp_count(said, 60).alias("count")).groupBy("video").agg(F.max("event_id").alias("event_id"), F.max("count").alias("count"))

@@ -31,6 +31,13 @@ def sliding(stream: DataFrame, duration: str = "2 days", step: str = "1 day") ->
     return events(stream).groupBy("user_id", F.window("ts", duration, step)).agg(F.count("*").alias("n"))
 
 
+def surviving_chunks(stream: DataFrame, removal: str = "signup") -> DataFrame:
+    """Days of each user with their events, but for those that a removal takes back, whenever it comes: counts and removals of a chunk are one state."""
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    grouped = stream.groupBy("user_id", F.unix_micros(day).alias("day_us")).agg(F.count("*").alias("n"), F.max((F.col("event_type") == removal).cast("int")).alias("removed"))
+    return grouped.filter("removed = 0").select("user_id", "day_us", "n")
+
+
 def sessions(stream: DataFrame, gap: str = "1 day", label: str = "purchase") -> DataFrame:
     """Sessions of a user's peaks; one is given out when the watermark is past its end."""
     peaks = events(stream).filter(F.col("event_type") == label)
@@ -78,7 +85,7 @@ def replay(spark: SparkSession, path: str, operator, name: str | None = None) ->
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     stream = source.parquet(f"{folder}/{leaf}*" if leaf.endswith(".parquet") else path)
     out = operator(stream)
-    mode = {running_counts: "update", sessions: "complete", chunks: "complete", sliding: "complete"}.get(operator, "append")
+    mode = {running_counts: "update", sessions: "complete", chunks: "complete", sliding: "complete", surviving_chunks: "complete"}.get(operator, "append")
     epochs = []
 
     def sink(df: DataFrame, epoch: int) -> None:
