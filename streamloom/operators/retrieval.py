@@ -15,19 +15,30 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..sources.stored import stored
 from .memory import dot
 
 BLOCK = 2048
 
 
-def question_blocks(questions: DataFrame, block: int = BLOCK):
-    """Blocks of (ids, matrix) of a question set (qid, vector): each at most `block` vectors."""
-    n = questions.count()
-    k = max(1, -(-n // block))
+def by_blocks(questions: DataFrame, search, block: int = 0) -> DataFrame | None:
+    """The union of search(sent) for blocks of (ids, matrix) of a question set (qid, vector), each about `block` vectors (BLOCK) and broadcast.
+
+    With several blocks each one's result is written and its broadcast let go before the next, so one is held at a time.
+    """
+    context, n = questions.sparkSession.sparkContext, questions.count()
+    k, out = max(1, -(-n // (block or BLOCK))), None
     for b in range(k):
         rows = sorted(questions.filter(F.pmod(F.xxhash64("qid"), F.lit(k)) == b).collect())
-        if rows:
-            yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+        if not rows:
+            continue
+        sent = context.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+        part = search(sent)
+        if k > 1:
+            part = stored(part, "hits")
+            sent.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def matrix(column) -> np.ndarray:
@@ -38,11 +49,9 @@ def matrix(column) -> np.ndarray:
 
 def top_k(questions: DataFrame, nodes: DataFrame, k: int = V.TOP_K_MAX, digits: int = 6) -> DataFrame:
     """questions (qid, vector), nodes (node_id, vector): qid, node_id, sim, rank, ties by node_id; a node isn't its own hit."""
-    spark, out = nodes.sparkSession, None
-    for ids, vectors in question_blocks(questions):
-        sent = spark.sparkContext.broadcast((ids, vectors))
 
-        def run(batches, sent=sent):
+    def search_block(sent) -> DataFrame:
+        def run(batches):
             ids, vectors = sent.value
             for batch in batches:
                 if not batch.num_rows:
@@ -57,10 +66,11 @@ def top_k(questions: DataFrame, nodes: DataFrame, k: int = V.TOP_K_MAX, digits:
                 ok = np.isfinite(best)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q][ok]), pa.array(node[at][ok]), pa.array(best[ok])], ["qid", "node_id", "sim"])
 
-        part = nodes.select("node_id", "vector").mapInArrow(run, "qid long, node_id long, sim double")
-        out = part if out is None else out.union(part)
+        return nodes.select("node_id", "vector").mapInArrow(run, "qid long, node_id long, sim double")
+
+    out = by_blocks(questions, search_block)
     if out is None:
-        out = spark.createDataFrame([], "qid long, node_id long, sim double")
+        out = nodes.sparkSession.createDataFrame([], "qid long, node_id long, sim double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "node_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -81,11 +91,9 @@ def gap_cutoff(hits: DataFrame, threshold: float) -> DataFrame:
 
 def nearest(spokes: DataFrame, hubs: DataFrame, threshold: float | None = None, digits: int = 6) -> DataFrame:
     """spokes (node_id, vector), hubs (qid, vector): each spoke's nearest hub, the least id of equals; null below the threshold."""
-    spark, out = spokes.sparkSession, None
-    for ids, vectors in question_blocks(hubs):
-        sent = spark.sparkContext.broadcast((ids, vectors))
 
-        def run(batches, sent=sent):
+    def search_block(sent) -> DataFrame:
+        def run(batches):
             ids, vectors = sent.value
             for batch in batches:
                 if batch.num_rows:
@@ -93,8 +101,11 @@ def nearest(spokes: DataFrame, hubs: DataFrame, threshold: float | None = None,
                     best = sims.argmax(1)
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[best]), pa.array(sims[np.arange(len(best)), best])], ["node_id", "hub", "sim"])
 
-        part = spokes.select("node_id", "vector").mapInArrow(run, "node_id long, hub long, sim double")
-        out = part if out is None else out.union(part)
+        return spokes.select("node_id", "vector").mapInArrow(run, "node_id long, hub long, sim double")
+
+    out = by_blocks(hubs, search_block)
+    if out is None:
+        out = spokes.select("node_id", F.lit(None).cast("long").alias("hub"), F.lit(None).cast("double").alias("sim"))
     best = out.groupBy("node_id").agg(F.max(F.struct("sim", (-F.col("hub")).alias("h"))).alias("b")).select("node_id", (-F.col("b.h")).alias("hub"), F.col("b.sim").alias("sim"))
     return best if threshold is None else best.withColumn("hub", F.when(F.col("sim") >= threshold, F.col("hub")))
 
