@@ -147,6 +147,11 @@ class FMIndex:
         return out
 
 
+def anchors_only(block: B.Block) -> B.Anchors:
+    starts, ends, before = words(block.data, block.offs)
+    return B.Anchors(word_hashes(block.data, starts, ends), before, WINDOW, SEED)
+
+
 def word_anchors(block: B.Block) -> tuple[B.Anchors, list[bytes], np.ndarray]:
     """Anchors, the words themselves, and how many lie before each row."""
     starts, ends, before = words(block.data, block.offs)
@@ -157,9 +162,8 @@ def word_anchors(block: B.Block) -> tuple[B.Anchors, list[bytes], np.ndarray]:
 
 def numbered(own: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The distinct words, and each word's number."""
-    known: dict[bytes, int] = {}
-    codes = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int32, len(own))
-    return list(known), codes
+    known = {w: i for i, w in enumerate(dict.fromkeys(own))}
+    return list(known), np.fromiter(map(known.__getitem__, own), np.int32, len(own))
 
 
 def passages(found: B.Anchors, codes: np.ndarray, again: np.ndarray, shards: int) -> dict[int, tuple[list, list, list, list]]:
@@ -250,7 +254,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = True)
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept: a row for each document."""
     blocks = B.make_blocks(spark, docs)
     shards = B.shard_count(blocks)
-    bits = materialise(spark, B.at_shards(B.send_keys(blocks, lambda b: word_anchors(b)[0], shards), B.repeated_bits), "anchor-bits")
+    bits = materialise(spark, B.at_shards(B.send_keys(blocks, anchors_only, shards), B.repeated_bits), "anchor-bits")
 
     def send(block, parts):
         found, own, _ = word_anchors(block)
