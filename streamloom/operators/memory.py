@@ -98,6 +98,8 @@ def nodes(log: DataFrame, typed: bool = True, merge_spokes: bool = True, cap: in
     grouped = keyed(log, typed, merge_spokes).groupBy("video", "key").agg(
         F.min("seq").alias("node_id"), F.min_by("node_type", "seq").alias("node_type"), F.min_by("text", "seq").alias("text"), F.count("*").alias("n"), F.countDistinct("chunk").alias("n_chunks"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
     )
+    # An entity with an id is shown by what stands before the colon.
+    grouped = grouped.withColumn("text", F.when(F.col("key").startswith("id:"), X.id_text("text")).otherwise(F.col("text")))
     place = F.row_number().over(Window.partitionBy("video").orderBy("node_id"))
     return grouped.withColumn("admitted", place <= cap)
 

@@ -423,7 +423,7 @@ OBS = (
 
 
 def nodes_sql(source: str = "keyed", cap: int = 300) -> str:
-    return f"nodes as (select *, row_number() over (partition by video order by node_id) <= {cap} as admitted from (select video, key, min(seq) as node_id, arg_min(node_type, seq) as node_type, arg_min(text, seq) as text, count(*) as n, count(distinct chunk) as n_chunks, min(ts) as first_seen, max(ts) as last_seen from {source} group by video, key))"
+    return f"nodes as (select *, row_number() over (partition by video order by node_id) <= {cap} as admitted from (select video, key, min(seq) as node_id, arg_min(node_type, seq) as node_type, case when starts_with(key, 'id:') then trim(split_part(arg_min(text, seq), ':', 1)) else arg_min(text, seq) end as text, count(*) as n, count(distinct chunk) as n_chunks, min(ts) as first_seen, max(ts) as last_seen from {source} group by video, key))"
 
 
 HUBS = (
