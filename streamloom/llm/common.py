@@ -41,6 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that materialise has written in this process and that are not released.
+_WRITTEN: list[str] = []
+
+
+def written() -> list[str]:
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate folders that nothing reads any more."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if p in _WRITTEN:
+            _WRITTEN.remove(p)
+
+
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
 
@@ -54,6 +71,7 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(k, v)
     try:
         df.write.parquet(path)
+        _WRITTEN.append(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -7,7 +7,7 @@ import corpus_pipeline
 import duckdb
 import pandas as pd
 
-from streamloom.llm import mixing, pii
+from streamloom.llm import common, mixing, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, note string"
 
@@ -60,7 +60,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     want = collections.Counter(con.execute(f"select doc_id, domain, n_tokens, epoch from ({mixing.oracle()})").fetchall())
     assert len({w[0] for w in want}) > 100
 
+    before = common.written()
     out = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(common.written()) == len(before) + 1
     got = out.collect()
     assert collections.Counter((r["doc_id"], r["domain"], r["n_tokens"], r["epoch"]) for r in got) == want
     text = {i: t for i, t, *_ in left}
