@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from streamloom.llm import dartminhash, decontam, mixing, pii, toxicity
-from streamloom.llm.common import load, materialise
+from streamloom.llm.common import load, materialise, release, written
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written as Parquet and read again by the next."""
-    docs = load(spark, sf_dir, "documents")
+    """The stages applied to documents, each written as Parquet and read again by the next.
+
+    Once a stage is written, what it and the stage before it wrote on the way goes.
+    """
+    before, docs = set(written()), load(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, [p for p in written()[:-1] if p not in before])
     return docs
