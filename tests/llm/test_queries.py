@@ -164,3 +164,17 @@ def test_empty_tables(spark, folder, tmp_path, name):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert ask(spark, str(tmp_path), name) == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, name):
+    import duckdb
+
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    found = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in found.description]
+    want = collections.Counter(map(repr, found.fetchall()))
+    got = entry.queries()[name](spark, data).select(*columns).collect()
+    assert collections.Counter(repr(tuple(r)) for r in got) == want
