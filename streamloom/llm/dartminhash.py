@@ -257,13 +257,41 @@ def shingle_sets(column) -> list[np.ndarray]:
     return [s if len(s) else np.array([i], np.uint64) for i, s in enumerate(sets)]
 
 
-def class_rows(rows: DataFrame) -> DataFrame:
+class Weighted:
+    """Exact links by weighted similarity, between texts."""
+
+    @staticmethod
+    def classes(ids: np.ndarray, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each text (an index), and how many links were seen of each."""
+        return exact_classes(shingle_sets(texts))
+
+    @staticmethod
+    def outside(label: np.ndarray, asks: np.ndarray, texts) -> set[tuple[int, int]]:
+        """Links between classes, from every text that asks against all."""
+        sets = shingle_sets(texts)
+        size = np.array([len(s) for s in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        parts = np.split(flat, np.cumsum(size)[:-1])
+        label, out = label.copy(), set()
+        for p in asks:
+            mark = np.zeros(int(flat.max()) + 1, bool)
+            mark[parts[p]] = True
+            both = np.bincount(owner[mark[flat]], minlength=len(sets))
+            joined = np.unique(label[both >= THRESHOLD * (size + size[p] - both) - 1e-9])
+            if len(joined) > 1:
+                out.update((int(joined[0]), int(j)) for j in joined[1:])
+                label[np.isin(label, joined)] = joined[0]
+        return out
+
+
+def class_rows(rows: DataFrame, exact=Weighted) -> DataFrame:
     """rows: component, chunk, rep, text, split, dealt out and sorted by the first two. (rep, class), and with component and text the witnesses of the largest class of each chunk of a split component."""
 
     def run(batches):
         for group in sorted_groups(batches, 2):
             ids = group.column("rep").to_numpy()
-            label, links = exact_classes(shingle_sets(group.column("text")))
+            label, links = exact.classes(ids, group.column("text"))
             least = {int(c): int(ids[label == c].min()) for c in np.unique(label)}
             out = [(int(i), least[int(c)], None, None) for i, c in zip(ids, label, strict=True)]
             if group.column("split")[0].as_py():
@@ -287,13 +315,13 @@ def component_sizes(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return materialise(spark, rows.groupBy("component").agg(F.count("*").alias("n")), "sizes")
 
 
-def join_witnesses(spark: SparkSession, found: DataFrame) -> DataFrame:
+def join_witnesses(spark: SparkSession, found: DataFrame, exact=Weighted) -> DataFrame:
     """Links (a, b) between classes of the chunks of a component, from witnesses (rep, class, component, text): level after level of chunks."""
     links = None
     while True:
         hubs = found.filter("component is not null").select("component", F.col("class").alias("own"), "rep", "text")
         sizes = component_sizes(spark, hubs)
-        found = materialise(spark, class_rows(deal(hubs, sizes)), "witnesses")
+        found = materialise(spark, class_rows(deal(hubs, sizes), exact), "witnesses")
         now = found.filter("component is null").select("rep", "class").join(hubs.select("rep", "own"), "rep").select("class", "own")
         # the class of a witness set is named by a witness; its own class stands for it
         named = now.join(hubs.select(F.col("rep").alias("class"), F.col("own").alias("named")), "class").select(F.col("named").alias("a"), F.col("own").alias("b")).filter("a <> b").distinct()
@@ -303,32 +331,17 @@ def join_witnesses(spark: SparkSession, found: DataFrame) -> DataFrame:
             return links
 
 
-def try_outside(rows: DataFrame) -> DataFrame:
+def try_outside(rows: DataFrame, exact=Weighted) -> DataFrame:
     """rows: component, place, rep, class, asks, text, dealt out and sorted by the first two. Links (a, b) between classes, from every document that asks against all of its place."""
 
     def run(batches):
         for group in sorted_groups(batches, 2):
-            asks = np.flatnonzero(group.column("asks").to_numpy())
-            sets = shingle_sets(group.column("text"))
-            size = np.array([len(s) for s in sets])
-            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-            owner = np.repeat(np.arange(len(sets)), size)
-            parts = np.split(flat, np.cumsum(size)[:-1])
-            label, out = group.column("class").to_numpy().copy(), set()
-            for p in asks:
-                mark = np.zeros(int(flat.max()) + 1, bool)
-                mark[parts[p]] = True
-                both = np.bincount(owner[mark[flat]], minlength=len(sets))
-                joined = np.unique(label[both >= THRESHOLD * (size + size[p] - both) - 1e-9])
-                if len(joined) > 1:
-                    out.update((int(joined[0]), int(j)) for j in joined[1:])
-                    label[np.isin(label, joined)] = joined[0]
-            yield link_batch(out)
+            yield link_batch(exact.outside(group.column("class").to_numpy(), np.flatnonzero(group.column("asks").to_numpy()), group.column("text")))
 
     return rows.select("component", "place", "rep", "class", "asks", "text").repartition("component", "place").sortWithinPartitions("component", "place").mapInArrow(run, "a long, b long")
 
 
-def outside_links(spark: SparkSession, members: DataFrame, shared: DataFrame, docs: DataFrame) -> DataFrame | None:
+def outside_links(spark: SparkSession, members: DataFrame, shared: DataFrame, docs: DataFrame, exact=Weighted) -> DataFrame | None:
     """Links (a, b) between classes of split components, members (component, chunk, rep, class); None if each is one class.
 
     Documents outside the largest class of their component ask every chunk where one shares a band with them.
@@ -350,7 +363,7 @@ def outside_links(spark: SparkSession, members: DataFrame, shared: DataFrame, do
         members.join(places, ["component", "chunk"]).select("component", "place", "rep", "class", F.lit(False).alias("asks"))
     )
     both = both.groupBy("component", "place", "rep", "class").agg(F.max("asks").alias("asks"))
-    return materialise(spark, try_outside(with_text(spark, docs, both)), "outside_links")
+    return materialise(spark, try_outside(with_text(spark, docs, both), exact), "outside_links")
 
 
 def with_text(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -359,6 +372,20 @@ def with_text(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFram
     return texts.join(rows, texts["doc_id"] == rows["rep"]).drop("doc_id")
 
 
+def exact_members(spark: SparkSession, member: DataFrame, shared: DataFrame, docs: DataFrame, exact=Weighted) -> DataFrame:
+    """rep, class (by exact links between texts) of candidates member (component, rep); shared (key, rep) names who may be linked with whom."""
+    member = materialise(spark, deal(member, component_sizes(spark, member)), "members")
+    first = materialise(spark, class_rows(with_text(spark, docs, member), exact), "classes")
+    own = first.filter("component is null").groupBy("rep").agg(F.min("class").alias("class"))
+    if member.filter("split").limit(1).count():
+        links = materialise(spark, join_witnesses(spark, first, exact), "class_links")
+        own = materialise(spark, rename(spark, own, links), "joined")
+        members = materialise(spark, member.filter("split").select("component", "chunk", "rep").join(own, "rep"), "split")
+        more = outside_links(spark, members, shared, docs, exact)
+        own = own if more is None else rename(spark, own, more)
+    return own
+
+
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class): a row for each row of docs."""
     signed = materialise(spark, sign_documents(docs), "signatures")
@@ -366,15 +393,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     unique = materialise(spark, known.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "unique")
     shared = shared_bands(spark, unique)
     member = components(spark, candidate_links(unique, shared)).select("component", F.col("node").alias("rep"))
-    member = materialise(spark, deal(member, component_sizes(spark, member)), "members")
-    first = materialise(spark, class_rows(with_text(spark, docs, member)), "classes")
-    own = first.filter("component is null").groupBy("rep").agg(F.min("class").alias("class"))
-    if member.filter("split").limit(1).count():
-        links = materialise(spark, join_witnesses(spark, first), "class_links")
-        own = materialise(spark, rename(spark, own, links), "joined")
-        members = materialise(spark, member.filter("split").select("component", "chunk", "rep").join(own, "rep"), "split")
-        more = outside_links(spark, members, shared, docs)
-        own = own if more is None else rename(spark, own, more)
+    own = exact_members(spark, member, shared, docs)
     final = unique.select("text_key", "rep").join(own, "rep", "left").select("text_key", F.coalesce("class", "rep").alias("class_id"))
     final = materialise(spark, final, "final")
     out = signed.select("doc_id", "text_key").join(final, "text_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

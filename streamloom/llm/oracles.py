@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .dartminhash import THRESHOLD, WORDS
+from .ngram import PERCENT
+from .ngram import WORDS as GRAM
 from .substring import WINDOW
 from .suffix import WINDOW as BYTES
 
@@ -44,6 +46,19 @@ with recursive t as (select doc_id, text, {_WORDS} as ws from documents),
 select t.doc_id, coalesce(c.class_id, t.doc_id) as class_id from t left join u on u.text = t.text left join class c on c.rep = u.rep
 """
 
+JACCARD = f"""
+with recursive t as (select doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+  g as (select doc_id, list_sort(list_distinct(case when len(ws) = 0 then [] when len(ws) < {GRAM} then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - {GRAM - 2}), lambda i: array_to_string(ws[i : i + {GRAM - 1}], ' ')) end)) as s from t),
+  u as (select s, min(doc_id) as rep, len(s) as n from g where len(s) > 0 group by s),
+  e as (select rep, unnest(list_transform(s, lambda x: hash(x))) as x from u),
+  shared as (select a.rep as a, b.rep as b, count(*) as c from e a join e b on a.x = b.x and a.rep < b.rep group by all),
+  link as (select a, b from shared join u x on x.rep = a join u y on y.rep = b where 100 * c >= {PERCENT} * (x.n + y.n - c)),
+  sym as (select a, b from link union all select b, a from link),
+  reach as (select rep as a, rep as b from u union select r.a, y.b from reach r join sym y on y.a = r.b),
+  class as (select a as rep, min(b) as least from reach group by a)
+select g.doc_id, len(g.s)::bigint as n_shingles, coalesce(c.least, g.doc_id) as component_id from g left join u on u.s = g.s left join class c on c.rep = u.rep
+"""
+
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _BASE32 = " || ".join(f"substr('{_ALPHABET}', (((('0x' || substr(h, {5 * i + 1}, 5))::bigint >> {15 - 5 * j}) & 31) + 1)::int, 1)" for i in range(8) for j in range(4))
 

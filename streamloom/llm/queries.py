@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annulus, dartminhash, decontam, hpylm, merkle, mixing, oracles, pii, substring, suffix, tiff, toxicity, warc
+from . import annulus, dartminhash, decontam, hpylm, merkle, mixing, ngram, oracles, pii, substring, suffix, tiff, toxicity, warc
 from .common import load
 
 
@@ -57,11 +57,15 @@ def op11_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annulus.code_vectors(spark, load(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.join_components(spark, load(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(spark, load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_substring, op4_mixing, op5_decontamination, op6_tiff, op7_lm_scoring, op8_dartminhash, op9_suffix_array, op10_pii, op11_annulus, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_substring, op4_mixing, op5_decontamination, op6_tiff, op7_lm_scoring, op8_dartminhash, op9_suffix_array, op10_pii, op11_annulus, op12_ngram_jaccard, op13_merkle)}
 
 #: Trained models, alignments, TIFF bytes and corpus statistics are beyond SQL; tests hold those queries against brute force.
-ORACLE_SQL = {"op2_warc": oracles.WARC, "op3_substring": oracles.SUBSTRING, "op4_mixing": mixing.oracle(), "op8_dartminhash": oracles.NEAR_DUPLICATES, "op9_suffix_array": oracles.SUFFIX, "op11_annulus": annulus.oracle(), "op13_merkle": merkle.oracle()}
+ORACLE_SQL = {"op2_warc": oracles.WARC, "op3_substring": oracles.SUBSTRING, "op4_mixing": mixing.oracle(), "op8_dartminhash": oracles.NEAR_DUPLICATES, "op9_suffix_array": oracles.SUFFIX, "op11_annulus": annulus.oracle(), "op12_ngram_jaccard": oracles.JACCARD, "op13_merkle": merkle.oracle()}
