@@ -5,7 +5,8 @@ none is dropped, however common: each hit of a seed puts the passage around it t
 words: match 2, mismatch and gap -1. A document is contaminated if an alignment reaches THRESHOLD of the item's best
 score and the score of min(item length, LEAST_WORDS) matching words. A passage is not aligned where twice the number of
 words it shares with the item (with multiplicity) is below what must be reached: no alignment scores more than that, so
-hits of common seeds cost little and nothing is lost.
+hits of common seeds cost little and nothing is lost. A passage reaches to either side of a hit as far as the item does
+and as many words more as an alignment that still reaches what it must can hold of others: each of these costs 1.
 
 Items are handled in blocks of about BLOCK items, one after the other, each against all documents; a block's seeds and
 words are all that is sent to tasks and is let go before the next. With several blocks only what is found is kept of
@@ -35,6 +36,8 @@ SEED = 3
 THRESHOLD = 0.5
 LEAST_WORDS = 8
 BLOCK = 4000
+#: Cells of alignments that are held at once.
+CELLS = 1 << 21
 #: Postings or words of passages that are held at once.
 _AT_ONCE = 1 << 20
 _FILTER_BITS = 20
@@ -89,9 +92,15 @@ class Items:
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     """Smith-Waterman scores of pairs, all in step: match 2, mismatch -1, gap -1."""
     out = np.zeros(len(items), np.int64)
-    order = np.argsort([len(p) + len(q) for p, q in zip(passages, items, strict=True)], kind="stable")
-    for a in range(0, len(order), 512):
-        part = order[a : a + 512]
+    width = np.array([len(p) for p in passages], np.int64)
+    order = np.lexsort(([len(q) for q in items], width)) if len(width) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(order):
+        # Passages in order of length: the last one of a part is the widest.
+        b = min(a + 512, len(order))
+        while b > a + 1 and (b - a) * width[order[b - 1]] > CELLS:
+            b = max(a + 1, a + int(CELLS // width[order[b - 1]]))
+        part, a = order[a:b], b
         n, m = max(len(items[i]) for i in part), max(len(passages[i]) for i in part)
         q, p = np.zeros((len(part), n), np.uint64), np.ones((len(part), m), np.uint64)
         for r, i in enumerate(part):
@@ -157,7 +166,8 @@ def judge(column, block: Items) -> list[tuple]:
             size = block.size[item]
             new = np.ones(len(at), bool)
             new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * size[1:])
-            slack = size // 4 + 2
+            # An alignment that reaches what it must has so many words of others at most, as each costs 1.
+            slack = 2 * size - block.least[item].astype(np.int64)
             low, high = np.maximum(before[row], at - place - slack), np.minimum(before[row + 1], at - place + size + slack)
             first = np.flatnonzero(new)
             low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)

@@ -196,11 +196,12 @@ class Scorer:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict | None:
-    """Fit on a bounded sample of labelled rows; None without usable labels. The sample's ids are few and broadcast."""
+    """Fit on a bounded sample of labelled rows, at most max_train ids and max_train rows; None without usable labels. The sample's ids are few and broadcast."""
     usable = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic", F.coalesce(F.col("quality"), F.lit(0)).alias("quality"))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), F.col("quality").cast("int").alias("quality"))
-    rows = materialise(spark, rows, "training")
+    # The bound holds for rows, too: a document that is there very often brings no more of them.
+    rows = materialise(spark, rows.orderBy(F.xxhash64("text"), "text", "toxic", "quality").limit(max_train), "training")
 
     def fit(batches):
         held = [b for b in batches if b.num_rows]

@@ -12,6 +12,10 @@ then cut out of the plain text by their lengths. So archives that are to be read
 writer does. The writer puts an empty gzip member after each record, as what ends a row of the byte-exact text sink;
 readers of gzip skip it.
 
+No record is dropped for its digest: payload_digest of a response is computed, and digest_ok says whether the record's label
+(MD5 or SHA, hex or base32) agrees; it is null where there is none that can be judged. A member that doesn't inflate even
+when it is mended is a row with nothing but error, and a record shorter than it says is a row with error.
+
 Defined cases: a member's header fields may not hold the gzip magic; null html is an empty payload; a null page_id is written as "null" and read as null; of equal payloads
 all rows that carry the largest page_id are responses (repeated rows), null ids being smallest; an empty table gives no
 records.
@@ -41,7 +45,7 @@ SHARE = 50_000
 FEW = 1_000_000
 MIN_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
-RECORDS = "record_id string, record_type string, refers_to string, uri string, payload_digest string, payload_bytes long, payload binary"
+RECORDS = "record_id string, record_type string, refers_to string, uri string, payload_digest string, payload_bytes long, payload binary, digest_ok boolean, error string"
 
 
 def sha1_base32(data: bytes) -> str:
@@ -90,14 +94,25 @@ def parse(record: bytes) -> tuple | None:
     if not lines[0].startswith("WARC/"):
         return None
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    block = rest[: int(fields.get("content-length", 0))]
+    said = fields.get("content-length", "0")
+    size = int(said) if said.isdecimal() else len(rest)
+    error = "no length" if not said.isdecimal() else "record is cut off" if size > len(rest) else None
+    block = rest[:size]
     http, _, payload = block.partition(b"\r\n\r\n")
-    size = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
+    said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
     revisit = fields.get("warc-type") == "revisit"
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if not revisit and digest and digest != sha1_base32(payload):
+    label = fields.get("warc-payload-digest", "")
+    own = None if revisit else sha1_base32(payload)
+    return (fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), own or label.removeprefix("sha1:") or None, int(said[1]) if revisit and said else len(payload), None if revisit else payload, None if revisit else digest_ok(label, payload), error)
+
+
+def digest_ok(label: str, payload: bytes) -> bool | None:
+    """Whether a digest label, in hex or base32, is that of the payload; None without one, or by an algorithm that isn't known here."""
+    kind, _, value = label.partition(":")
+    if kind.lower() not in ("md5", "sha1", "sha256", "sha512"):
         return None
-    return (fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), digest or sha1_base32(payload), int(size[1]) if revisit and size else len(payload), None if revisit else payload)
+    found = hashlib.new(kind.lower(), payload).digest()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, *, min_revisit_bytes: int = MIN_REVISIT_BYTES, share: int = SHARE) -> str:
@@ -142,10 +157,10 @@ def inflated_records(lines: DataFrame) -> DataFrame:
 
     def run(batches):
         out, file, have, held = [], None, b"", 0
-        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.bool_(), pa.string()]
 
         def batch_of():
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 7, kinds, strict=True)], FIELDS)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 9, kinds, strict=True)], FIELDS)
 
         def close():
             if have and (got := parse(have)):
@@ -197,12 +212,12 @@ def ranged_records(spark: SparkSession, text: DataFrame) -> DataFrame:
     fields = RECORDS + ", file string, at long, fragment binary"
 
     def rows(found, file=None, at=None, fragment=None):
-        return found + (file, at, fragment) if found else (None,) * 7 + (file, at, fragment)
+        return found + (file, at, fragment) if found else (None,) * 9 + (file, at, fragment)
 
     def batch_of(out):
-        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.binary()]
-        cols = list(zip(*out, strict=True)) or [()] * 10
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["record_id", "record_type", "refers_to", "uri", "payload_digest", "payload_bytes", "payload", "file", "at", "fragment"])
+        kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        cols = list(zip(*out, strict=True)) or [()] * 12
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*FIELDS, "file", "at", "fragment"])
 
     def run(batches):
         out, block, have, orphan, held = [], None, b"", b"", 0
@@ -260,16 +275,16 @@ def ranged_records(spark: SparkSession, text: DataFrame) -> DataFrame:
         out, have = [], b""
         for part in pdf.sort_values("at", kind="stable")["fragment"].tolist() + [None]:
             if part is None or plausible(part):
-                if have and (whole := inflate(have)) and (got := parse(whole)):
-                    out.append(got)
+                if have:
+                    whole = inflate(have)
+                    out += [(None,) * 8 + ("member does not inflate",)] if whole is None else [got] if (got := parse(whole)) else []
                 have = part or b""
             else:
                 have += part
-        return pd.DataFrame(out, columns=["record_id", "record_type", "refers_to", "uri", "payload_digest", "payload_bytes", "payload"])
+        return pd.DataFrame(out, columns=FIELDS).astype({"payload_bytes": "Int64", "digest_ok": "boolean"})
 
-    names = [x.split()[0] for x in RECORDS.split(", ")]
     broken = found.filter("fragment is not null").select("file", "at", "fragment").groupBy("file").applyInPandas(mend, RECORDS)
-    return found.filter("fragment is null").select(*names).unionByName(broken)
+    return found.filter("fragment is null").select(*FIELDS).unionByName(broken)
 
 
 def page_id_of(column: str) -> F.Column:
