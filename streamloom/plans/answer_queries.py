@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from ..operators import chunks as C
 from ..operators import interval as I
 from ..operators import scoring as H
 from ..sources import annotations as A
+from ..sources import frames as video
 from ..sources import media, runs
-from ..streaming import live
+from ..sources.stored import shared_folder
+from ..streaming import bounded, live
 from .catalogue import BOUNDS, CUTS, DAY, FR, LETTER, _lit, cutoffs, frames, query, table
 
 # ---- windows, limits, shards -------------------------------------------------------------------------------------
@@ -309,3 +313,51 @@ def q_storyboard_count(spark, d):
     rows = C.first_n(table(spark, d, "events"), "user_id", ["event_id"], 12)
     said = F.concat(F.lit("about "), F.round("value").cast("int").cast("string"), F.lit(" times"))
     return rows.select(F.col("user_id").alias("video"), "event_id", X.clamp_count(said, 60).alias("count")).groupBy("video").agg(F.max("event_id").alias("event_id"), F.max("count").alias("count"))
+
+
+# ---- live streams whose state is bounded -------------------------------------------------------------------------
+
+_DAY_US = 86_400_000_000
+_MARKED = f"e as (select user_id, event_id, event_type, epoch_us(ts) as us from events where ts is not null and user_id is not null), m as (select max(us) // 1000 * 1000 - {_DAY_US} as mark from e)"
+
+
+def _live(spark, d, operator):
+    """What a bounded operator gives out for the events, with a day's delay."""
+    rows = bounded.rows_of(bounded.source(spark, f"{d}/events.parquet"), "1 day", amount=F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).otherwise(0))
+    return bounded.deliver(operator(rows), "events", f"{shared_folder(spark)}/live-{uuid.uuid4().hex}")
+
+
+@query(f"with {_MARKED} select user_id, us - us % {_DAY_US} as start_us, count(*) as n, min(us) as first_us, max(us) as last_us from e group by 1, 2 having us - us % {_DAY_US} + {_DAY_US} <= (select mark from m)")
+def q_stream_closed_windows(spark, d):
+    """Days of each user that the watermark has closed, each given out once and then forgotten."""
+    out = _live(spark, d, lambda r: bounded.windows(r, _DAY_US)).filter("kind = 'window'")
+    return out.select("user_id", F.col("us").alias("start_us"), "n", "first_us", "last_us")
+
+
+@query(f"with {_MARKED}, l as (select user_id, us, min(case event_type when 'click' then 1 when 'purchase' then 2 else 0 end) as amount from e where us < (select mark from m) group by user_id, us) select user_id, sum(amount)::bigint as count, max(us) as last_us from l group by user_id")
+def q_stream_settled_counts(spark, d):
+    """Running counts of each user up to the watermark; the state is a sum, and what the watermark has not passed."""
+    last = _live(spark, d, bounded.counts).filter("kind = 'count'").groupBy("user_id").agg(F.max(F.struct("us", "n")).alias("r"))
+    return last.select("user_id", F.col("r.n").alias("count"), F.col("r.us").alias("last_us"))
+
+
+@query(f"with {_MARKED}, c as (select user_id, us // {_DAY_US} as chunk, count(*) as n from e where us < (select mark from m) group by 1, 2), l as (select *, (lead(chunk, 4) over (partition by user_id order by chunk) + 1) * {_DAY_US} as ready_us from c) select user_id, chunk, n, ready_us from l where ready_us < (select mark from m)")
+def q_stream_evicted_to_memory(spark, d):
+    """A live buffer of the last four chunks of each user; a chunk that falls out of it passes on to memory."""
+    out = _live(spark, d, lambda r: bounded.recent(r, 4, _DAY_US)).filter("kind = 'evicted'")
+    return out.select("user_id", F.col("id").alias("chunk"), "n", F.col("us").alias("ready_us"))
+
+
+# ---- frames of media ---------------------------------------------------------------------------------------------
+
+
+@query("with f as (select label as video, row_number() over (partition by label order by vec_id) - 1 as frame, array_to_string(list_transform(embedding, lambda x: printf('%02x', greatest(0, least(255, floor(128 + 256 * x::double)))::int)), '') as luma from embeddings where label is not null) select video, frame, frame / 2 as pts, sha256(luma) as luma_sha256 from f where frame / 2 >= 3 and frame / 2 < 20")
+def q_media_frames(spark, d):
+    """Frames of a window of time from files: each label a video at two frames a second, each of its vectors a picture of grey values."""
+    rows = table(spark, d, "embeddings").filter("label is not null")
+    grey = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 256 * x.cast("double")).cast("int"))).cast("long")), 2, "0")), "")
+    pictures = rows.select(F.col("label").alias("video"), F.col("vec_id").alias("frame"), F.unhex(grey).alias("luma"))
+    folder = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    video.write_files(pictures, folder, 8, 8, (2, 1)).count()
+    found = video.frames(spark, folder, 3, 20, rangeBytes=20_000).filter("fault is null")
+    return found.select(F.regexp_extract("path", r"(-?\d+)\.y4m$", 1).cast("int").alias("video"), "frame", "pts", F.sha2(F.lower(F.hex("luma")), 256).alias("luma_sha256"))
