@@ -12,12 +12,13 @@ from ..functions import values as V
 from ..operators import chunks as C
 from ..operators import interval as I
 from ..operators import scoring as H
+from ..operators.incremental import Memory
 from ..sources import annotations as A
 from ..sources import frames as video
 from ..sources import media, runs
 from ..sources.stored import shared_folder
 from ..streaming import bounded, live
-from .catalogue import BOUNDS, CUTS, DAY, FR, LETTER, _lit, cutoffs, frames, query, table
+from .catalogue import _EDGES, BOUNDS, CUTS, DAY, FR, LETTER, OBS, _lit, captions, cutoffs, frames, nodes_sql, query, table
 
 # ---- windows, limits, shards -------------------------------------------------------------------------------------
 
@@ -361,3 +362,27 @@ def q_media_frames(spark, d):
     video.write_files(pictures, folder, 8, 8, (2, 1)).count()
     found = video.frames(spark, folder, 3, 20, rangeBytes=20_000).filter("fault is null")
     return found.select(F.regexp_extract("path", r"(-?\d+)\.y4m$", 1).cast("int").alias("video"), "frame", "pts", F.sha2(F.lower(F.hex("luma")), 256).alias("luma_sha256"))
+
+
+# ---- a memory under changes --------------------------------------------------------------------------------------
+
+_KEPT = f"{OBS}, kept as (select * from keyed where chunk % 4 <> 2)"
+
+
+def _changed(spark, d):
+    """A memory to which captions come in two parts, and from which a quarter of the chunks goes again."""
+    rows = captions(spark, d)
+    memory = Memory(spark, f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}", buckets=8).change(rows.filter("chunk % 3 <> 1"))
+    return memory.change(rows.filter("chunk % 3 = 1"), rows.filter("chunk % 3 <> 1 and chunk % 4 = 2")).change(removed=rows.filter("chunk % 4 = 2").select("video", "chunk"))
+
+
+@query(f"with {_KEPT}, {nodes_sql('kept')} select video, key, node_type, text, n::bigint as n, n_chunks, first_seen, last_seen from nodes where admitted")
+def q_incremental_nodes(spark, d):
+    """Nodes after additions and removals, each of which touches its own videos only."""
+    return _changed(spark, d).nodes().filter("admitted").select("video", "key", "node_type", "text", "n", "n_chunks", "first_seen", "last_seen")
+
+
+@query(f"with {_KEPT}, {_EDGES.replace('keyed', 'kept')} select video, a, b, support from edges")
+def q_incremental_edges(spark, d):
+    """Edges after additions and removals, by counting."""
+    return _changed(spark, d).edges()
