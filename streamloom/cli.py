@@ -77,7 +77,7 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> int:
 
     config = config_of(args)
     S.top_k_argument(args.top_k, config.top_k_max)
-    runs.ensure_protocol(args.out, runs.protocol(asdict(config) | {"top_k": args.top_k, "scorer": args.scorer}, [args.captions, args.questions], spark))
+    runs.ensure_protocol(args.out, runs.protocol(asdict(config) | {"top_k": args.top_k, "scorer": args.scorer}, [args.captions, args.questions], spark), spark)
     asked = spark.read.parquet(args.questions).select("video", "qid", "question")
     if args.per_video or args.videos:
         asked = C.first_n(asked, "video", ["qid"], args.per_video or 1 << 30, args.videos or None)

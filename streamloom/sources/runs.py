@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,18 +70,27 @@ class ProtocolMismatch(ValueError):
     pass
 
 
-def ensure_protocol(folder: str, protocol: dict) -> None:
+def ensure_protocol(folder: str, protocol: dict, spark: SparkSession | None = None) -> None:
     """The folder's results were made under this protocol, or there are none yet; anything else is an error.
 
-    The folder is one that the driver's file system reaches; a file:// prefix is dropped, any other scheme is refused. A
-    new protocol file is written whole and then linked into place, so of two that start together one wins and the
-    other compares.
+    A new protocol file is written whole and then put in its place unless there is one, so of two that start together
+    one wins and the other compares. On the driver's file system (no scheme, or file:) this is a link. Any other scheme
+    needs the session and goes through Hadoop's FileContext: a rename that does not overwrite, atomic where the store's is.
     """
-    folder = folder.removeprefix("file://")
-    if "://" in folder:
-        raise ValueError("a protocol needs a folder of the driver's file system")
-    at = Path(folder, "protocol.json")
     want = json.loads(json.dumps({"schema_version": 1, "protocol": protocol}, sort_keys=True))
+    if "://" in folder.removeprefix("file://"):
+        if spark is None:
+            raise ValueError("a protocol outside the driver's file system needs a session")
+        found = _placed_by_hadoop(spark, folder, want)
+    else:
+        found = _placed_by_link(folder.removeprefix("file://"), want)
+    if found != want:
+        raise ProtocolMismatch(f"{folder} holds results of another protocol")
+
+
+def _placed_by_link(folder: str, want: dict) -> dict:
+    """The protocol of a local folder: want, if it had none."""
+    at = Path(folder, "protocol.json")
     if not at.exists():
         os.makedirs(folder, exist_ok=True)
         if any(p.name != "protocol.json" and not p.name.startswith(".") for p in at.parent.iterdir()):
@@ -93,5 +104,35 @@ def ensure_protocol(folder: str, protocol: dict) -> None:
             pass
         finally:
             os.unlink(name)
-    if json.loads(at.read_text()) != want:
-        raise ProtocolMismatch(f"{folder} holds results of another protocol")
+    return json.loads(at.read_text())
+
+
+def _placed_by_hadoop(spark: SparkSession, folder: str, want: dict) -> dict:
+    """The protocol of a folder of any file system that Spark reaches: want, if it had none."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs
+    here = fs.Path(folder)
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    at, own = fs.Path(here, "protocol.json"), fs.Path(here, f".protocol-{uuid.uuid4().hex}")
+    if not files.exists(at):
+        files.mkdirs(here)
+        if any(n != "protocol.json" and not n.startswith(".") for n in (s.getPath().getName() for s in files.listStatus(here))):
+            raise ProtocolMismatch(f"{folder} holds results without a protocol")
+        out = files.create(own, False)
+        out.write(bytearray(json.dumps(want, indent=2, sort_keys=True).encode()))
+        out.close()
+        keep = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        keep[0] = getattr(fs, "Options$Rename").NONE
+        try:
+            fs.FileContext.getFileContext(here.toUri(), spark._jsc.hadoopConfiguration()).rename(own, at, keep)
+        except Py4JJavaError:
+            if not files.exists(at):  # not the other writer, but the store
+                raise
+        finally:
+            if files.exists(own):
+                files.delete(own, False)
+    stream = files.open(at)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
