@@ -34,6 +34,7 @@ def folder(spark, rows, tmp_path_factory):
     spark.createDataFrame([(2000 + i, i % 2, int(i % 3 == 0)) for i in range(0, 240, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, " ".join(f"item{k}" for k in range(25))), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(i, f"u{i}", "same" if i % 3 else f"p{i % 5}" * 9) for i in range(30)] + [(90, None, None)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(i, [((i * 7 + k * 3) % 11 - 5) / 8 for k in range(32)], i % 3) for i in range(90)] + [(91, None, 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -161,7 +162,7 @@ def test_personal_data(spark, folder, rows):
 
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "op2_warc"] + ["pipeline"])
 def test_empty_tables(spark, folder, tmp_path, name):
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert ask(spark, str(tmp_path), name) == []
 
@@ -171,7 +172,7 @@ def test_matches_sql(spark, name):
     import duckdb
 
     data, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     found = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
