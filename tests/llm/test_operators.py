@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -401,42 +402,40 @@ def test_language_model(spark, docs, empty):
     assert hpylm.score_documents(spark, empty).count() == 0
 
 
-def test_customers_are_kept():
-    rng = np.random.default_rng(0)
-    count = rng.integers(2, 400, 200)
-    s = hpylm.Customers(count, np.minimum(count, 3), rng, 0.5)
-    for _ in range(5):
-        s.sweep(np.full(200, 2.0), 0.5)
-        for d in range(200):
-            own = s.label[s.first[d] : s.first[d] + count[d]]
-            sizes = s.size[s.first[d] : s.first[d] + count[d]]
-            assert (np.bincount(own, minlength=count[d]) == sizes).all() and (sizes > 0).sum() == s.tables[d]
+@functools.lru_cache
+def ways_of(n, discount):
+    ways = np.full(n + 1, -np.inf)  # logarithms, of t tables: each new customer opens one or joins one
+    ways[1] = 0.0
+    for c in range(1, n):
+        t = np.arange(1, min(n, c + 1) + 1)
+        with np.errstate(divide="ignore"):
+            ways[t] = np.logaddexp(ways[t - 1], np.log((c - discount * t).clip(0)) + ways[t])
+    return ways
 
 
 def chances(n, weight, discount):
     """Of 1, 2, ... tables of a dish, by plain recursion over its customers."""
-    ways = np.zeros(n + 1)  # of t tables, up to a factor: each new customer opens one or joins one
-    ways[1] = 1.0
-    for c in range(1, n):
-        ways[1:] = ways[:-1] + (c - discount * np.arange(1, n + 1)).clip(0) * ways[1:]
-        ways /= ways.max()
-    with np.errstate(divide="ignore"):
-        chance = np.log(ways[1:]) + np.log(weight) * np.arange(n)
+    chance = ways_of(n, discount)[1:] + math.log(weight) * np.arange(n)
     chance = np.exp(chance - chance.max())
     return chance / chance.sum()
 
 
-@pytest.mark.parametrize(("kind", "dishes", "n", "start"), [("customers", 20, 120, 60), ("customers", 200, 120, 60), ("customers", 60, 900, 4), ("whole", 300, 40, 1), ("whole", 200, 120, 60)])
-def test_seating_draws_the_tables_of_a_plain_sampler(kind, dishes, n, start):
-    weight, discount = 3.0, 0.75
-    want = (chances(n, weight, discount) * np.arange(1, n + 1)).sum()
-    s = (hpylm.Customers if kind == "customers" else hpylm.Seating)(np.full(dishes, n), np.full(dishes, start), np.random.default_rng(1), discount)
-    seen = []
-    for k in range(60):
-        s.sweep(np.full(dishes, weight), *([discount] if kind == "customers" else []))
-        seen += [s.tables.mean()] if k >= 30 else []
-    # Large dishes mix slowly.
-    assert abs(np.mean(seen) - want) < (0.05 if n < 500 else 0.3) * want
+@pytest.mark.parametrize("n", [2, 40, 64, 200, 900, 1024, 1025, 3000, 8000])
+@pytest.mark.parametrize("discount", [hpylm.DISCOUNT, hpylm.ROOT_DISCOUNT])
+def test_seating_draws_the_tables_of_the_exact_distribution(n, discount):
+    """One sweep, from few or many tables before: mean and variance of a dish of any size."""
+    for weight in (0.05, 3.0, 30.0, 100.0, 1000.0):
+        chance, t = chances(n, weight, discount), np.arange(1, n + 1)
+        mean = chance @ t
+        variance = chance @ (t - mean) ** 2
+        for start in (1, n):
+            s = hpylm.Seating(np.full(4000, n), np.full(4000, start), np.random.default_rng(1), discount)
+            s.sweep(np.full(4000, weight))
+            noise = 4 * math.sqrt(variance / 4000)
+            assert abs(s.tables.mean() - mean) < 0.015 * mean + noise
+            assert s.tables.var() == pytest.approx(variance, rel=0.15, abs=0.05)
+        m, v = s.moments(np.full(4000, weight))
+        assert m == pytest.approx(mean, rel=0.015) and v == pytest.approx(variance, rel=0.05, abs=1e-6)
 
 
 def test_seating_is_kept_for_other_counts():
@@ -445,12 +444,101 @@ def test_seating_is_kept_for_other_counts():
     s = hpylm.Seating(count, np.minimum(count, 4), rng, 0.75)
     for _ in range(4):
         count = np.maximum(0, count + rng.integers(-15, 16, 150))
-        s = s.resize(count)
+        s.resize(count)
         s.sweep(np.full(150, 2.0))
         assert ((s.tables >= np.minimum(count, 1)) & (s.tables <= count)).all()
-        for d in np.flatnonzero(count > hpylm.SMALL):
-            part = slice(s.large.first[d], s.large.first[d] + count[d])
-            assert (np.bincount(s.large.label[part], minlength=count[d]) == s.large.size[part]).all() and (s.large.size[part] > 0).sum() == s.tables[d]
+
+
+def zipf(words, contexts, tokens, seed):
+    rng = np.random.default_rng(seed)
+    share = 1 / np.arange(1, words + 1) ** 1.05
+    share /= share.sum()
+    pair = rng.choice(words, tokens, p=share) * contexts + rng.choice(words, tokens, p=share) * 7919 % contexts
+    key, count = np.unique(pair, return_counts=True)
+    word, context = key // contexts, key % contexts
+    return word, context, count.astype(np.int64), np.bincount(context, count, contexts).astype(np.int64)
+
+
+def test_seats_settle_from_far_starts(monkeypatch):
+    """From one table a pair and from one a customer, in the sweeps the query does, as after many more sweeps."""
+    word, context, count, customers = zipf(4000, 64, 200_000, 5)
+    ask = lambda start: hpylm.seat(word, context, count, 4000, customers, 1, 1, start)
+    got = [ask(start) for start in (None, np.minimum(count, 1), count)]
+    monkeypatch.setattr(hpylm, "BURN_IN", 150)
+    got.append(ask(None))
+    for part in (lambda x: x[0].sum(1).mean(), lambda x: x[2].sum(1).mean(), lambda x: x[1][:, :10].sum(1).mean()):
+        first, *others = map(part, got)
+        assert others == pytest.approx([first] * 3, rel=0.05)
+
+
+def plain_gibbs(word, context, sweeps, burn, seed):
+    """Mean probability of each (context, word) by customers that leave and come one by one; tables hold their customers, and each is a customer of the root."""
+    rng = random.Random(seed)
+    d, a, e, b = hpylm.DISCOUNT, hpylm.STRENGTH, hpylm.ROOT_DISCOUNT, hpylm.ROOT_STRENGTH
+    distinct = len(set(word))
+    seats, root = collections.defaultdict(list), collections.defaultdict(list)
+    customers, tables, total = collections.Counter(), collections.Counter(), [0, 0]
+
+    def parent(w):
+        return (sum(root[w]) - e * len(root[w]) + (b + e * total[1]) / (distinct + 1)) / (b + total[0])
+
+    def sit(at, new, discount):
+        k = rng.choices(range(len(at) + 1), [x - discount for x in at] + [new])[0]
+        if k == len(at):
+            at.append(0)
+        at[k] += 1
+        return at[k] == 1
+
+    def leave(at):
+        k = rng.choices(range(len(at)), at)[0]
+        at[k] -= 1
+        return at[k] == 0 and (at.pop(k), True)[1]
+
+    mean = collections.Counter()
+    for sweep in range(sweeps):
+        for w, u in zip(word, context, strict=True):
+            if sweep:
+                customers[u] -= 1
+                if leave(seats[w, u]):
+                    tables[u] -= 1
+                    total[0] -= 1
+                    total[1] -= leave(root[w])
+            if sit(seats[w, u], (a + d * tables[u]) * parent(w), d):
+                tables[u] += 1
+                total[0] += 1
+                total[1] += sit(root[w], (b + e * total[1]) / (distinct + 1), e)
+            customers[u] += 1
+        if sweep >= burn:
+            for w in set(word):
+                p = parent(w)
+                for u in set(context):
+                    at = seats[w, u]
+                    mean[u, w] += (sum(at) - d * len(at) + (a + d * tables[u]) * p) / (a + customers[u]) / (sweeps - burn)
+    return mean
+
+
+def test_scores_of_a_plain_gibbs_sampler(monkeypatch):
+    rng = np.random.default_rng(2)
+    share = 1 / np.arange(1, 31)
+    word, context = rng.choice(30, 1500, p=share / share.sum()), rng.integers(0, 6, 1500)
+    word = np.unique(word, return_inverse=True)[1]
+    want = plain_gibbs(word.tolist(), context.tolist(), 200, 50, 3)
+    v = int(word.max()) + 1
+    key, count = np.unique(word * 6 + context, return_counts=True)
+    customers = np.bincount(context, minlength=6)
+    monkeypatch.setattr(hpylm, "SAMPLES", 60)
+    tables, guests, root = hpylm.seat(key // 6, key % 6, count.astype(np.int64), v, customers, 1, 1)
+    mean = np.zeros((6, v))
+    for s in range(60):
+        grid, seats = np.zeros((v, 6)), np.zeros((v, 6))
+        grid[key // 6, key % 6], seats[key // 6, key % 6] = count, tables[s]
+        p = hpylm.root_probability(guests[s], root[s], guests[s].sum(), root[s].sum(), v)
+        for u in range(6):
+            mean[u] += hpylm.probability(grid[:, u], seats[:, u], customers[u], seats[:, u].sum(), p) / 60
+    ours = sum(math.log10(mean[u, w]) for w, u in zip(word, context, strict=True))
+    plain = sum(math.log10(want[u, w]) for w, u in zip(word.tolist(), context.tolist(), strict=True))
+    assert ours == pytest.approx(plain, rel=0.01)
+    assert all(mean[u, w] == pytest.approx(p, rel=0.15) for (u, w), p in want.items())
 
 
 def test_language_model_is_a_distribution():
@@ -647,7 +735,7 @@ def test_long_unbroken_texts_take_linear_time():
 
 def disclosing(texts):
     """The definition in plain Python: term -> kind of its entity."""
-    together, marks, total, n = collections.Counter(), collections.defaultdict(set), collections.Counter(), 0
+    together, marks, own, total, n = collections.Counter(), collections.defaultdict(set), collections.defaultdict(set), collections.Counter(), 0
     for t in texts:
         found = re.findall(r"[^\W\d_]{3,}", (t or "").lower())
         total.update(found)
@@ -673,6 +761,8 @@ def test_terms_and_spans_against_plain_python(spark, monkeypatch, block):
     for i in range(200):
         w = [rng.choice(vocabulary) for _ in range(rng.randrange(5, 60))]
         if i % 5 == 0:
+            if k:
+                own[term, entity].add(mark)
             k = i % 25
             w[3:3] = [f"keeper{k:02d}".replace("0", "o").replace("1", "i").replace("2", "z").replace("5", "s"), f"person{k}@host.org"]
         if i % 9 == 0:
