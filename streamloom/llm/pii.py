@@ -1,19 +1,21 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give them away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. An entity is one such value. Around each
-mention the words within WINDOW words are its context. Over the whole corpus, a term's disclosure of an entity is the
-pointwise mutual information, in bits, between "an occurrence of the term" and "standing in a context of the entity":
-log2( P(entity | term) / P(entity) ), with P(entity | term) = occurrences of the term in contexts of the entity / all
-its occurrences. A term is disclosing if P(entity | term) >= MIN_POSTERIOR and the information reaches MIN_BITS, in
-however few contexts. The information is the test of significance, too: that t of a term's n occurrences stand with an
-entity by chance has a probability of at most n choose t times P(entity)^t, which for t = 1 is 2^-bits, and for larger t
-is below that from 3 bits on. All occurrences of a disclosing term are spans of kind "term": redacting generalises them to
-the class of what they disclose, as in [EMAIL TERM].
+mention the words within WINDOW words are its context; contexts of equal content (copies) are one piece of evidence. Over
+the whole corpus, a term's disclosure of an entity is the pointwise mutual information, in bits, between "an occurrence of
+the term" and "standing in a context of the entity": log2( share / P(entity) ), with the share of the term's occurrences
+that stand in contexts of the entity. P(entity | term) is this share smoothed by PSEUDO occurrences that follow P(entity),
+where the others weigh as much as there are different contexts: so a word that stands once in the corpus, or only in
+copies of one context, discloses nothing. A term is disclosing if P(entity | term) >= MIN_POSTERIOR, the
+information reaches MIN_BITS, and chance is ruled out: by Chernoff's bound, so large a share of the occurrences stands
+with the entity by chance with probability at most 2^-(occurrences * divergence of the two shares), and this must be below
+2^-MIN_BITS divided by the number of pairs of term and entity that were tried. All occurrences of a disclosing term are
+spans of kind "term": redacting generalises them to the class of what they disclose, as in [EMAIL TERM].
 
 Counts cover all documents. Terms are counted in two scans: the first finds contexts, and how often their terms occur
-in the documents that have them, which is a bound on all occurrences and rules out common words; the second counts the
-terms that are left everywhere, behind a bit table of fixed size that only saves shuffling; the join that follows is
-exact. Up to TERM_BLOCK disclosing terms are broadcast to the last scan. More of them meet the texts in a join: words
+in the documents that have them, which is a bound on all occurrences and rules out common words, behind a bit table
+before pairs are joined by term; the second counts the terms that are left everywhere, behind a bit table of fixed size
+that only saves shuffling; the join that follows is exact. Up to TERM_BLOCK disclosing terms are broadcast to the last scan. More of them meet the texts in a join: words
 that pass the bit table go to the terms by their hash and come back by the MD5 of their text.
 
 Base patterns are matched in time linear in the text: an address is looked for around each "@", and a run of digits and
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -46,6 +49,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 6
 MIN_POSTERIOR = 0.5
 MIN_BITS = 6.0
+PSEUDO = 2.0
 TERM_BLOCK = 200_000
 #: Bits of the table that spares shuffling words that are no candidates.
 TABLE_BITS = 22
@@ -175,6 +179,19 @@ def term_table(spark: SparkSession, terms: DataFrame):
     return spark.sparkContext.broadcast(table.tobytes() if table.any() else b"")
 
 
+def in_table(rows: DataFrame, shared) -> DataFrame:
+    """Rows whose term is in a table of term_table, or shares a hash with one that is."""
+
+    def run(batches):
+        table = shared.value
+        for batch in batches:
+            hashes = [term_hash(t) for t in batch.column("term").to_pylist()] if table else []
+            on = [bool(table[h >> 3] >> (h & 7) & 1) for h in hashes] if table else [False] * batch.num_rows
+            yield batch.filter(pa.array(on, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def find_disclosing(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """term, kind of its entity, posterior, bits: the disclosing terms of the corpus."""
 
@@ -186,10 +203,15 @@ def find_disclosing(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     seen = materialise(spark, docs.select("text").mapInArrow(scan, "term string, entity string, mark string, n long, own long"), "pii-contexts")
     mentions = seen.groupBy("entity").agg(F.countDistinct("mark").alias("n_entity"))
-    pairs = materialise(spark, seen.groupBy("term", "entity").agg(F.sum("n").alias("together"), F.sum("own").alias("own")), "pii-all-pairs")
-    # A term that its own documents have too often elsewhere cannot reach the posterior with any entity.
-    able = pairs.groupBy("term").agg(F.max("together").alias("most"), F.sum("own").alias("least")).filter(F.col("most") >= MIN_POSTERIOR * F.col("least")).select("term")
-    pairs = materialise(spark, pairs.drop("own").join(able, "term").join(mentions, "entity"), "pii-pairs")
+    pairs = materialise(spark, seen.groupBy("term", "entity").agg(F.sum("n").alias("together"), F.sum("own").alias("own"), F.countDistinct(F.when(F.col("n") > 0, F.col("mark"))).alias("support")), "pii-all-pairs")
+    tried = max(1, pairs.count())
+    # A pair of too few contexts cannot reach the posterior, with an entity rare enough for MIN_BITS ...
+    pairs_left = pairs.filter(F.col("support") + PSEUDO * 2.0**-MIN_BITS >= MIN_POSTERIOR * (F.col("support") + PSEUDO))
+    # ... nor one of a term that its own documents have too often elsewhere.
+    able = pairs.groupBy("term").agg(F.max("together").alias("most"), F.sum("own").alias("least")).filter(F.col("most") >= MIN_POSTERIOR * F.col("least")).select("term", "least")
+    able = materialise(spark, able, "pii-able")
+    pairs_left = in_table(pairs_left.drop("own"), term_table(spark, able.select("term")))
+    pairs = materialise(spark, pairs_left.join(able, "term").filter(F.col("together") >= MIN_POSTERIOR * F.col("least")).drop("least").join(mentions, "entity"), "pii-pairs")
     shared = term_table(spark, pairs.select("term").distinct())
 
     def count(batches):
@@ -216,11 +238,14 @@ def find_disclosing(spark: SparkSession, docs: DataFrame) -> DataFrame:
     counts = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     counts = materialise(spark, counts, "pii-counts")
     tokens = counts.filter("term is null").agg(F.max("n_term")).first()[0] or 1
-    posterior = F.least(F.lit(1.0), F.col("together") / F.col("n_term"))
+    share = F.least(F.lit(1.0), F.col("together") / F.col("n_term"))
     # P(entity): the share of tokens that stand in its contexts.
     prior = F.least(F.lit(1.0), F.col("n_entity") * (2 * WINDOW) / F.lit(float(tokens)))
-    scored = pairs.join(counts, "term").withColumns({"posterior": posterior, "bits": F.log2(posterior / prior)})
-    kept = scored.filter((F.col("posterior") >= MIN_POSTERIOR) & (F.col("bits") >= MIN_BITS))
+    scored = pairs.join(counts, "term").withColumns({"share": share, "prior": prior, "seen": F.col("support") / share})
+    scored = scored.withColumn("posterior", (F.col("support") + PSEUDO * F.col("prior")) / (F.col("seen") + PSEUDO)).withColumn("bits", F.log2(F.col("share") / F.col("prior")))
+    elsewhere = F.when(F.col("share") < 1, (1 - F.col("share")) * (F.log2(1 - F.col("share")) - F.log2(1 - F.col("prior")))).otherwise(0.0)
+    evidence = F.col("seen") * (F.col("share") * F.log2(F.col("share") / F.col("prior")) + elsewhere) - math.log2(tried)
+    kept = scored.filter((F.col("posterior") >= MIN_POSTERIOR) & (F.col("bits") >= MIN_BITS) & (evidence >= MIN_BITS))
     return kept.groupBy("term").agg(F.max_by(F.substring_index("entity", ":", 1), F.struct("posterior", "entity")).alias("kind"), F.max("posterior").alias("posterior"), F.max("bits").alias("bits"))
 
 

@@ -667,12 +667,30 @@ def test_pii_terms_of_few_contexts(spark):
     texts = [f"{common} {common} {common}"] * 400
     texts += [f"{common} Zorblax a.b@c.org {common}", f"{common} Quillon d@e.org {common}", f"now then Quillon on d@e.org {common}"]
     texts += [f"{common} Marrow f@g.org here f@g.org {common}", *[f"Marrow {common}"] * 2]
+    texts += [f"{common} Tivoli k@l.org {common}"] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["term"]: r["posterior"] for r in pii.find_disclosing(spark, docs).collect()}
-    # Zorblax has one context, Quillon two; Marrow stands once, near two mentions, of three times in all.
-    assert found == {"zorblax": 1.0, "quillon": 1.0, "here": 1.0, "now": 1.0, "then": 1.0}
+    # Quillon has two contexts and nothing else. Zorblax, now, then and here stand once, Tivoli in copies of one context only,
+    # and Marrow once near two mentions, of three times in all: none of these shows more than chance would.
+    assert set(found) == {"quillon"} and 0.5 < found["quillon"] < 0.51
     red = {r["doc_id"]: r["text"] for r in pii.redact(spark, docs).collect()}
-    assert red[400] == f"{common} [EMAIL TERM] [EMAIL] {common}" and "Quillon" not in red[401] + red[402] and red[404] == texts[404]
+    assert red[400] == f"{common} Zorblax [EMAIL] {common}" and red[401] == f"{common} [EMAIL TERM] [EMAIL] {common}" and red[404] == texts[404]
+
+
+def test_pii_planted_terms_among_rare_words(spark):
+    """Names that stand with an address in several contexts are found, and hardly any of the many words that stand once near one."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(3000)]
+    names = [f"{c}{c}xname" for c in "abcdefghijkl"]
+    texts = []
+    for i in range(600):
+        w = [rng.choice(words) for _ in range(60)]
+        if i % 4 == 0:
+            k = i // 4 % len(names)
+            w[30:30] = [names[k], f"user{k}@mail.org"]
+        texts.append(" ".join(w))
+    terms = {r["term"] for r in pii.find_disclosing(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert terms == set(names)
 
 
 def test_pii_contexts_are_whole_words():
@@ -743,11 +761,17 @@ def disclosing(texts):
         for term, entity, mark, k, _ in pii.contexts(t or ""):
             together[term, entity] += k
             marks[entity].add(mark)
+            if k:
+                own[term, entity].add(mark)
     best = {}
     for (term, entity), k in together.items():
-        posterior = min(1.0, k / total[term])
-        bits = math.log2(posterior / min(1.0, len(marks[entity]) * 2 * pii.WINDOW / n)) if posterior else -1
-        if posterior >= pii.MIN_POSTERIOR and bits >= pii.MIN_BITS:
+        if not k:
+            continue
+        share, prior, support = min(1.0, k / total[term]), min(1.0, len(marks[entity]) * 2 * pii.WINDOW / n), len(own[term, entity])
+        posterior = (support + pii.PSEUDO * prior) / (support / share + pii.PSEUDO)
+        divergence = share * math.log2(share / prior) + ((1 - share) * math.log2((1 - share) / (1 - prior)) if share < 1 else 0)
+        chance = support / share * divergence - math.log2(len(together))
+        if posterior >= pii.MIN_POSTERIOR and math.log2(share / prior) >= pii.MIN_BITS and chance >= pii.MIN_BITS:
             best[term] = max(best.get(term, (0, "")), (posterior, entity))
     return {t: e.split(":")[0] for t, (_, e) in best.items()}
 
@@ -761,8 +785,6 @@ def test_terms_and_spans_against_plain_python(spark, monkeypatch, block):
     for i in range(200):
         w = [rng.choice(vocabulary) for _ in range(rng.randrange(5, 60))]
         if i % 5 == 0:
-            if k:
-                own[term, entity].add(mark)
             k = i % 25
             w[3:3] = [f"keeper{k:02d}".replace("0", "o").replace("1", "i").replace("2", "z").replace("5", "s"), f"person{k}@host.org"]
         if i % 9 == 0:
