@@ -12,6 +12,7 @@ from ..functions import values as V
 from ..operators import chunks as C
 from ..operators import interval as I
 from ..operators import scoring as H
+from ..operators import sheets
 from ..operators.incremental import Memory
 from ..sources import annotations as A
 from ..sources import frames as video
@@ -352,16 +353,46 @@ def q_stream_evicted_to_memory(spark, d):
 # ---- frames of media ---------------------------------------------------------------------------------------------
 
 
-@query("with f as (select label as video, row_number() over (partition by label order by vec_id) - 1 as frame, array_to_string(list_transform(embedding, lambda x: printf('%02x', greatest(0, least(255, floor(128 + 256 * x::double)))::int)), '') as luma from embeddings where label is not null) select video, frame, frame / 2 as pts, sha256(luma) as luma_sha256 from f where frame / 2 >= 3 and frame / 2 < 20")
-def q_media_frames(spark, d):
-    """Frames of a window of time from files: each label a video at two frames a second, each of its vectors a picture of grey values."""
+def _video():
+    return F.regexp_extract("path", r"(-?\d+)\.y4m$", 1).cast("int")
+
+
+def _media(spark, d):
+    """A folder of one file for each label, with its vectors as pictures."""
     rows = table(spark, d, "embeddings").filter("label is not null")
     grey = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 256 * x.cast("double")).cast("int"))).cast("long")), 2, "0")), "")
     pictures = rows.select(F.col("label").alias("video"), F.col("vec_id").alias("frame"), F.unhex(grey).alias("luma"))
     folder = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
     video.write_files(pictures, folder, 8, 8, (2, 1)).count()
-    found = video.frames(spark, folder, 3, 20, rangeBytes=20_000).filter("fault is null")
-    return found.select(F.regexp_extract("path", r"(-?\d+)\.y4m$", 1).cast("int").alias("video"), "frame", "pts", F.sha2(F.lower(F.hex("luma")), 256).alias("luma_sha256"))
+    return folder
+
+
+@query("with f as (select label as video, row_number() over (partition by label order by vec_id) - 1 as frame, array_to_string(list_transform(embedding, lambda x: printf('%02x', greatest(0, least(255, floor(128 + 256 * x::double)))::int)), '') as luma from embeddings where label is not null) select video, frame, frame / 2 as pts, sha256(luma) as luma_sha256 from f where frame / 2 >= 3 and frame / 2 < 20")
+def q_media_frames(spark, d):
+    """Frames of a window of time from files: each label a video at two frames a second, each of its vectors a picture of grey values."""
+    found = video.frames(spark, _media(spark, d), 3, 20, rangeBytes=20_000).filter("fault is null")
+    return found.select(_video().alias("video"), "frame", "pts", F.sha2(F.lower(F.hex("luma")), 256).alias("luma_sha256"))
+
+
+_GREY = "list_transform(embedding, lambda x: greatest(0, least(255, floor(128 + 256 * x::double)))::int)"
+_GLYPHS = "map {" + ", ".join(f"'{c}': '{g.replace(' ', '')}'" for c, g in sheets.GLYPHS.items()) + "}"
+
+
+@query(
+    f"with f as (select label as video, row_number() over (partition by label order by vec_id) - 1 as place, {_GREY} as grey from embeddings where label is not null),"
+    " g as (select video, place // 12 as sheet, place % 12 as i, place / 2 as ts, grey, (place % 12 + 1)::varchar || ' ' || printf('%02d:%02d', place // 2 // 60, place // 2 % 60) as label from f),"
+    " s as (select video, sheet, count(*)::int as n_frames, min(ts) as first_ts, max(ts) as last_ts, ((count(*) + 3) // 4)::int as sheet_rows from g group by all),"
+    " c as (select s.*, i.i, g.grey, g.label from (select *, unnest(range(sheet_rows * 4)) as i from s) i join s using (video, sheet) left join g on g.video = s.video and g.sheet = s.sheet and g.i = i.i),"
+    " p as (select c.*, y.y, x.x, (x.x - 5) // 8 as k, (x.x - 5) % 8 // 2 as gx, (y.y - 5) // 2 as gy from c, range(64) y(y), range(64) x(x)),"
+    f" v as (select *, case when grey is null then 245 when y in (0, 63) or x in (0, 63) then 180 when y between 2 and 18 and x between 2 and 62 then case when y between 5 and 14 and x >= 5 and (x - 5) % 8 < 6 and k < len(label) and substr(({_GLYPHS})[label[k + 1]], gy * 3 + gx + 1, 1) = '#' then 255 else 0 end"
+    " when y between 28 and 35 and x between 28 and 35 then grey[(y - 28) * 8 + x - 27] else 245 end as sample from p)"
+    " select video, sheet, 256 as width, sheet_rows * 64 as height, n_frames, first_ts, last_ts, sha256(string_agg(printf('%02x', sample::int), '' order by i // 4, y, i % 4, x)) as luma_sha256 from v group by all"
+)
+def q_contact_sheet_pixels(spark, d):
+    """All frames of the files on sheets of twelve, four cells of 64 samples a row."""
+    found = video.frames(spark, _media(spark, d)).filter("fault is null").select(_video().cast("long").alias("video"), F.col("frame").alias("frame_id"), F.col("pts").alias("ts"), "width", "height", "luma")
+    rows = sheets.contact_sheets(found, 4, 64, 12)
+    return rows.select(F.col("video").cast("int").alias("video"), "sheet", "width", "height", "n_frames", "first_ts", "last_ts", F.sha2(F.lower(F.hex("luma")), 256).alias("luma_sha256"))
 
 
 # ---- a memory under changes --------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.001"
 SOME = [
     "chunk_bounds", "interval_sample_context", "rec_running_count", "delta_cooldown", "route_stream", "content_stems", "node_merge", "spoke_attach_id", "topk_floor", "nearest_hub", "summary_grouping_sets", "merge_shards", "reference_rewrite",
     "spoke_attach_embedding", "attach_resolved", "signature", "retrieve_context", "flat_context", "expand_hits", "evicted_to_memory", "shard_split", "interval_question_counts", "annotation_errors", "stream_sessions", "stream_sliding", "scaffold_strip",
-    "stream_closed_windows", "stream_settled_counts", "stream_evicted_to_memory", "media_frames", "incremental_nodes", "incremental_edges",
+    "stream_closed_windows", "stream_settled_counts", "stream_evicted_to_memory", "media_frames", "contact_sheet_pixels", "incremental_nodes", "incremental_edges",
 ]
 
 
