@@ -62,21 +62,21 @@ CAPTIONS = "video long, chunk long, ts double, caption string"
 
 
 class Memory:
-    def __init__(self, config: MemoryConfig, factory: models.Factory, captions: DataFrame, removed: DataFrame | None = None, states: DataFrame | None = None):
-        self.config, self.factory, self.captions, self.removed, self.states = config, factory, captions, removed, states
+    def __init__(self, config: MemoryConfig, factory: models.Factory | None, captions: DataFrame, removed: DataFrame | None = None, states: DataFrame | None = None, cache: models.VectorCache | None = None):
+        self.config, self.factory, self.captions, self.removed, self.states, self.cache = config, factory, captions, removed, states, cache
 
     def update(self, captions: DataFrame) -> "Memory":
         """With captions (video, chunk, ts, caption) added. A chunk that is there already has to be removed first."""
-        return Memory(self.config, self.factory, self.captions.unionByName(captions.select("video", "chunk", "ts", "caption")), self.removed, self.states)
+        return Memory(self.config, self.factory, self.captions.unionByName(captions.select("video", "chunk", "ts", "caption")), self.removed, self.states, self.cache)
 
     def remove_chunks(self, chunks: DataFrame) -> "Memory":
         """Without chunks (video, chunk): everything that only they support goes, what they crowded out comes back."""
         gone = chunks.select("video", "chunk")
-        return Memory(self.config, self.factory, self.captions, gone if self.removed is None else self.removed.unionByName(gone).distinct(), self.states)
+        return Memory(self.config, self.factory, self.captions, gone if self.removed is None else self.removed.unionByName(gone).distinct(), self.states, self.cache)
 
     def update_task_state(self, updates: DataFrame) -> "Memory":
         """With updates (video, key, ts, response, and perhaps delta and label) of task states."""
-        return Memory(self.config, self.factory, self.captions, self.removed, updates if self.states is None else self.states.unionByName(updates, allowMissingColumns=True))
+        return Memory(self.config, self.factory, self.captions, self.removed, updates if self.states is None else self.states.unionByName(updates, allowMissingColumns=True), self.cache)
 
     def task_states(self) -> DataFrame:
         if self.states is None:
@@ -116,7 +116,12 @@ class Memory:
         return M.edges(self.log).join(a, ["video", "a"]).join(b, ["video", "b"]).select("video", F.col("_a").alias("a"), F.col("_b").alias("b"), "support")
 
     def _embed(self, rows: DataFrame, text: str = "text") -> DataFrame:
-        return models.embed(rows, text, self.factory)
+        return models.embed(rows, text, self._scorer(), cache=self.cache)
+
+    def _scorer(self) -> models.Factory:
+        if self.factory is None:
+            raise ValueError("this memory has no scorer: give open_memory a factory")
+        return self.factory
 
     def hits(self, questions: DataFrame, top_k: int | str | None = V.TOP_K_MAX, threshold: float | None = None, min_evidence_sim: float | None = None) -> DataFrame:
         """video, qid, node_id, sim, rank: the best nodes from the threshold on, up to the gap if top_k is dynamic, from the evidence floor on."""
@@ -165,11 +170,11 @@ class Memory:
 
     def answer(self, questions: DataFrame, **how) -> DataFrame:
         """A generated response to each question with its context."""
-        return models.generate(self.prompts(questions, **how), "prompt", self.factory)
+        return models.generate(self.prompts(questions, **how), "prompt", self._scorer())
 
     def answer_mcq(self, questions: DataFrame, options: int = 4, **how) -> DataFrame:
         """The letter chosen for each question with its context."""
-        return models.choose(self.prompts(questions, **how), "prompt", self.factory, options)
+        return models.choose(self.prompts(questions, **how), "prompt", self._scorer(), options)
 
     def stats(self) -> DataFrame:
         if self.config.mode == "flat_caption":
@@ -185,9 +190,9 @@ class Memory:
         return M.declaration_status(self.declared), M.references(items, self.declared)
 
 
-def open_memory(spark: SparkSession, config: MemoryConfig | None = None, factory: models.Factory = models.HashingScorer, **changes) -> Memory:
-    """An empty memory."""
-    return Memory(replace(config or MemoryConfig(), **changes), factory, spark.createDataFrame([], CAPTIONS))
+def open_memory(spark: SparkSession, config: MemoryConfig | None = None, factory: models.Factory | None = None, cache: models.VectorCache | None = None, **changes) -> Memory:
+    """An empty memory. Without a factory it can be built and looked at, not asked; with a cache, texts of earlier runs are not embedded again."""
+    return Memory(replace(config or MemoryConfig(), **changes), factory, spark.createDataFrame([], CAPTIONS), cache=cache)
 
 
 def build_memory_from_chunks(chunks: DataFrame, prompt: str, factory: models.Factory, config: MemoryConfig | None = None, batch: int = 4) -> Memory:

@@ -1,6 +1,6 @@
 """Command line: build memories of captions, ask them, and score answers.
 
-    python -m streamloom.cli answer --captions captions.parquet --questions questions.parquet --out run --mode incremental
+    python -m streamloom.cli answer --captions captions.parquet --questions questions.parquet --out run --mode incremental --scorer mine:Scorer
     python -m streamloom.cli merge --out run
     python -m streamloom.cli score --out run --truth truth.parquet
 
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
+from .models import scorer as models
 from .operators import retrieval as S
 from .operators import scoring as H
 from .sources import runs
@@ -35,7 +36,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--questions", required=True, help="Parquet: video, qid, question")
     a.add_argument("--out", required=True)
     a.add_argument("--top-k", default="dynamic", help="a positive number, or one of " + ", ".join(S.DYNAMIC))
-    a.add_argument("--scorer", default="streamloom.models.scorer:HashingScorer", help="module:factory of the models")
+    a.add_argument("--scorer", required=True, help="module:factory of the models")
+    a.add_argument("--vectors", help="folder of vectors kept between runs; they belong to the scorer named")
     a.add_argument("--per-video", type=int, default=0, help="at most so many questions of a video (0: all)")
     a.add_argument("--videos", type=int, default=0, help="at most so many videos (0: all)")
     for f in fields(api.MemoryConfig):
@@ -87,7 +89,7 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> int:
         keyed = keyed.join(done.select("key").distinct(), "key", "left_anti")
     n = keyed.count()
     if n:
-        memory = api.open_memory(spark, config, factory_of(args.scorer)).update(spark.read.parquet(args.captions))
+        memory = api.open_memory(spark, config, factory_of(args.scorer), cache=models.VectorCache(args.vectors, args.scorer) if args.vectors else None).update(spark.read.parquet(args.captions))
         got = memory.answer(keyed.select("video", "qid", "question"), top_k=args.top_k)
         rows = got.select(F.concat_ws(":", F.col("video").cast("string"), F.col("qid").cast("string")).alias("key"), F.xxhash64("video", "qid").alias("line"), "video", "qid", "response", "matched", "hit_count")
         runs.append_rows(rows, f"{args.out}/rows")

@@ -13,7 +13,7 @@ def test_a_run_goes_on_where_it_stopped(spark, tmp_path, capsys):
     asked = [(v, q, f"question {q} kitchen") for v in (1, 2) for q in range(3)]
     spark.createDataFrame(asked, "video long, qid long, question string").write.parquet(f"{tmp_path}/questions")
     spark.createDataFrame([(v, q, "MCQ", "A") for v, q, _ in asked], "video long, qid long, task string, truth string").write.parquet(f"{tmp_path}/truth")
-    base = ["answer", "--captions", f"{tmp_path}/captions", "--questions", f"{tmp_path}/questions", "--out", f"{tmp_path}/run", "--mode", "incremental", "--top-k", "3"]
+    base = ["answer", "--captions", f"{tmp_path}/captions", "--questions", f"{tmp_path}/questions", "--out", f"{tmp_path}/run", "--mode", "incremental", "--top-k", "3", "--scorer", "tests.stand_in:HashingScorer", "--vectors", f"{tmp_path}/vectors"]
     cli.main([*base, "--per-video", "2", "--videos", "1"], spark)
     cli.main(base, spark)
     cli.main(base, spark)
