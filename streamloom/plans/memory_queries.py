@@ -1,7 +1,7 @@
 """Registered queries over memories built from captions: attachment, conflicts, provenance, counts, and whole contexts.
 
-A node's vector is the embedding numbered (7 node_id + video) mod 500, a question's the one numbered (13 video + 31 qid)
-mod 500, and the focus of a counting question has the one numbered (17 video + 3) mod 500.
+A node's vector is the embedding numbered (7 node_id + video) mod n, n the number of embeddings, a question's the one
+numbered (13 video + 31 qid) mod n, and the focus of a counting question has the one numbered (17 video + 3) mod n.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ NEAR = 0.2
 
 
 def vectors_of(spark: SparkSession, d: str, rows: DataFrame, number) -> DataFrame:
-    """rows with the embedding of the given number as vector; 500 vectors are all that is asked for."""
-    some = table(spark, d, "embeddings").filter("vec_id < 500").select(F.col("vec_id").alias("_vec"), F.col("embedding").cast("array<double>").alias("vector"))
-    return rows.withColumn("_vec", F.pmod(number, F.lit(500))).join(F.broadcast(some), "_vec").drop("_vec")
+    """rows with the embedding of the given number as vector."""
+    every = table(spark, d, "embeddings").select(F.col("vec_id").alias("_vec"), F.col("embedding").cast("array<double>").alias("vector"))
+    return rows.withColumn("_vec", F.pmod(number, F.lit(max(1, every.count())))).join(every, "_vec").drop("_vec")
 
 
 def node_vectors(spark: SparkSession, d: str, node: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def linked_nodes(spark: SparkSession, d: str, rows: DataFrame, resolved: bool =
     return M.with_hubs(rows, node, node_vectors(spark, d, node), NEAR, resolved)
 
 
-VECS = "vecs as (select vec_id, embedding::double[] as v from embeddings where vec_id < 500), nv as (select n.video, n.node_id, n.node_type, n.text, v.v from nodes n join vecs v on v.vec_id = (7 * n.node_id + n.video) % 500 where n.admitted)"
+VECS = "vecs as (select vec_id, embedding::double[] as v from embeddings), nv as (select n.video, n.node_id, n.node_type, n.text, v.v from nodes n join vecs v on v.vec_id = (7 * n.node_id + n.video) % (select greatest(1, count(*)) from embeddings) where n.admitted)"
 
 
 def near_sql(guard: str = "true") -> str:
@@ -174,7 +174,7 @@ def q_flat_memory(spark, d):
 
 
 def hits_sql(nodes: str, k: int, keep: str = "sim >= 0.2") -> str:
-    return f"sims as (select n.video, q.qid, n.node_id, round(list_dot_product(n.v, v.v), 6) as sim from {nodes} n join rq q using (video) join vecs v on v.vec_id = (13 * q.video + 31 * q.qid) % 500), best as (select *, row_number() over (partition by video, qid order by sim desc, node_id) as rank from sims qualify rank <= {k}), hits as (select * from best where {keep})"
+    return f"sims as (select n.video, q.qid, n.node_id, round(list_dot_product(n.v, v.v), 6) as sim from {nodes} n join rq q using (video) join vecs v on v.vec_id = (13 * q.video + 31 * q.qid) % (select greatest(1, count(*)) from embeddings)), best as (select *, row_number() over (partition by video, qid order by sim desc, node_id) as rank from sims qualify rank <= {k}), hits as (select * from best where {keep})"
 
 
 ASKED_OF = (
@@ -190,7 +190,7 @@ def asked_of(spark: SparkSession, d: str) -> DataFrame:
     return vectors_of(spark, d, asked, 13 * F.col("video") + 31 * F.col("qid"))
 
 
-@query(f"with {OBS}, {_FLAT}, vecs as (select vec_id, embedding::double[] as v from embeddings where vec_id < 500), fv as (select f.video, f.node_id, f.ts, f.text, v.v from flat f join vecs v on v.vec_id = (7 * f.node_id + f.video) % 500), {RQ}, {hits_sql('fv', 6, 'sim >= 0.1')} select h.video, h.qid, count(*) as hit_count, md5(string_agg(printf('[%02d:%02d]', floor(f.ts)::bigint // 60, floor(f.ts)::bigint % 60) || chr(10) || f.text, chr(10) || chr(10) order by f.ts, f.node_id)) as context from hits h join flat f using (video, node_id) group by all")
+@query(f"with {OBS}, {_FLAT}, vecs as (select vec_id, embedding::double[] as v from embeddings), fv as (select f.video, f.node_id, f.ts, f.text, v.v from flat f join vecs v on v.vec_id = (7 * f.node_id + f.video) % (select greatest(1, count(*)) from embeddings)), {RQ}, {hits_sql('fv', 6, 'sim >= 0.1')} select h.video, h.qid, count(*) as hit_count, md5(string_agg(printf('[%02d:%02d]', floor(f.ts)::bigint // 60, floor(f.ts)::bigint % 60) || chr(10) || f.text, chr(10) || chr(10) order by f.ts, f.node_id)) as context from hits h join flat f using (video, node_id) group by all")
 def q_flat_context(spark, d):
     flat = M.flat_captions(captions(spark, d), 20)
     hits = S.above(S.search(asked_of(spark, d), node_vectors(spark, d, flat).join(flat.select("video", "node_id"), ["video", "node_id"]), 6), 0.1)
@@ -259,7 +259,7 @@ _COUNT_BLOCKS = (
     " placed as (select *, row_number() over (partition by video, qid, stem order by t) as place from one),"
     f" stemmed as (select video, qid, stem, count(*) as n, arg_min(text, seq) as sample, string_agg({_MMSS.format(t='t')}, ', ' order by t) filter (place <= 8) as times from placed group by all), stem_rank as (select *, row_number() over (partition by video, qid order by n desc, stem) as rank from stemmed qualify rank <= 5),"
     f" count_block as (select video, qid, {_lit(V.COUNT_TITLE)} || string_agg('  ''' || stem || ''' (e.g. \"' || rtrim(left(sample, 60)) || '\"): ' || n::varchar || ' time(s) at [' || times || case when n > 8 then ', ...' else '' end || ']', chr(10) order by rank) as block from stem_rank group by all),"
-    " focus_sims as (select n.video, q.qid, q.focus, n.node_id, round(list_dot_product(n.v, v.v), 6) as sim from nv n join rq q on q.video = n.video and q.focus <> '' join vecs v on v.vec_id = (17 * q.video + 3) % 500 where n.node_type = 'action'),"
+    " focus_sims as (select n.video, q.qid, q.focus, n.node_id, round(list_dot_product(n.v, v.v), 6) as sim from nv n join rq q on q.video = n.video and q.focus <> '' join vecs v on v.vec_id = (17 * q.video + 3) % (select greatest(1, count(*)) from embeddings) where n.node_type = 'action'),"
     " like_t as (select s.video, s.qid, s.focus, a.t, max(s.sim) as sim, arg_max(a.text, (s.sim, -a.seq)) as text from focus_sims s join acts a on a.video = s.video and a.node_id = s.node_id group by all having max(s.sim) >= 0.1),"
     " like_n as (select *, row_number() over (partition by video, qid order by t) as place, row_number() over (partition by video, qid, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) order by sim desc, t) as again from like_t), like_r as (select *, row_number() over (partition by video, qid order by again > 1, sim desc, t) as rank from like_n),"
     f" semantic_block as (select video, qid, {_lit(V.SEMANTIC_COUNT[0])} || '  Activity \"' || focus || '\": ' || count(*)::varchar || ' candidate occurrence(s) at [' || string_agg({_MMSS.format(t='t')}, ', ' order by t) filter (place <= 8) || case when count(*) > 8 then ', ...' else '' end || {_lit(V.SEMANTIC_COUNT[1])} || string_agg(left(text, 60), ' | ' order by rank) filter (again = 1 and rank <= 3) || {_lit(V.SEMANTIC_COUNT[2])} as block from like_r group by video, qid, focus)"
