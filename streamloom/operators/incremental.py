@@ -18,7 +18,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -33,6 +33,8 @@ SCHEMAS = {
 NODE = [c.split()[0] for c in SCHEMAS["nodes"].split(", ")[:9]]
 #: Places in a chunk's caption.
 PLACES = 1 << 31
+#: Tasks that write a bucket: with one, a memory of many videos is written by as few tasks as there are buckets.
+SPREAD = 8
 
 
 def ordered_log(captions: DataFrame) -> DataFrame:
@@ -60,20 +62,17 @@ def together(parts: DataFrame) -> DataFrame:
 def pairs(parts: DataFrame, sign: int) -> DataFrame:
     """Edges that contributions support, each chunk with sign."""
     seen = parts.filter("key like 'id:%' or node_type = 'entity'").select("video", "chunk", "key")
-    other = seen.select("video", "chunk", F.col("key").alias("b"))
-    return seen.withColumnRenamed("key", "a").join(other, ["video", "chunk"]).filter("a < b").groupBy("video", "a", "b").agg((F.count("*") * sign).alias("support"))
+    return M.pair_counts(seen, ["video", "chunk"], ["video"]).withColumn("support", F.col("support") * sign)
 
 
 def linked(nodes: DataFrame, cap: int) -> DataFrame:
     """Nodes with admission, hubs and chains."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("video").orderBy("node_id"))
-    rows = nodes.select(*NODE, (place <= cap).alias("admitted"))
-    hubs = M.attach_by_id(rows, rows)
-    rows = rows.join(hubs, ["video", "node_id"], "left")
-    next_ = M.chains(rows.filter("admitted")).drop("hub")
-    return rows.join(next_, ["video", "node_id"], "left").select(*NODE, "admitted", "hub", "next1", "next2")
+    rows = M.hubs_by_id(nodes.select(*NODE, (place <= cap).alias("admitted")))
+    acts = F.col("admitted") & (F.col("node_type") == "action") & F.col("hub").isNotNull()
+    same = Window.partitionBy("video", acts, "hub").orderBy("node_id")
+    rows = rows.withColumns({f"next{i}": F.when(acts, F.lead("node_id", i).over(same)) for i in (1, 2)})
+    return rows.select(*NODE, "admitted", "hub", "next1", "next2")
 
 
 @dataclass(frozen=True)
@@ -103,7 +102,7 @@ class Memory:
 
     def written(self, rows: DataFrame, version: str, table: str) -> dict[int, str]:
         base = f"{self.folder.rstrip('/')}/{version}/{table}"
-        rows.withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(base)
+        rows.withColumn("bucket", self.bucket()).repartition("bucket", F.pmod(F.xxhash64(F.lit(SPREAD), "video"), F.lit(SPREAD))).write.partitionBy("bucket").parquet(base)
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{base}/bucket=*")
         found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(root) or []
         return {int(p.rpartition("=")[2]): p for p in (s.getPath().toString() for s in found)}
@@ -115,19 +114,22 @@ class Memory:
         gone_chunks = [chunk(df) for df in (added, removed) if df is not None]
         if not gone_chunks:
             return self
-        gone_chunks = gone_chunks[0].union(gone_chunks[-1]).distinct()
+        folder = f"{self.folder.rstrip('/')}/{version}"
+        gone_chunks[0].union(gone_chunks[-1]).distinct().write.parquet(f"{folder}/chunks")
+        gone_chunks = self.spark.read.schema("video long, chunk long").parquet(f"{folder}/chunks")
         touched = sorted(r[0] for r in gone_chunks.select(self.bucket().alias("b")).distinct().collect())  # at most `buckets` numbers
         before = self.read("parts", touched)
-        gone = before.join(gone_chunks, ["video", "chunk"], "left_semi")
-        new = contributions(ordered_log(added)) if added is not None else gone.limit(0)
-        # Both sides of the change are small next to the memory; written once, since all that follows reads them.
-        stage = f"{self.folder.rstrip('/')}/{version}/delta"
-        gone.withColumn("sign", F.lit(-1)).unionByName(new.withColumn("sign", F.lit(1))).write.parquet(stage)
-        delta = self.spark.read.parquet(stage)
+        new = contributions(ordered_log(added)) if added is not None else before.limit(0)
+        # What goes (-1), stays (0) and comes (1) is written once, since all that follows reads it.
+        stage = f"{folder}/delta"
+        marked = before.join(gone_chunks.withColumn("_gone", F.lit(-1)), ["video", "chunk"], "left").withColumn("sign", F.coalesce("_gone", F.lit(0))).drop("_gone")
+        marked.unionByName(new.withColumn("sign", F.lit(1))).write.partitionBy("sign").parquet(stage)
+        staged = self.spark.read.schema(SCHEMAS["parts"].replace("bucket int", "sign int")).parquet(stage)
+        delta = staged.filter("sign <> 0")
         gone, new = delta.filter("sign < 0").drop("sign"), delta.filter("sign > 0").drop("sign")
         keys, videos = delta.select("video", "key").distinct(), delta.select("video").distinct()
 
-        parts = before.join(gone_chunks, ["video", "chunk"], "left_anti").unionByName(new)
+        parts = staged.filter("sign >= 0").drop("sign")
         places = {"parts": self.written(parts, version, "parts")}
         after = replace(self, places={**self.places, "parts": self.moved("parts", touched, places["parts"])})
         parts = after.read("parts", touched)
