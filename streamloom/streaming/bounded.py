@@ -39,9 +39,9 @@ def once(stream: DataFrame, delay: str, keys: list[str]) -> DataFrame:
 
 def given_out(key: tuple, rows: list[dict]) -> pd.DataFrame:
     """Rows of OUT."""
-    found = pd.DataFrame([{"user_id": key[0], **r} for r in rows]).reindex(columns=COLUMNS)
-    found["ids"] = pd.Series([r.get("ids") for r in rows], dtype=object)
-    return found.astype({c: "Int64" for c in ("user_id", "id", "us", "n", "first_us", "last_us")})
+    found = {c: pd.array([r.get(c) for r in rows], dtype="Int64") for c in ("id", "us", "n", "first_us", "last_us")}
+    found |= {"user_id": pd.array([key[0]] * len(rows), dtype="Int64"), "kind": [r["kind"] for r in rows], "ids": pd.Series([r.get("ids") for r in rows], dtype=object)}
+    return pd.DataFrame(found, columns=COLUMNS)
 
 
 def mark_of(timers) -> int:
